@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import chat, mixing, tokens, warc
 from .common import materialise, n_words
 
 
@@ -22,6 +22,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.read_tokens(manifest, with_ids=False)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(k).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
@@ -31,5 +41,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_token_files": op6_token_files,
+    "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
