@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, tokens, warc
+from . import chat, langid, lm, mixing, tokens, warc
 from .common import materialise, n_words
 
 
@@ -27,6 +27,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest, with_ids=False)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.score(docs.select("doc_id", "text", lm.held_out(F.col("doc_id")).alias("held_out")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_read(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
@@ -42,6 +53,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_token_files": op6_token_files,
+    "op7_language_id": op7_language_id,
+    "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
