@@ -4,7 +4,8 @@ An existing vocabulary's pieces span, for each word, a lattice of all its segmen
 characters that no piece holds). A forward recursion in log space sums the probabilities of all segmentations; since
 pieces begin words with a mark and never cross them, a document's marginal probability is the product over its words
 and one end token. Piece scores: the public vocabulary states ranks, which give starting probabilities by Zipf's law;
-EM over the counts of all training words then re-estimates them. Each training word is also an edge of its own across
+EM over all distinct training words then re-estimates them: the pieces are there for words that the training text lacks,
+so each distinct word counts once. Each training word is also an edge of its own across
 its lattice, with its relative frequency; the share of the pieces against these edges is the Good-Turing estimate of
 unseen text, the number of words seen once over the number of tokens.
 
@@ -113,7 +114,7 @@ class Lattice:
         prefix = np.zeros((rows, width + 1), np.uint64)
         for k in range(width):
             prefix[:, k + 1] = prefix[:, k] * _STEP + points[:, k] + np.uint64(1)
-        power, out = np.uint64(1), []
+        power, out = np.ones(1, np.uint64), []
         for n in range(1, min(self.longest, width) + 1):
             power = power * _STEP
             out.append(self._find(prefix[:, n:] - prefix[:, :-n] * power))
@@ -232,20 +233,20 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = EM_ROUNDS) -> tu
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                part = lattice(path).expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64), held.value)
+                part = lattice(path).expected(batch.column(0).to_pylist(), np.ones(batch.num_rows), held.value)
                 total = part if total is None else total + part
             if total is not None:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
 
         # One row per piece of the vocabulary comes back.
-        found = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        found = words.where("c > 0").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         held.unpersist()
         uses = np.zeros(len(start))
         for r in found:
             uses[r.piece] = r.uses
         total = uses.sum()
-        p_end = ends / (total + ends) if ends else 1e-9
+        p_end = ends / (total + ends)
         logp = np.log(np.maximum((uses + PRIOR * np.exp(start)) / (total + PRIOR), 1e-300)) + np.log1p(-p_end)
     return logp, p_end
 

@@ -191,7 +191,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, RECORD)
+    # A stated number, so that the few small manifest rows are not put into one task.
+    return manifest.select("path").repartition(max(1, min(manifest.count(), 10_000)), "path").mapInArrow(read, RECORD)
 
 
 def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
