@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lm, mixing, tokens, warc
+from . import chat, jaccard, langid, lm, mixing, tokens, warc
 from .common import materialise, n_words
 
 
@@ -22,6 +22,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.read_tokens(manifest, with_ids=False)
@@ -52,6 +56,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_lm_score": op8_lm_score,
