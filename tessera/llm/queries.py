@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, langid, lm, mixing, tokens, warc
+from . import chat, decontaminate, jaccard, langid, lm, mixing, quality, tokens, urls, warc
 from .common import materialise, n_words
 
 
@@ -22,10 +22,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "removed_words", "kept")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    judged = urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.read_tokens(manifest, with_ids=False)
@@ -56,7 +71,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
     "op7_language_id": op7_language_id,
     "op8_lm_score": op8_lm_score,

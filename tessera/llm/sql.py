@@ -68,12 +68,39 @@ s AS (
     ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingle
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 90 * (x.n + y.n - inter)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT}
+_QUALITY = r"""
+WITH d AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS whole FROM documents),
+w AS (SELECT rid, regexp_extract_all(whole, '[^\x20\x09-\x0D]+') AS words FROM d),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT rid, gram FROM g GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g JOIN r USING (rid, gram)) GROUP BY rid),
+l AS (
+  SELECT rid, source, whole, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+    trim(regexp_replace(regexp_replace(lower(line), '\p{N}', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+  FROM (SELECT rid, source, whole, unnest(string_split(whole, chr(10))) AS line FROM d)),
+x AS (SELECT * FROM l WHERE words > 0),
+h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+bad AS (
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT whole) AS n FROM x WHERE words >= 3 GROUP BY ALL) f
+  WHERE n > 100 AND n > 0.02 * (SELECT docs FROM h WHERE h.source IS NOT DISTINCT FROM f.source)),
+gone AS (SELECT rid, sum(words) AS n FROM x JOIN bad ON x.source IS NOT DISTINCT FROM bad.source AND x.norm = bad.norm GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM x GROUP BY rid),
+f AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(words, '')), 0) AS BIGINT) AS word_chars,
+    CAST(length(whole) - length(translate(whole, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
+  FROM d JOIN w USING (rid) LEFT JOIN c USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op3_quality_rules": _QUALITY, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT}
