@@ -42,8 +42,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
-#: Word encodings that a worker keeps.
-MEMO = 400_000
+#: Word encodings that a worker keeps, in two generations.
+MEMO = 1_400_000
 
 MANIFEST = "part long, shard long, path string, documents long, ids long"
 _HEAD = struct.Struct("<IBHH")
@@ -75,8 +75,11 @@ def _pack(rows: np.ndarray) -> list[bytes]:
     out: list[bytes] = [b""] * len(rows)
     for w in np.unique(width):
         which = np.flatnonzero(width == w)
-        bits = np.unpackbits(low[which].view(np.uint8).reshape(len(which), rows.shape[1], 4), axis=2, bitorder="little", count=int(w)) if w else np.zeros((len(which), 0, 0), np.uint8)
-        packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+        if w == 16:
+            packed = low[which].astype("<u2").view(np.uint8)
+        else:
+            bits = np.unpackbits(low[which].view(np.uint8).reshape(len(which), rows.shape[1], 4), axis=2, bitorder="little", count=int(w)) if w else np.zeros((len(which), 0, 0), np.uint8)
+            packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
         for k, i in enumerate(which):
             at = np.flatnonzero(odd[i])
             out[i] = _HEAD.pack(least[i], w, rows.shape[1], len(at)) + packed[k].tobytes() + at.astype("<u2").tobytes() + offsets[i, at].tobytes()
@@ -95,7 +98,15 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
         size = (w * n + 7) // 8
         body = np.stack([raw[int(starts[k]) + _HEAD.size : int(starts[k]) + _HEAD.size + size] for k in which])
         values = np.zeros((len(which), n), "<u4")
-        if w:
+        if w == 16:
+            values[:] = body.view("<u2")
+        elif 0 < w <= 24:
+            # Each value lies within the four bytes from the byte that holds its first bit.
+            bit = np.arange(n) * w
+            padded = np.pad(body, ((0, 0), (0, 4)))
+            wide = sum(padded[:, (bit >> 3) + k].astype("<u4") << np.uint32(8 * k) for k in range(3 if w <= 17 else 4))
+            values[:] = (wide >> (bit & 7).astype("<u4")) & np.uint32((1 << w) - 1)
+        elif w:
             bits = np.unpackbits(body, axis=1, bitorder="little", count=w * n).reshape(len(which), n, w)
             part = np.packbits(bits, axis=2, bitorder="little")
             values.view(np.uint8).reshape(len(which), n, 4)[:, :, : part.shape[2]] = part
@@ -108,64 +119,85 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+class _Pieces(dict):
+    """Pieces of texts with their encodings; an unknown piece is encoded when it is asked for."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        self[piece] = known = self.encode(piece) if known is None else known
+        return known
+
+
 class Encoder:
     """A tokenizer that remembers the encodings of words.
 
     Byte-level BPE cuts a text before each space or newline that follows another character, and what it makes of a
-    piece does not depend on its neighbours. Pieces are looked up; unknown ones are encoded together, one per line.
-    Texts in which such a cut would fall inside a run of white space are encoded whole.
+    piece does not depend on its neighbours, so pieces are looked up. Latin words with at most one mark after them go
+    straight to the model, which the cut would hand them to. Texts in which a cut would fall inside a run of white
+    space or a special token are encoded whole.
     """
 
     _RUN = re.compile(r"\s[ \n]")
-    _SPACE = re.compile(r"\s")
+    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+    #: White space besides space and newline.
+    _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Byte-level BPE writes the bytes 0x80-0xA0 and 0xAD as further characters, all other bytes above 0x80 as themselves.
+    _BYTES = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.line = memo, self._whole("\n")
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = re.compile(special) if special else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo: dict[str, bytes] = {"": self._whole(" "), "\n": self.line}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.model._resize_cache(0)
+        self.single = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
+        self.marks = {m: self._whole(m) for m in ("", *".,;:!?")}
+        self.memo = _Pieces(self._piece, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _lines(self, pieces: list[str], lead: str) -> list[bytes]:
-        """Encodings of pieces without white space, each after ``lead``."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lead + p for p in pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-        found = [part.tobytes() for part in np.split(ids, ends)]
-        found = found[:1] + [part[4:] for part in found[1:]]
-        return found if len(found) == len(pieces) else [self._whole(lead + p) for p in pieces]
-
-    def _learn(self, pieces: set[str]) -> None:
-        after_space, after_line = [], []
-        for p in pieces:
-            body = p[1:] if p[:1] == "\n" else p
-            if self._SPACE.search(body):
-                self.memo[p] = self._whole(p if p[:1] == "\n" else " " + p)
-            elif p[:1] == "\n":
-                after_line.append(body)
-            else:
-                after_space.append(p)
-        if after_space:
-            self.memo.update(zip(after_space, self._lines(after_space, " "), strict=True))
-        if after_line:
-            self.memo.update(zip(("\n" + p for p in after_line), (self.line + x for x in self._lines(after_line, "")), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that follows a space, or that begins with a newline."""
+        line = piece[:1] == "\n"
+        found = self._PLAIN.fullmatch(piece, line)
+        if not found:
+            return self._whole(piece if line else " " + piece)
+        word, mark = found.groups()
+        if mark:
+            return self.memo[piece[:-1]] + self.marks[mark]
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self._BYTES)
+        single = self.single
+        if line:
+            return self.line + b"".join([single[t.id] for t in self.tokenizer.model.tokenize(mapped)])
+        return b"".join([single[t.id] for t in self.tokenizer.model.tokenize("Ġ" + mapped)])
+
+    def _joined(self, text: str) -> bool:
+        """Whether a cut could fall inside white space or a special token."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(t in text for t in self.special):
+            return True
+        odd = any(c in text for c in self._ODD[0]) or (not text.isascii() and any(c in text for c in self._ODD[1]))
+        return odd and self._RUN.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32 bytes."""
-        cut = [None if self._RUN.search(t) or self.special and self.special.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        pieces = {p for parts in cut if parts for p in parts[1:]}
-        if len(self.memo) + len(pieces) > self.limit:
-            self._forget()
-        self._learn(pieces.difference(self.memo))
-        get = self.memo.__getitem__
-        return [self._whole(t) if parts is None else (self._whole(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])) for t, parts in zip(texts, cut, strict=True)]
+        if len(self.memo) > self.limit // 2:
+            # A new generation; words of the one before stay known as long as they are used.
+            self.memo = _Pieces(self._piece, dict(self.memo))
+        get, out = self.memo.__getitem__, []
+        for text in texts:
+            if self._joined(text):
+                out.append(self._whole(text))
+                continue
+            parts = text.replace("\n", " \n").split(" ")
+            first = self._whole(parts.pop(0))
+            out.append(first + b"".join(map(get, parts)))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -306,4 +338,5 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    return based.repartition(F.col("path")).mapInArrow(read, schema)
+    # A stated number, so that the few small manifest rows are not put into one task.
+    return based.repartition(max(1, min(manifest.count(), 10_000)), "path").mapInArrow(read, schema)
