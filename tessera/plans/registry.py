@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import profile_queries, trace_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = profile_queries.QUERIES | trace_queries.QUERIES
+ORACLES = profile_queries.ORACLES | trace_queries.ORACLES

@@ -1,0 +1,141 @@
+"""External services behind adapters (survey S20, S21, R7, R8, R14); every adapter has an offline stand-in."""
+
+from __future__ import annotations
+
+import json
+import re
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Responses worth another attempt.
+RETRY = frozenset({408, 429, 500, 502, 503, 504})
+#: A policy maps the turns so far to the next turn's text; a retriever maps a query to passages.
+Policy = Callable[[str, list[dict]], str]
+Retriever = Callable[[str], str]
+
+
+def post_json(url: str, payload: dict, attempts: int = 4, timeout: float = 60, wait: float = 2.0, opener=urllib.request.urlopen) -> dict:
+    """POST with linear back-off on retryable answers."""
+    body = json.dumps(payload).encode()
+    for attempt in range(1, attempts + 1):
+        try:
+            with opener(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+                return json.loads(answer.read())
+        except Exception as error:
+            if attempt == attempts or getattr(error, "code", 503) not in RETRY:
+                raise
+            time.sleep(wait * attempt)
+    raise AssertionError("not reached")
+
+
+def versioned(base_url: str) -> str:
+    """A base URL that ends in /v1."""
+    plain = base_url.rstrip("/")
+    return plain if plain.endswith("/v1") else f"{plain}/v1"
+
+
+def http_retriever(url: str, k: int = 3) -> Retriever:
+    """A retriever that asks a service for the passages of one query."""
+
+    def ask(query: str) -> str:
+        found = post_json(f"{url.rstrip('/')}/retrieve", {"queries": [query], "topk": k, "return_scores": True})
+        return "\n".join(str(x["document"].get("contents", "")) for x in found["result"][0])
+
+    return ask
+
+
+def response_text(value: Any) -> str:
+    """The texts of a nested response, in order."""
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        return "\n".join(t for t in map(response_text, value) if t)
+    if isinstance(value, dict):
+        for key in ("output_text", "text", "content", "output", "message", "choices"):
+            if value.get(key):
+                return response_text(value[key])
+    return ""
+
+
+def json_object(text: str | None) -> str | None:
+    """The first JSON object in a text as canonical JSON, whatever stands around it."""
+    plain = re.sub(r"^```[a-z]*\s*|\s*```$", "", (text or "").strip())
+    decoder, at = json.JSONDecoder(), plain.find("{")
+    while at >= 0:
+        try:
+            found, _ = decoder.raw_decode(plain, at)
+            return json.dumps(found, sort_keys=True, ensure_ascii=False)
+        except ValueError:
+            at = plain.find("{", at + 1)
+    return None
+
+
+def recover_json(text: Column) -> Column:
+    """R7 as a vectorised function; well-formed rows can use ``from_json`` instead."""
+    return F.pandas_udf(lambda s: s.map(json_object), "string")(text)
+
+
+def gather_text(response: Column) -> Column:
+    """R8 as a vectorised function over responses written as JSON."""
+
+    def walk(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: response_text(json.loads(x)) if x else "")
+
+    return F.pandas_udf(walk, "string")(response)
+
+
+def offline_policy(question: str, steps: list[dict]) -> str:
+    """A deterministic stand-in: search for the question, then answer with the first word of what came back."""
+    if not steps:
+        return f"<skill>single-entity-relation-lookup</skill>\n<search>{question}</search>"
+    words = (steps[-1].get("retrieved") or "unknown").split()
+    return f"<skill>answer-grounding-check</skill>\n<answer>{words[0] if words else 'unknown'}</answer>"
+
+
+def offline_retriever(query: str) -> str:
+    return " ".join(reversed(query.split()))
+
+
+def run_one(question: str, policy: Policy, retriever: Retriever, most: int) -> tuple[str, list[dict]]:
+    """Act, retrieve, append, at most ``most`` turns; an empty query stops the run, so does a failing retriever."""
+    steps: list[dict] = []
+    for k in range(1, most + 1):
+        said = policy(question, steps)
+        search = re.search(r"(?is)<search>(.*?)</search>", said)
+        answer = re.search(r"(?is)<answer>(.*?)</answer>", said)
+        if search and (not answer or search.start() < answer.start()):
+            query = search.group(1).strip()
+            if not query:
+                steps.append({"step": k, "action": "invalid_search", "generated": said, "query": "", "retrieved": ""})
+                break
+            try:
+                found = retriever(query)
+            except Exception as error:
+                steps.append({"step": k, "action": "retriever_error", "generated": said, "query": query, "retrieved": str(error)})
+                break
+            steps.append({"step": k, "action": "search", "generated": said, "query": query, "retrieved": found})
+            continue
+        steps.append({"step": k, "action": "final", "generated": said, "query": "", "retrieved": ""})
+        return (answer.group(1).strip() if answer else said.strip()), steps
+    return "", steps
+
+
+def rollout(rows: DataFrame, policy: Policy = offline_policy, retriever: Retriever = offline_retriever, most: int = 6) -> DataFrame:
+    """(id, question) -> id, prediction, n_steps, n_searches, transcript; one run per row, in its task."""
+    schema = "id string, prediction string, n_steps int, n_searches int, transcript string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, question in zip(frame["id"], frame["question"], strict=True):
+                said, steps = run_one(question or "", policy, retriever, most)
+                out.append((str(key), said, len(steps), sum(s["action"] == "search" for s in steps), "\n".join(s["generated"] for s in steps)))
+            yield pd.DataFrame(out, columns=["id", "prediction", "n_steps", "n_searches", "transcript"])
+
+    return rows.select(F.col("id").cast("string").alias("id"), "question").mapInPandas(run, schema)
