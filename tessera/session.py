@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,19 @@ def build_session(app: str = "tessera", cpus: int | None = None, shuffle_partiti
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, root: Path) -> None:
+    """Send the package's modules to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="tessera-ship-")) / "tessera_modules.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.glob("tessera/**/*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
