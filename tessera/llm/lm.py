@@ -246,7 +246,7 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = EM_ROUNDS) -> tu
         for r in found:
             uses[r.piece] = r.uses
         total = uses.sum()
-        p_end = ends / (total + ends)
+        p_end = ends / max(total + ends, 1)
         logp = np.log(np.maximum((uses + PRIOR * np.exp(start)) / (total + PRIOR), 1e-300)) + np.log1p(-p_end)
     return logp, p_end
 
