@@ -19,6 +19,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -45,58 +46,68 @@ UNITS = frozenset(
 #: Kinds of token.
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
+_EDGES = "\"'()[]{}<>,.;:!?*#|&$%…«»„“”‘’-–—_"
+_CLOSING, _STOPS, _INNER = "\"')]}»“”’", (".", "!", "?"), frozenset("abcdefghijklmnopqrstuvwxyz,;")
+_DIGIT = re.compile(r"\d")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = {NUMBER: 0x1111, UNIT: 0x2222, NAME: 0x3333}
 _SCHEMA = "doc_id long, item_id long, coverage double, windows long, slots long, changed_slots long, kind string"
 
 
 class Words(dict):
-    """Word -> number of its canonical form; the forms' arrays grow with it."""
+    """Word -> number of its canonical form; the forms' arrays are filled up from lists when they are asked for."""
 
     def __init__(self):
         super().__init__()
-        self.typed: list[int] = []
-        self.plain: list[int] = []
-        self.kind: list[int] = []
-        self.ends: list[bool] = []
-        self.value: list[str] = []
-        self.arrays = None
+        self.fresh: tuple[list, list, list, list] = ([], [], [], [])
+        self.filled, self.names = 0, []
+        self.arrays = (np.empty(1024, np.uint64), np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool))
 
     def __missing__(self, word: str) -> int:
-        core = word.strip("\"'()[]{}<>,.;:!?*#|&$%…«»„“”‘’-–—_") or word
+        core = word.strip(_EDGES) or word
         low = core.lower()
-        if any(c.isdigit() for c in core):
-            kind = NUMBER
+        own = xxhash.xxh64_intdigest(low)
+        if not low.isalpha() and _DIGIT.search(low):
+            kind, typed, plain = NUMBER, _SLOT[NUMBER], _SLOT[NUMBER]
         elif low in UNITS:
-            kind = UNIT
+            kind, typed, plain = UNIT, _SLOT[UNIT], _SLOT[UNIT]
+        elif core[0].isupper():
+            kind, typed, plain = NAME, _SLOT[NAME], own
         else:
-            kind = NAME if core[:1].isupper() else LITERAL
-        own = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.typed.append(own if kind == LITERAL else _SLOT[kind])
-        self.plain.append(own if kind in (LITERAL, NAME) else _SLOT[kind])
-        self.kind.append(kind)
-        self.ends.append(word.rstrip("\"')]}»“”’")[-1:] in (".", "!", "?"))
-        self.value.append(low)
-        self[word] = k = len(self.kind) - 1
+            kind, typed, plain = LITERAL, own, own
+        a, b, c, d = self.fresh
+        a.append(typed)
+        b.append(plain)
+        c.append(kind)
+        d.append(word[-1] not in _INNER and word.rstrip(_CLOSING)[-1:] in _STOPS)
+        self.names.append(low)
+        self[word] = k = len(self.names) - 1
         return k
 
+    def value(self, k: int) -> str:
+        return self.names[k]
+
+    def forms(self) -> tuple[np.ndarray, ...]:
+        """Both hashes, kind and end-of-sentence mark of every form."""
+        n = len(self.names)
+        if self.filled < n:
+            if n > len(self.arrays[0]):
+                self.arrays = tuple(np.concatenate([x[: self.filled], np.empty(2 * n - self.filled, x.dtype)]) for x in self.arrays)
+            for x, new in zip(self.arrays, self.fresh, strict=True):
+                x[self.filled : n] = new
+                new.clear()
+            self.filled = n
+        return self.arrays
+
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Form numbers, both hash streams, and kinds as the first stream has them."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.arrays is None or len(self.arrays[2]) < len(self.kind):
-            known = 0 if self.arrays is None else len(self.arrays[2])
-            fresh = (np.array(self.typed[known:], np.uint64), np.array(self.plain[known:], np.uint64), np.array(self.kind[known:], np.int8), np.array(self.ends[known:], bool))
-            self.arrays = fresh if self.arrays is None else tuple(np.concatenate(x) for x in zip(self.arrays, fresh, strict=True))
-        typed, plain, kind, ends = (x[at] for x in self.arrays)
+        typed, plain, kind, ends = (x[at] for x in self.forms())
         # A capital at the start of a sentence makes no name.
         start = np.append(True, ends[:-1]) & (kind == NAME)
         return at, np.where(start, plain, typed), plain, np.where(start, LITERAL, kind)
 
 
-def _split(text: str) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
-
-
 def window_hashes(stream: np.ndarray, size: int) -> np.ndarray:
     out = np.full(len(stream) - size + 1, size, np.uint64)
     for k in range(size):
@@ -112,12 +123,12 @@ class Benchmark:
         words = Words()
         self.items, hashes, where = [], [], []
         for item_id, text in items:
-            own = _split(text or "")
+            own = (text or "").split()
             if len(own) < SHORTEST:
                 continue
             at, typed, plain, kind = words.tokens(own)
             size, number = min(WINDOW, len(own)), len(self.items)
-            self.items.append((item_id, len(own), size, [words.value[k] for k in at], kind, words_kind(words, at)))
+            self.items.append((item_id, len(own), size, [words.value(k) for k in at], kind))
             for stream, kinds in ((typed, kind), (plain, words_kind(words, at))):
                 literal = np.convolve(kinds == LITERAL, np.ones(size), "valid")
                 found = window_hashes(stream, size)
@@ -146,13 +157,13 @@ class Benchmark:
 
 def words_kind(words: Words, at: np.ndarray) -> np.ndarray:
     """Kinds as the second stream has them: names are literal."""
-    kind = np.array([words.kind[k] for k in at], np.int8)
+    kind = words.forms()[2][at]
     return np.where(kind == NAME, LITERAL, kind)
 
 
 def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
     """(item_id, coverage, windows, slots, changed slots, kind) of the items leaked into a text."""
-    own = _split(text)
+    own = text.split()
     if len(own) < SHORTEST:
         return []
     at, typed, plain, _ = words.tokens(own)
@@ -162,16 +173,16 @@ def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
             found[item, p - q].add(q)
     out, best = [], defaultdict(lambda: (set(), 0, Counter(), 0))
     for (item, offset), places in found.items():
-        _, length, size, values, kind, _ = bench.items[item]
+        _, _, size, values, kind = bench.items[item]
         stands: dict[tuple[int, str], Counter] = defaultdict(Counter)
         slots = sorted({q + k for q in places for k in range(size) if kind[q + k] != LITERAL})
         for s in slots:
-            stands[int(kind[s]), values[s]][words.value[at[offset + s]]] += 1
+            stands[int(kind[s]), values[s]][words.value(at[offset + s])] += 1
         agreed = {k: c.most_common(1)[0][0] for k, c in stands.items()}
-        odd = {s for s in slots if agreed[int(kind[s]), values[s]] != words.value[at[offset + s]]}
+        odd = {s for s in slots if agreed[int(kind[s]), values[s]] != words.value(at[offset + s])}
         kept = {q for q in places if not any(q + k in odd for k in range(size))}
         covered = {q + k for q in kept for k in range(size)}
-        changed = {s for s in slots if s in covered and words.value[at[offset + s]] != values[s]}
+        changed = {s for s in slots if s in covered and words.value(at[offset + s]) != values[s]}
         held, windows, all_slots, n_changed = best[item]
         best[item] = (held | covered, windows + len(kept), all_slots + Counter(s for s in slots if s in covered), n_changed + len(changed))
     for item, (covered, windows, slots, changed) in best.items():
