@@ -163,7 +163,7 @@ def repack_two_phase(rows: DataFrame, bank: Column, index: Column) -> DataFrame:
         .when((F.col("m.role") == "assistant") & F.try_element_at(bank, F.col(skill)).isNull(), "unknown_skill")
         .when((F.col("m.role") == "assistant") & (F.col("pos") == 0), "assistant_without_user")
     )
-    faults = turns.withColumn("reason", reason).groupBy("id").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("fault"), F.count_if(F.col("m.role") == "assistant").alias("n_turns"))
+    faults = turns.withColumn("reason", reason).groupBy("id").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.coalesce("pos", F.lit(0)))).alias("fault"), F.count_if(F.col("m.role") == "assistant").alias("n_turns"))
 
     def parts(m: Column) -> Column:
         name = skills(m["content"], first_only=True)
