@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profile_queries, trace_queries
+from . import operator_queries, profile_queries, trace_queries
 
-QUERIES = profile_queries.QUERIES | trace_queries.QUERIES
-ORACLES = profile_queries.ORACLES | trace_queries.ORACLES
+QUERIES = profile_queries.QUERIES | operator_queries.QUERIES | trace_queries.QUERIES
+ORACLES = profile_queries.ORACLES | operator_queries.ORACLES | trace_queries.ORACLES
