@@ -24,6 +24,21 @@ def _fill(template: str, value: Column) -> Column:
     return F.concat(F.lit(before), value, F.lit(after))
 
 
+def render(template: str, **parts: Column) -> Column:
+    """A template with ``{name}`` marks, filled from columns; nulls are empty."""
+    out, rest = [], template
+    while rest:
+        before, open_, after = rest.partition("{")
+        name, close, tail = after.partition("}")
+        if open_ and close and name in parts:
+            out += [F.lit(before), F.coalesce(parts[name].cast("string"), F.lit(""))]
+            rest = tail
+        else:
+            out.append(F.lit(before + open_))
+            rest = after
+    return F.concat(*out) if out else F.lit("")
+
+
 def _s(value: Column) -> Column:
     return tx.strip(F.coalesce(value, F.lit("")))
 

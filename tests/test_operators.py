@@ -103,6 +103,11 @@ def test_turn_parsing(spark):
     assert [r.a for r in got[2:]] == ["plain", "", ""]
 
 
+def test_render(spark):
+    got = spark.createDataFrame([("x", None)], "a string, b string").select(messages.render("{a}: {json} {b}{a", a=F.col("a"), b=F.col("b"))).first()[0]
+    assert got == "x: {json} {a"
+
+
 def test_bank(spark):
     text = "# Bank\n`alpha`\nfirst line\nsecond\n`beta`\n\n`alpha`\nagain `beta` inside"
     lines = spark.createDataFrame([("b", k, x) for k, x in enumerate(text.split("\n"))], "doc string, line_no int, value string")
