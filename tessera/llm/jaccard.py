@@ -9,12 +9,17 @@ component (documents that links connect).
    which prefixes are taken; at most mean set size / share shingles can be meant.
 2. Each document becomes set size, fingerprint, prefix (the first size - ceil(percent * size / 100) + 1 shingles of the
    order: linked documents share one of them) and a bitmap whose width grows with the set. Equal sets become one node.
-3. Nodes meet under the shingles of their prefixes, the first level of the tree. Each node is compared with the
-   smallest node that it meets most often; exact links found there are joined into components.
-4. Under every shingle whose nodes are not all of one component yet, a signature tree is built: leaves hold bitmaps and
-   sizes, inner nodes the OR of bitmaps, the range of sizes and the component if it is a single one. A dual traversal
-   drops pairs of tree nodes of one component, of sizes too far apart, or whose largest possible overlap is too small.
-5. Surviving pairs are verified exactly on whole sets, and components are formed again.
+3. Nodes meet under pairs of a prefix shingle and a class of sizes, the first level of the tree; a node enters its own
+   class and the next one if a larger partner can be in it. In order of size, nodes whose neighbours under a key are
+   too small and too large for a link leave it, and of keys with the same nodes one stays. Under each a signature tree
+   is built:
+   leaves hold bitmaps and sizes, inner nodes the OR of bitmaps, the range of sizes and the component if it is a single
+   one. A dual traversal drops pairs of tree nodes of one component, of sizes too far apart, or whose largest possible
+   overlap is too small.
+4. In a first pass each node keeps the nearest of its surviving partners; these pairs are verified exactly on whole
+   sets, and the links join nodes into components.
+5. In a second pass the trees of shingles whose nodes are still of several components give all surviving pairs; they
+   are verified in the same way, and components are formed again.
 
 Within a component, pairs that others already connect need no check, so groups of thousands of near copies cost about
 one check per document; links between different components are all found, nothing is capped.
@@ -26,25 +31,32 @@ and has a null component; repeated rows each get a row; an empty table gives an
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
 
 #: Shingles in at least this share of the documents go to the end of the prefix order.
-FREQUENT = 1e-3
+FREQUENT = 5e-4
 #: ... and in at least this many documents of a block.
-LEAST = 16
+LEAST = 3
 #: Shingles that a block of documents holds at most while frequent ones are counted.
 BLOCK_SHINGLES = 2_000_000
 LEAF = 32
+#: Bits of a bitmap for each shingle, at least.
+BITS_EACH = 2
+#: Greatest size over least size of a class, about.
+CLASS_RATIO = 1.5
+#: Up to this many nodes are compared without a tree.
+FEW = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,15 +80,26 @@ def _spread(sets: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A bit for each shingle, in a power of two of bits that is at least the set's size and 64."""
+    """A bit for each shingle, in a power of two of bits: at least 64 and BITS_EACH for each shingle."""
     width = 64
-    while width < len(own):
+    while width < BITS_EACH * len(own):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(_spread(own) >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+_CLASSES = [1]
+while _CLASSES[-1] < 1 << 40:
+    _CLASSES.append(max(_CLASSES[-1] + 1, int(_CLASSES[-1] * CLASS_RATIO)))
+
+
+def meeting_keys(prefix: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Keys of the prefix shingles in each size class where a partner of at least this size can be."""
+    own, most = bisect_right(_CLASSES, size), bisect_right(_CLASSES, 100 * size // percent)
+    return np.concatenate([(prefix + np.uint64(k)) * _STEP for k in range(own, most + 1)])
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of the shingles that at least FREQUENT of the documents hold, up to the counting of the blocks."""
 
@@ -125,7 +148,7 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                         ordered = np.concatenate([own[~late], own[late]])
                     else:
                         ordered = own
-                    prefixes.append(ordered[: k - -(-percent * k // 100) + 1].view(np.int64))
+                    prefixes.append(meeting_keys(ordered[: k - -(-percent * k // 100) + 1], k, percent).view(np.int64) if k else [])
                     bitmaps.append(bitmap(own) if k else b"")
                 arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "fp_a", "fp_b", "prefix", "bits"])
@@ -166,8 +189,8 @@ def _reachable(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -
     return fits & near & ~((x[4][i] == y[4][j]) & (x[4][i] >= 0))
 
 
-def traverse(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (place in x, place in y) that the bounds cannot rule out; x and y may be one tree."""
+def traverse(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in x, places in y, largest possible overlap) of pairs that the bounds leave; x and y may be one tree."""
     same = x is y
     low, high = len(x.levels) - 1, len(y.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -197,7 +220,7 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple
             fits = np.triu(fits, 1)
         u, v = np.nonzero(fits)
         if len(u):
-            yield x.order[u + p.start], y.order[v + q.start]
+            yield x.order[u + p.start], y.order[v + q.start], most[u, v]
 
 
 def _fold(bits: np.ndarray) -> np.ndarray:
@@ -205,8 +228,33 @@ def _fold(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
-def bucket_pairs(nodes: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Pairs of nodes under one shingle that may link: a tree for each width, against itself and the next width."""
+def _few(sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int, int]]:
+    """As ``bucket_pairs``, for a handful of nodes."""
+    out, size, group, bits = [], sizes.tolist(), groups.tolist(), {}
+    for i in range(len(size)):
+        for j in range(i):
+            m, n = size[i], size[j]
+            if group[i] == group[j] or 100 * min(m, n) < percent * max(m, n):
+                continue
+            width = min(len(bitmaps[i]), len(bitmaps[j]))
+            for k in (i, j):
+                if (k, width) not in bits:
+                    raw = np.frombuffer(bitmaps[k], np.uint64).reshape(1, -1)
+                    bits[k, width] = int.from_bytes((raw if len(bitmaps[k]) == width else _fold(raw)).tobytes(), "little")
+            x, y = bits[i, width], bits[j, width]
+            most = min(m - (x & ~y).bit_count(), n - (y & ~x).bit_count())
+            if 100 * most >= percent * (m + n - most):
+                out.append((i, j, most))
+    return out
+
+
+def bucket_pairs(sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int, int]]:
+    """(place, place, largest possible overlap) of nodes under one shingle that may link.
+
+    There is a tree for each width of bitmaps, traversed against itself and the next width.
+    """
+    if len(sizes) <= FEW:
+        return _few(sizes, groups, bitmaps, percent)
     widths = np.array([len(b) for b in bitmaps])
     out, trees = [], {}
     for w in np.unique(widths):
@@ -219,13 +267,24 @@ def bucket_pairs(nodes: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bitma
             wide, bits, _ = trees[2 * w]
             against.append((wide, SignatureTree(_fold(bits), sizes[wide], groups[wide])))
         for others, other in against:
-            for u, v in traverse(tree, other, percent):
-                out += [(min(p, q), max(p, q)) for p, q in zip(nodes[rows[u]].tolist(), nodes[others[v]].tolist(), strict=True)]
+            for u, v, most in traverse(tree, other, percent):
+                out += zip(rows[u].tolist(), others[v].tolist(), most.tolist(), strict=True)
     return out
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, component, bits), sorted by token within partitions -> pairs that the trees cannot rule out."""
+def _nearest(found: list[tuple[int, int, int]], sizes: list[int]) -> set[tuple[int, int]]:
+    """Of the pairs, the one of greatest possible similarity for each place."""
+    best: dict[int, tuple[float, int]] = {}
+    for i, j, most in found:
+        like = most / (sizes[i] + sizes[j] - most)
+        for x, y in ((i, j), (j, i)):
+            if x not in best or best[x] < (like, -y):
+                best[x] = (like, -y)
+    return {(min(x, -y), max(x, -y)) for x, (_, y) in best.items()}
+
+
+def _candidates(met: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(token, node, n, component, bits), sorted by token within partitions -> pairs (a, b) that the trees leave."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -238,11 +297,17 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
             bits = table.column(4).to_pylist()
             edges = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
             for low, high in pairwise(edges):
-                if high - low > 1 and comp[low:high].min() != comp[low:high].max():
-                    for p in bucket_pairs(node[low:high], size[low:high], comp[low:high], bits[low:high], percent):
-                        if p not in sent:
-                            sent.add(p)
-                            found.append(p)
+                if high - low < 2:
+                    continue
+                left = bucket_pairs(size[low:high], comp[low:high], bits[low:high], percent)
+                if not left:
+                    continue
+                own = node[low:high].tolist()
+                for i, j in _nearest(left, size[low:high].tolist()) if nearest else {(i, j) for i, j, _ in left}:
+                    p = (min(own[i], own[j]), max(own[i], own[j]))
+                    if p not in sent:
+                        sent.add(p)
+                        found.append(p)
             if len(sent) > 500_000:
                 sent.clear()
 
@@ -266,7 +331,7 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
             work(pa.Table.from_batches(rest))
         yield from take()
 
-    return met.mapInArrow(pairs, "a long, b long")
+    return met.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -313,28 +378,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     # Rows that share an id but not a text can be a copy and a node at once; such a node stays.
     both = members.where("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low != high").select("doc_id")
     nodes = nodes.unionByName(signed.where("n > 0").join(both, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
-    rows = nodes.select("node", F.explode("prefix").alias("token"))
-    stars = rows.groupBy("token").agg(F.min("node").alias("star"), F.max("node").alias("other")).where("star < other").select(F.col("token").alias("met"), "star")
-    met = materialise(rows.join(materialise(stars, "jaccard-stars"), F.col("token") == F.col("met")).select("token", "node", "star").distinct(), "jaccard-met")
-
-    # Every node against the smallest node that it meets most often.
-    counted = met.where("node != star").groupBy("node", "star").agg(F.count(F.lit(1)).alias("often"))
-    best = counted.groupBy("node").agg(F.max_by("star", F.struct("often", -F.col("star"))).alias("star"))
-    first = best.select(F.col("star").alias("a"), F.col("node").alias("b"))
-    involved = met.select("node").distinct()
-    texts = docs.where("doc_id IS NOT NULL").join(involved.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    texts = materialise(texts.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL"), "jaccard-texts")
-    found = materialise(verify(first, texts, n, percent), "jaccard-links")
+    rows = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("token").alias("met"))
+    shared = materialise(shared, "jaccard-shared")
+    by_size = Window.partitionBy("token").orderBy("n")
+    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    met = rows.join(shared, F.col("token") == F.col("met"), "left_semi").withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
+    met = materialise(met.select("token", "node").distinct(), "jaccard-meetings")
+    # Near copies meet under many keys; of keys with the same nodes one is enough.
+    sets = [F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    once = met.groupBy("token").agg(*sets).groupBy("members", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept")
+    met = materialise(met.join(once, F.col("token") == F.col("kept"), "left_semi"), "jaccard-met")
+    small = nodes.select(F.col("node").alias("own"), "n", "bits").dropDuplicates(["own", "n"])
+
+    def trees(frame: DataFrame, nearest: bool) -> DataFrame:
+        full = frame.join(small, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
+        return _candidates(full, percent, nearest)
+
+    near = materialise(trees(met.withColumn("component", F.col("node")), True), "jaccard-near")
+    involved = materialise(near.select(F.col("a").alias("involved")).union(near.select("b")).distinct(), "jaccard-involved")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(involved, F.col("doc_id") == F.col("involved"), "left_semi")
+    texts = materialise(texts.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")), "jaccard-texts")
+    found = materialise(verify(near, texts, n, percent), "jaccard-links")
     joined = connected_components(found)
 
-    # The trees see what is left: shingles whose nodes are in more than one component.
-    placed = met.select("token", "node").join(joined.withColumnRenamed("node", "placed"), F.col("node") == F.col("placed"), "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialise(placed, "jaccard-placed")
+    # A node without a surviving partner in the first pass has none in the second.
+    placed = met.join(involved, F.col("node") == F.col("involved"), "left_semi").join(joined.withColumnRenamed("node", "placed"), F.col("node") == F.col("placed"), "left")
+    placed = materialise(placed.select("token", "node", F.coalesce("component", "node").alias("component")), "jaccard-placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("token").alias("open"))
-    small = nodes.select(F.col("node").alias("own"), F.col("n"), "bits").join(involved, F.col("own") == F.col("node"), "left_semi")
-    left = placed.join(mixed, F.col("token") == F.col("open"), "left_semi").join(small, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
-    pairs = _candidates(left.repartition("token").sortWithinPartitions("token"), percent).distinct()
-    more = materialise(verify(pairs, texts, n, percent), "jaccard-links")
+    rest = trees(placed.join(mixed, F.col("token") == F.col("open"), "left_semi"), False)
+    more = materialise(verify(rest.join(near, ["a", "b"], "left_anti"), texts, n, percent), "jaccard-links")
     final = connected_components(found.unionByName(more)).withColumnRenamed("node", "joined")
     return members.join(final, F.col("class_id") == F.col("joined"), "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
