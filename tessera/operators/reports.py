@@ -70,6 +70,11 @@ def pooled(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.sum("n_correct").alias("n_correct"), F.sum("n_examples").alias("n_examples"), ratio(F.sum("n_correct"), F.sum("n_examples")).alias("em"))
 
 
+def macro_and_pooled(metrics: DataFrame) -> DataFrame:
+    """A18 and A19 in one aggregation."""
+    return metrics.agg(F.avg("em").alias("macro_em"), F.sum("n_correct").alias("n_correct"), F.sum("n_examples").alias("n_examples"), ratio(F.sum("n_correct"), F.sum("n_examples")).alias("pooled_em"))
+
+
 def flips(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Newly right and newly wrong answers between two runs."""
     both = before.select(key, F.col("em").alias("old")).join(after.select(key, F.col("em").alias("new")), key)

@@ -232,9 +232,7 @@ def eval_metrics(spark, sf_dir):
 @query(f"""WITH {_TRACES}, m AS (SELECT dataset, sum(em) AS c, count(*) AS n FROM x GROUP BY dataset) SELECT avg(c / n) AS macro_em, CAST(sum(c) AS BIGINT) AS n_correct, CAST(sum(n) AS BIGINT) AS n_examples, sum(c) / sum(n) AS pooled_em FROM m""")
 def pooled_metrics(spark, sf_dir):
     """Macro and pooled exact match over shards."""
-    m = reports.eval_metrics(_traces(spark, sf_dir), "dataset").persist()
-    both = reports.macro_average(m).join(reports.pooled(m).withColumnRenamed("em", "pooled_em"))
-    return both.select("macro_em", "n_correct", "n_examples", "pooled_em")
+    return reports.macro_and_pooled(reports.eval_metrics(_traces(spark, sf_dir), "dataset"))
 
 
 @query(f"WITH {_TRACES} SELECT id, dataset, CAST(sum(em) OVER w AS DOUBLE) / count(*) OVER w AS running_em FROM x WINDOW w AS (PARTITION BY dataset ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
