@@ -13,6 +13,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Folders that this application has made in the shared folder.
+_MADE: list[str] = []
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the intermediate tables and files of this application, once its results are written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -25,7 +37,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             held = spark.sparkContext.getCheckpointDir()
         base = held
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -113,3 +113,13 @@ def test_warc_query_against_brute_force(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
     got = queries.op9_warc(spark, sf_dir).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.complete) for r in got), key=str) == brute_warc([tuple(r) for r in pages])
+
+
+def test_shared_folder_can_be_cleared(spark):
+    from tessera.llm.common import clear_shared, materialise
+
+    kept = materialise(spark.range(3).toDF("id"), "clear")
+    path = kept.inputFiles()[0]
+    clear_shared(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
