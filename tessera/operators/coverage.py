@@ -28,6 +28,7 @@ def annotate(group: DataFrame) -> DataFrame:
     time, many, same = flag("temporal", "time_anchor"), flag("multi_entity") | F.col("entity_bin").isin("multi_entity", "dense_entity"), flag("same_attribute")
     check, count = flag("yes_no", "verification"), flag("numeric")
     always = F.lit(True)
+    # The names of reasoning types, skill demands and entity patterns.
     reasoning = tx.choices((always, "compositional_lookup"), (compare, "comparison_reasoning"), (chain, "relation_chain"), (chain, "bridge_reasoning"), (time, "temporal_reasoning"), (count, "numerical_reasoning"), (check, "verification_or_yes_no"), (many, "multi_entity_grounding"), (same, "set_constraint"))
     demands = tx.choices((always, "answer_composition"), (compare, "comparison"), (chain, "relation_following"), (chain, "bridge_search"), (time, "temporal_filtering"), (count, "aggregation_or_counting"), (check, "evidence_verification"), (many, "entity_grounding"), (same, "constraint_filtering"))
     pattern = F.when(same, "set_constraint").when(many, "multi_entity").when(chain, "relation_chain").when(compare, "pairwise_entities").otherwise("single_entity")

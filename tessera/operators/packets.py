@@ -57,7 +57,7 @@ def _in(column: str, *values: str) -> Column:
 
 
 def bucket_rules(round_no: int) -> list[tuple[Column, str]]:
-    """The bucket predicates of a round over native_type, flags, entity_bin, token_bin, hop_count, wh_word, form.
+    """The bucket predicates of a round, fixed values of that round, over native_type, flags, entity_bin, token_bin, hop_count, wh_word, form.
 
     Round 1's long bucket means ``long`` only, and its yes/no bucket names question words that profiles never have.
     """
