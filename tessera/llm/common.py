@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches that hold whole texts, in bytes; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+#: What a worker keeps between tasks of one operator, by the operator's name.
+HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    return HELD.setdefault(owner, {})
+
+
+def _keep_only(owner: str | None) -> None:
+    for name in [k for k in HELD if k != owner]:
+        del HELD[name]
+
+
+def _release() -> None:
+    """Give free memory back to the system: workers are kept for later stages of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library: freed memory stays with the worker.
+        return
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int | None = None, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` with bounded memory: batches of BATCH_BYTES for this session, cut to ``rows`` rows if asked for.
+
+    A worker drops what it holds for other operators than ``owner`` before it begins.
+    """
+    conf = df.sparkSession.conf
+    most = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not most.isdigit() or int(most) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(owner)
+        try:
+            yield from work(batches if rows is None else (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)))
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use inside nested lambdas, where a plain expression would be evaluated per element."""
     return F.transform(F.array(value), body)[0]

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 WINDOW = 8
 SHORTEST = 5
 COVERAGE = 0.5
@@ -219,5 +221,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
 
-        parts.append(rows.mapInArrow(search, _SCHEMA))
+        parts.append(map_arrow(rows, search, _SCHEMA, 256))
     return reduce(DataFrame.unionByName, parts)

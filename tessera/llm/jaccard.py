@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_arrow, materialise
 from .components import connected_components
 
 #: Shingles in at least this share of the documents go to the end of the prefix order.
@@ -121,7 +121,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+    counts = map_arrow(docs.select(F.col("text").cast("binary")), count, "shingle long, df long", 512).groupBy("shingle").agg(F.sum("df").alias("df"))
     least = max(LEAST, FREQUENT * docs.count() / 2)
     found = counts.where(F.col("df") >= least).select("shingle").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
@@ -133,28 +133,26 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = held.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 2000):
-                batch = whole.slice(low, 2000)
-                sizes, first, second, prefixes, bitmaps = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    own = shingles(text, n)
-                    k = len(own)
-                    sizes.append(k)
-                    first.append(int(np.add.reduce(_spread(own), dtype=np.uint64).view(np.int64)))
-                    second.append(int(np.bitwise_xor.reduce(own * _STEP).view(np.int64)) if k else 0)
-                    if len(often) and k:
-                        late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                        ordered = np.concatenate([own[~late], own[late]])
-                    else:
-                        ordered = own
-                    prefixes.append(meeting_keys(ordered[: k - -(-percent * k // 100) + 1], k, percent).view(np.int64) if k else [])
-                    bitmaps.append(bitmap(own) if k else b"")
-                arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "fp_a", "fp_b", "prefix", "bits"])
+        for batch in batches:
+            sizes, first, second, prefixes, bitmaps = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text, n)
+                k = len(own)
+                sizes.append(k)
+                first.append(int(np.add.reduce(_spread(own), dtype=np.uint64).view(np.int64)))
+                second.append(int(np.bitwise_xor.reduce(own * _STEP).view(np.int64)) if k else 0)
+                if len(often) and k:
+                    late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
+                    ordered = np.concatenate([own[~late], own[late]])
+                else:
+                    ordered = own
+                prefixes.append(meeting_keys(ordered[: k - -(-percent * k // 100) + 1], k, percent).view(np.int64) if k else [])
+                bitmaps.append(bitmap(own) if k else b"")
+            arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "fp_a", "fp_b", "prefix", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n int, fp_a long, fp_b long, prefix array<long>, bits binary")
+    return map_arrow(rows, sign, "doc_id long, n int, fp_a long, fp_b long, prefix array<long>, bits binary", 512)
 
 
 class SignatureTree:
@@ -331,7 +329,7 @@ def _candidates(met: DataFrame, percent: int, nearest: bool) -> DataFrame:
             work(pa.Table.from_batches(rest))
         yield from take()
 
-    return met.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
+    return map_arrow(met.repartition("token").sortWithinPartitions("token"), pairs, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -360,7 +358,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return map_arrow(rows, check, "a long, b long", 256).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

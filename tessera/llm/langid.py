@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_text
+from .common import crc32_text, map_arrow
 
 ORDERS = (2, 3, 4)
 BITS = 18
@@ -116,44 +116,58 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, train: int = TRAIN, ridge:
             yield pa.RecordBatch.from_arrays([pa.array(cols["lang"], pa.string()), pa.array(cols["key"], pa.float64()), pa.array(found, pa.list_(pa.int32()))], names=["lang", "key", "slots"])
 
     drawn: dict[str, list] = {k: [] for k in languages}
-    for r in _drawn(rows, counts, each, "landmark").mapInArrow(slots, "lang string, key double, slots array<int>").collect():
-        if r.slots:
-            drawn[r.lang].append((r.key, np.array(r.slots, np.int32)))
+    found = map_arrow(_drawn(rows, counts, each, "landmark"), slots, "lang string, key double, slots array<int>", 256).toArrow()
+    for lang, key, own in zip(found["lang"].to_pylist(), found["key"].to_pylist(), found["slots"], strict=True):
+        if len(own):
+            drawn[lang].append((key, own.values.to_numpy().astype(np.int32)))
     chosen = [s for k in languages for _, s in sorted(drawn[k], key=lambda x: (x[0], x[1].tolist()))[:each]]
     if not chosen:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
     m = len(chosen)
-    marks = np.zeros((1 << BITS, m), np.uint8)
-    for k, s in enumerate(chosen):
-        marks[s, k] = 1
     root = np.sqrt(np.array([len(s) for s in chosen], np.float64))
     held = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((1 << BITS, len(held.value)), np.uint8)
-        for k, s in enumerate(held.value):
-            own[s, k] = 1
-        length = np.sqrt(np.array([len(s) for s in held.value], np.float64))
+        sizes = np.array([len(s) for s in held.value])
+        length, starts, every, mark = np.sqrt(sizes), np.cumsum(sizes) - sizes, np.concatenate(held.value), np.zeros(1 << BITS, bool)
+
+        def shared(own: np.ndarray) -> np.ndarray:
+            """Slots that a text shares with each landmark."""
+            mark[own] = True
+            found = np.add.reduceat(mark[every], starts, dtype=np.int64)
+            mark[own] = False
+            return found
+
         for batch in batches:
             cols = batch.to_pydict()
-            found = [presence(codes(t)[0]) for t in cols["text"]]
-            kernel = [(own[s].sum(axis=0, dtype=np.float64) / (length * np.sqrt(max(1, len(s))))).tolist() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(cols["lang"], pa.string()), pa.array(cols["key"], pa.float64()), pa.array(kernel, pa.list_(pa.float64()))], names=["lang", "key", "kernel"])
+            seen = [presence(codes(t)[0]) for t in cols["text"]]
+            kernel = [(shared(s) / (length * np.sqrt(max(1, len(s))))).astype(np.float32) for s in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(cols["lang"], pa.string()), pa.array(cols["key"], pa.float64()), pa.array(kernel, pa.list_(pa.float32()))], names=["lang", "key", "kernel"])
 
     most = max(1, train // len(languages))
-    fitted = sorted(_drawn(rows, counts, most, "train").mapInArrow(against, "lang string, key double, kernel array<double>").collect(), key=lambda r: (r.lang, r.key, r.kernel))
-    kept, have = [], dict.fromkeys(languages, 0)
-    for r in fitted:
-        have[r.lang] += 1
-        if have[r.lang] <= most:
-            kept.append(r)
+    found = map_arrow(_drawn(rows, counts, most, "train"), against, "lang string, key double, kernel array<float>", 256).toArrow()
     held.unpersist()
-    k_nm = np.array([r.kernel for r in kept]).reshape(-1, m)
-    y = np.where(np.array([[r.lang == k for k in languages] for r in kept]).reshape(-1, len(languages)), 1.0, -1.0)
-    k_mm = np.array([marks[s].sum(axis=0, dtype=np.float64) for s in chosen]) / np.outer(root, root)
-    left = k_nm.T @ k_nm + ridge * max(1, len(kept)) * k_mm + 1e-8 * np.eye(m)
+    lang, k_nm = np.array(found["lang"].to_pylist(), object), np.concatenate([c.flatten().to_numpy() for c in found["kernel"].chunks] or [np.empty(0, np.float32)]).reshape(-1, m)
+    # A fixed order, in which each language keeps its first rows.
+    order = np.lexsort((*k_nm[:, :8].T, found["key"].to_numpy(), [languages.index(x) for x in lang])) if len(lang) else np.empty(0, int)
+    kept, have = [], dict.fromkeys(languages, 0)
+    for k in order:
+        have[lang[k]] += 1
+        if have[lang[k]] <= most:
+            kept.append(k)
+    k_nm = k_nm[kept].astype(np.float64)
+    y = np.where(lang[kept][:, None] == np.array(languages, object)[None, :], 1.0, -1.0)
+    k_mm, mark = np.zeros((m, m)), np.zeros(1 << BITS, bool)
+    for i, s in enumerate(chosen):
+        mark[s] = True
+        k_mm[i] = [np.count_nonzero(mark[x]) for x in chosen]
+        mark[s] = False
+    left = k_nm.T @ k_nm + ridge * max(1, len(kept)) * k_mm / np.outer(root, root) + 1e-8 * np.eye(m)
     alpha = np.linalg.solve(left, k_nm.T @ y) / root[:, None]
-    return Model(languages, (marks @ alpha).astype(np.float32))
+    weights = np.zeros((1 << BITS, len(languages)), np.float32)
+    for s, a in zip(chosen, alpha, strict=True):
+        weights[s] += a.astype(np.float32)
+    return Model(languages, weights)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     values = [float(v) if s else 0.0 for v, s in zip(share, sure, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=[f.name for f in schema.fields])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(score, schema)
+    return map_arrow(docs.select(*[F.col(f"`{f.name}`") for f in kept]), score, schema)
 
 
 def held_out(doc_id: Column) -> Column:

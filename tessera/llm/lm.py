@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, materialise
+from .common import crc32_text, held, map_arrow, materialise
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words with at least this share (1 / HEAVY) of all tokens are looked up in the reading tasks.
@@ -180,14 +180,12 @@ class Lattice:
         return total
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def lattice(path: str) -> Lattice:
-    if path not in _LATTICES:
+    kept = held("lm")
+    if path not in kept:
         pieces, bytes_, _ = load_pieces(path)
-        _LATTICES[path] = Lattice(pieces, bytes_)
-    return _LATTICES[path]
+        kept[path] = Lattice(pieces, bytes_)
+    return kept[path]
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -220,7 +218,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if seen[0] or seen[1]:
             yield flush()
 
-    return docs.select(F.col("text").cast("binary"), "held_out").mapInArrow(count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col("text").cast("binary"), "held_out"), count, "word string, c long, n long", 512).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def train(words: DataFrame, ends: int, path: str, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
@@ -240,7 +238,7 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = EM_ROUNDS) -> tu
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
 
         # One row per piece of the vocabulary comes back.
-        found = words.where("c > 0").select("word").mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        found = map_arrow(words.where("c > 0").select("word"), expect, "piece int, uses double", owner="lm").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         held.unpersist()
         uses = np.zeros(len(start))
         for r in found:
@@ -275,7 +273,7 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, hea
             mixed = np.where(c > 0, mixed, np.log(unseen) + found) if n_train else mixed
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array(mixed / np.log(10))], names=["word", "c", "n", "base", "model"])
 
-    scored = materialise(counted.mapInArrow(marginal, "word string, c long, n long, base double, model double"), "lm-scored")
+    scored = materialise(map_arrow(counted, marginal, "word string, c long, n long, base double, model double", owner="lm"), "lm-scored")
     # At most ``heavy`` words can have this share of all tokens.
     common = scored.where(F.col("n") * heavy >= n_all).select("word", "c", "base", "model").collect()
     table = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, r.base, r.model) for r in common})
@@ -310,7 +308,7 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, hea
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "k", "doc_id", "held_out", "n_tokens", "known", "b", "m"])
 
     # A document's own row has a word that no text can hold, so that these rows spread like any other.
-    rows = docs.mapInArrow(read, "key long, word string, k long, doc_id long, held_out boolean, n_tokens long, known long, b double, m double")
+    rows = map_arrow(docs, read, "key long, word string, k long, doc_id long, held_out boolean, n_tokens long, known long, b double, m double")
     rare = scored.where(F.col("n") * heavy < n_all).select(F.col("word").alias("w"), "c", "base", "model")
     joined = rows.join(rare.hint("shuffle_hash"), F.col("word") == F.col("w"), "left")
     none = F.lit(0.0)

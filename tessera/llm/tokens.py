@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import held, map_arrow, materialise, shared_dir
 from .files import RollingFile, resolve
 
 MAGIC = b"TPF1"
@@ -43,7 +43,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
 #: Word encodings that a worker keeps, in two generations.
-MEMO = 1_400_000
+MEMO = 1_000_000
 
 MANIFEST = "part long, shard long, path string, documents long, ids long"
 _HEAD = struct.Struct("<IBHH")
@@ -124,11 +124,18 @@ class _Pieces(dict):
 
     def __init__(self, encode, older: dict):
         super().__init__()
-        self.encode, self.older = encode, older
+        self.encode, self.older, self.seen = encode, older, bytearray(1 << 21)
 
     def __missing__(self, piece: str) -> bytes:
         known = self.older.get(piece)
-        self[piece] = known = self.encode(piece) if known is None else known
+        if known is None:
+            known = self.encode(piece)
+            # Most distinct words occur once; only those that come again are kept. A false hit keeps one more.
+            at = hash(piece) & 0xFFFFFF
+            if not self.seen[at >> 3] & 1 << (at & 7):
+                self.seen[at >> 3] |= 1 << (at & 7)
+                return known
+        self[piece] = known
         return known
 
 
@@ -200,13 +207,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    kept = held("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class ShardWriter:
@@ -310,7 +315,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*writer.done, strict=True)], names=names)
 
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return materialise(map_arrow(ordered, write, MANIFEST, owner="tokens"), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -339,4 +344,4 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     yield packed(rows)
 
     # A stated number, so that the few small manifest rows are not put into one task.
-    return based.repartition(max(1, min(manifest.count(), 10_000)), "path").mapInArrow(read, schema)
+    return map_arrow(based.repartition(max(1, min(manifest.count(), 10_000)), "path"), read, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import map_arrow, materialise, shared_dir
 from .files import RollingFile, resolve
 
 #: Blocks above this many bytes are segmented.
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["path", "records", "bytes"])
 
-    return materialise(linked.mapInArrow(write, MANIFEST), "warc-manifest")
+    return materialise(map_arrow(linked, write, MANIFEST, 256), "warc-manifest")
 
 
 def parse_stream(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -192,7 +192,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                     yield packed(rows)
 
     # A stated number, so that the few small manifest rows are not put into one task.
-    return manifest.select("path").repartition(max(1, min(manifest.count(), 10_000)), "path").mapInArrow(read, RECORD)
+    return map_arrow(manifest.select("path").repartition(max(1, min(manifest.count(), 10_000)), "path"), read, RECORD)
 
 
 def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -226,7 +226,7 @@ def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PAGE.split(", ")])
 
-    return grouped.mapInArrow(join, PAGE)
+    return map_arrow(grouped, join, PAGE, 256)
 
 
 def resolve_revisits(pages: DataFrame) -> DataFrame:
