@@ -18,8 +18,8 @@ component (documents that links connect).
    overlap is too small.
 4. In a first pass each node keeps the nearest of its surviving partners; these pairs are verified exactly on whole
    sets, and the links join nodes into components.
-5. In a second pass the trees of shingles whose nodes are still of several components give all surviving pairs; they
-   are verified in the same way, and components are formed again.
+5. The same is done once more for partners in other components. In a last pass the trees of keys whose nodes are still
+   of several components give all surviving pairs; they are verified in the same way, and components are formed again.
 
 Within a component, pairs that others already connect need no check, so groups of thousands of near copies cost about
 one check per document; links between different components are all found, nothing is capped.
@@ -53,6 +53,8 @@ BLOCK_SHINGLES = 2_000_000
 LEAF = 32
 #: Bits of a bitmap for each shingle, at least.
 BITS_EACH = 2
+#: ... and in the second pass, which sees few nodes: more bits leave fewer pairs that do not link.
+WIDE_BITS_EACH = 48
 #: Greatest size over least size of a class, about.
 CLASS_RATIO = 1.5
 #: Up to this many nodes are compared without a tree.
@@ -79,10 +81,10 @@ def _spread(sets: np.ndarray) -> np.ndarray:
     return (sets ^ (sets >> np.uint64(29))) * _STEP
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """A bit for each shingle, in a power of two of bits: at least 64 and BITS_EACH for each shingle."""
+def bitmap(own: np.ndarray, each: int = BITS_EACH) -> bytes:
+    """A bit for each shingle, in a power of two of bits: at least 64 and ``each`` for each shingle."""
     width = 64
-    while width < BITS_EACH * len(own):
+    while width < each * len(own):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(_spread(own) >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -155,6 +157,17 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
     return map_arrow(rows, sign, "doc_id long, n int, fp_a long, fp_b long, prefix array<long>, bits binary", 512)
 
 
+def wide_bitmaps(texts: DataFrame, n: int) -> DataFrame:
+    """(node, text) -> own, n and a bitmap of WIDE_BITS_EACH bits for each shingle."""
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text, n) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, WIDE_BITS_EACH) for s in sets], pa.binary())], names=["own", "n", "bits"])
+
+    return map_arrow(texts.select("node", "text"), widen, "own long, n int, bits binary", 256)
+
+
 class SignatureTree:
     """Bitmaps and sizes of some documents, in order of size, under nodes of doubling width."""
 
@@ -389,23 +402,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     met = materialise(met.join(once, F.col("token") == F.col("kept"), "left_semi"), "jaccard-met")
     small = nodes.select(F.col("node").alias("own"), "n", "bits").dropDuplicates(["own", "n"])
 
-    def trees(frame: DataFrame, nearest: bool) -> DataFrame:
-        full = frame.join(small, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
+    def trees(frame: DataFrame, bitmaps: DataFrame, nearest: bool) -> DataFrame:
+        full = frame.join(bitmaps, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
         return _candidates(full, percent, nearest)
 
-    near = materialise(trees(met.withColumn("component", F.col("node")), True), "jaccard-near")
+    near = materialise(trees(met.withColumn("component", F.col("node")), small, True), "jaccard-near")
     involved = materialise(near.select(F.col("a").alias("involved")).union(near.select("b")).distinct(), "jaccard-involved")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(involved, F.col("doc_id") == F.col("involved"), "left_semi")
     texts = materialise(texts.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")), "jaccard-texts")
     found = materialise(verify(near, texts, n, percent), "jaccard-links")
-    joined = connected_components(found)
-
-    # A node without a surviving partner in the first pass has none in the second.
-    placed = met.join(involved, F.col("node") == F.col("involved"), "left_semi").join(joined.withColumnRenamed("node", "placed"), F.col("node") == F.col("placed"), "left")
-    placed = materialise(placed.select("token", "node", F.coalesce("component", "node").alias("component")), "jaccard-placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("token").alias("open"))
-    rest = trees(placed.join(mixed, F.col("token") == F.col("open"), "left_semi"), False)
-    more = materialise(verify(rest.join(near, ["a", "b"], "left_anti"), texts, n, percent), "jaccard-links")
+    wide = wide_bitmaps(texts, n).dropDuplicates(["own", "n"])
+
+    def unjoined(links: DataFrame) -> DataFrame:
+        """Meetings under keys whose nodes are of several components; a node without a partner so far has none."""
+        joined = connected_components(links).withColumnRenamed("node", "placed")
+        placed = met.join(involved, F.col("node") == F.col("involved"), "left_semi").join(joined, F.col("node") == F.col("placed"), "left")
+        placed = materialise(placed.select("token", "node", F.coalesce("component", "node").alias("component")), "jaccard-placed")
+        mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("token").alias("open"))
+        return placed.join(mixed, F.col("token") == F.col("open"), "left_semi")
+
+    # Nearest partners in other components join most of what belongs together, so few pairs are left for the last pass.
+    again = materialise(trees(unjoined(found), wide, True).join(near, ["a", "b"], "left_anti"), "jaccard-near")
+    found = materialise(found.unionByName(verify(again, texts, n, percent)), "jaccard-links")
+    tried = near.unionByName(again)
+    rest = trees(unjoined(found), wide, False).join(tried, ["a", "b"], "left_anti")
+    more = materialise(verify(rest, texts, n, percent), "jaccard-links")
     final = connected_components(found.unionByName(more)).withColumnRenamed("node", "joined")
     return members.join(final, F.col("class_id") == F.col("joined"), "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
