@@ -49,10 +49,10 @@ def _repeat_words(own: Column) -> Column:
 
     def places(ordered: Column) -> Column:
         repeated = F.filter(ordered, lambda x, k: (x["h"] == F.get(ordered, k + 1)["h"]) | ((k > 0) & (x["h"] == F.get(ordered, F.greatest(k - 1, F.lit(0)))["h"])))
-        return F.array_sort(F.transform(F.filter(F.transform(repeated, lambda x: x["at"]), lambda at: at.isNotNull()), lambda at: at))
+        return F.sort_array(F.transform(repeated, lambda x: x["at"]))
 
     def count(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("at"))))
+        ordered = F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), k.alias("at"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(ordered, places), covered))
 
     return F.when(F.size(own) < 3, F.lit(0)).otherwise(let(hashes, count)).cast("bigint")
