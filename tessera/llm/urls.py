@@ -3,11 +3,11 @@
 Rules: (verdict, host, path) fit a host and its subdomains if the URL's path starts with theirs; the longest wins.
 Template tree, for what no rule decides: path segments are typed (digit runs, long hexadecimal runs), equal typed paths
 of a host are aggregated to shapes with their numbers of pages, labels and bad labels, and the tree of each host is
-built over shapes level by level. At a node, a child with less than SUPPORT of the node's pages becomes the wildcard;
-so does a child whose rate of bad labels does not differ from the node's by more than Z standard errors, so that
-statistically similar branches merge. Paths that take the same steps share a template. A template's purity is its
-share of bad labels, smoothed towards its host's, which is smoothed towards the rate of all; templates from REJECT on
-are blocked.
+built over shapes level by level. At a node, a child whose rate of bad labels does not differ from the node's by more
+than Z standard errors becomes the wildcard, so that statistically similar branches merge; so does a child with fewer
+than MIN_LABELS labels that has less than SUPPORT of the node's pages. A child that differs by MIN_LABELS labels or more
+stays, however large its node is. Paths that take the same steps share a template. A template's purity is its share of
+bad labels, smoothed towards its host's, which is smoothed towards the rate of all; templates from REJECT on are blocked.
 
 Everything after the first aggregation works on shapes; pages are joined with the verdicts of their shapes.
 
@@ -25,6 +25,8 @@ from .common import lower_ascii, materialise
 
 DEPTH = 6
 SUPPORT = 0.05
+#: Labels from which a branch needs no support.
+MIN_LABELS = 5
 Z = 2.0
 #: Weight of the next wider rate in smoothing.
 SMOOTHING = 5.0
@@ -72,7 +74,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         nodes = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")])
         rate = F.try_divide(F.col("all_bad"), F.col("all_labelled"))
         apart = F.abs(F.col("bad") - F.col("labelled") * rate) > Z * F.sqrt(F.col("labelled") * rate * (1 - rate))
-        own = branches.join(nodes, ["host", "template"]).where((F.col("pages") >= SUPPORT * F.col("all_pages")) & F.coalesce(apart, F.lit(False)))
+        backed = (F.col("labelled") >= MIN_LABELS) | (F.col("pages") >= SUPPORT * F.col("all_pages"))
+        own = branches.join(nodes, ["host", "template"]).where(backed & F.coalesce(apart, F.lit(False)))
         own = own.select(F.col("host").alias("own_host"), F.col("template").alias("own_template"), F.col("child").alias("own_child"))
         found = state.join(own, (F.col("host") == F.col("own_host")) & (F.col("template") == F.col("own_template")) & (F.col("child") == F.col("own_child")), "left")
         step = F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("own_child", F.lit(ANY))))

@@ -110,6 +110,17 @@ def test_template_tree_finds_bad_branch(spark):
     assert {got[1000 + k].template for k in range(20)} == {"/*/*"}
 
 
+def test_template_tree_keeps_small_branches_that_differ(spark):
+    # 40 even sections, one of them bad, beside single bad pages.
+    rows = [(k, f"http://hot.test/part{chr(97 + k % 40 // 20)}{chr(97 + k % 20)}/item-{k}", "h", "v") for k in range(1200)]
+    rows += [(2000 + k, f"http://hot.test/lone{chr(97 + k)}/x", "h", "v") for k in range(4)]
+    labels = spark.createDataFrame([(k, k % 40 == 7) for k in range(1200)] + [(2000 + k, True) for k in range(4)], "page_id long, bad boolean")
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, PAGE), labels).collect()}
+    bad = {k for k in range(1200) if k % 40 == 7}
+    assert {k for k in range(1200) if got[k].verdict == "block"} == bad and {got[k].template for k in bad} == {"/partah/*"}
+    assert {got[2000 + k].template for k in range(4)} == {"/*/*"}, "too few labels for a template of its own"
+
+
 @pytest.mark.parametrize(("path", "shape"), [("/a//b/", "a/b"), ("/2024/05/x", "{num}/{num}/x"), ("/id/0123abcd4567ef89/z.html", "id/{hex}/z.html"), ("", ""), ("/", ""), ("/deadbeef", "deadbeef"), ("/v12.3", "v{num}.{num}")])
 def test_typed_paths(spark, path, shape):
     from pyspark.sql import functions as F
