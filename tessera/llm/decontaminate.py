@@ -4,16 +4,18 @@ Words lose punctuation at their ends and become template tokens: words with a di
 capitalised words inside a sentence are <name>, all others stand for themselves in lower case. A second stream keeps
 names as lower-case words, so that a copy in another case is found as well. Windows of WINDOW tokens of either stream,
 at least half of them literal, are hashed; the benchmark's windows are looked up by hash in those of each whole text.
+Windows with fewer literals, and whole items of fewer than SHORTEST tokens, are looked up by the words themselves, in
+lower case and without punctuation at their ends, so that verbatim copies are always found.
 
 Hits of a text with an item are grouped by their offset (place in the text minus place in the item). Within an offset
 the slots must be consistent: one value of the item's slots always stands for the same value in the text; hits with a
-slot against the majority are dropped. An item is leaked into a text if the remaining hits cover at least COVERAGE of
+slot against the majority are dropped; hits by the words themselves stay. An item is leaked into a text if the remaining hits cover at least COVERAGE of
 its tokens, or a run of RUN tokens. Where slot values differ it is a re-parameterised copy, else a verbatim one.
 
 The benchmark is handed to the tasks in blocks of at most BLOCK_CHARS characters; each block is one pass over the texts.
 
-Defined cases: null and empty texts and items have no windows; an item of fewer than WINDOW but at least SHORTEST tokens
-is one window of its length, a shorter one is not searched for; repeated rows are reported each; an empty table gives
+Defined cases: null and empty texts and items have no windows; an item of fewer than WINDOW tokens
+is one window of its length, so an item of one word is in every text with that word; repeated rows are reported each; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -61,9 +63,9 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.fresh: tuple[list, list, list, list] = ([], [], [], [])
+        self.fresh: tuple[list, list, list, list, list] = ([], [], [], [], [])
         self.filled, self.names = 0, []
-        self.arrays = (np.empty(1024, np.uint64), np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool))
+        self.arrays = (np.empty(1024, np.uint64), np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool), np.empty(1024, np.uint64))
 
     def __missing__(self, word: str) -> int:
         core = word.strip(_EDGES) or word
@@ -77,11 +79,12 @@ class Words(dict):
             kind, typed, plain = NAME, _SLOT[NAME], own
         else:
             kind, typed, plain = LITERAL, own, own
-        a, b, c, d = self.fresh
+        a, b, c, d, e = self.fresh
         a.append(typed)
         b.append(plain)
         c.append(kind)
         d.append(word[-1] not in _INNER and word.rstrip(_CLOSING)[-1:] in _STOPS)
+        e.append(own)
         self.names.append(low)
         self[word] = k = len(self.names) - 1
         return k
@@ -90,7 +93,7 @@ class Words(dict):
         return self.names[k]
 
     def forms(self) -> tuple[np.ndarray, ...]:
-        """Both hashes, kind and end-of-sentence mark of every form."""
+        """Both hashes, kind, end-of-sentence mark and the hash of the word itself of every form."""
         n = len(self.names)
         if self.filled < n:
             if n > len(self.arrays[0]):
@@ -104,7 +107,7 @@ class Words(dict):
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Form numbers, both hash streams, and kinds as the first stream has them."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        typed, plain, kind, ends = (x[at] for x in self.forms())
+        typed, plain, kind, ends = (x[at] for x in self.forms()[:4])
         # A capital at the start of a sentence makes no name.
         start = np.append(True, ends[:-1]) & (kind == NAME)
         return at, np.where(start, plain, typed), plain, np.where(start, LITERAL, kind)
@@ -118,29 +121,15 @@ def window_hashes(stream: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Benchmark:
-    """Windows of some items, sorted by hash."""
+class Index:
+    """Windows of items, sorted by hash: (hash, item number, place in the item, size)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = Words()
-        self.items, hashes, where = [], [], []
-        for item_id, text in items:
-            own = (text or "").split()
-            if len(own) < SHORTEST:
-                continue
-            at, typed, plain, kind = words.tokens(own)
-            size, number = min(WINDOW, len(own)), len(self.items)
-            self.items.append((item_id, len(own), size, [words.value(k) for k in at], kind))
-            for stream, kinds in ((typed, kind), (plain, words_kind(words, at))):
-                literal = np.convolve(kinds == LITERAL, np.ones(size), "valid")
-                found = window_hashes(stream, size)
-                for p in np.flatnonzero(2 * literal >= size):
-                    hashes.append(found[p])
-                    where.append((number, int(p)))
-        self.sizes = sorted({x[2] for x in self.items})
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable")
-        self.hashes = np.array(hashes, np.uint64)[order]
-        self.where = [where[k] for k in order]
+    def __init__(self, windows: list[tuple[int, int, int, int]]):
+        self.sizes = sorted({x[3] for x in windows})
+        hashes = np.array([x[0] for x in windows], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.where = [windows[k][1:] for k in order]
         self.table = np.zeros(1 << 20, bool)
         self.table[self.hashes >> np.uint64(44)] = True
 
@@ -153,8 +142,34 @@ class Benchmark:
             for p in np.flatnonzero(self.table[found >> np.uint64(44)]).tolist():
                 low, high = np.searchsorted(self.hashes, found[p], "left"), np.searchsorted(self.hashes, found[p], "right")
                 for k in range(int(low), int(high)):
-                    if self.items[self.where[k][0]][2] == size:
-                        yield p, *self.where[k]
+                    if self.where[k][2] == size:
+                        yield p, *self.where[k][:2]
+
+
+class Benchmark:
+    """Some items, the windows of their template streams and those looked up by the words themselves."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        words = Words()
+        self.items, typical, exact = [], [], []
+        for item_id, text in items:
+            own = (text or "").split()
+            if not own:
+                continue
+            at, typed, plain, kind = words.tokens(own)
+            size, number = min(WINDOW, len(own)), len(self.items)
+            self.items.append((item_id, len(own), size, [words.value(k) for k in at], kind))
+            left = np.ones(len(own) - size + 1, bool)
+            for stream, kinds in ((typed, kind), (plain, words_kind(words, at))) if len(own) >= SHORTEST else ():
+                literal = np.convolve(kinds == LITERAL, np.ones(size), "valid")
+                held = 2 * literal >= size
+                found = window_hashes(stream, size)
+                typical += [(found[p], number, int(p), size) for p in np.flatnonzero(held)]
+                # What the second stream holds is found there in a verbatim copy.
+                left = ~held
+            found = window_hashes(words.forms()[4][at], size)
+            exact += [(found[p], number, int(p), size) for p in np.flatnonzero(left)]
+        self.typical, self.exact = Index(typical), Index(exact)
 
 
 def words_kind(words: Words, at: np.ndarray) -> np.ndarray:
@@ -166,15 +181,18 @@ def words_kind(words: Words, at: np.ndarray) -> np.ndarray:
 def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
     """(item_id, coverage, windows, slots, changed slots, kind) of the items leaked into a text."""
     own = text.split()
-    if len(own) < SHORTEST:
+    if not own:
         return []
     at, typed, plain, _ = words.tokens(own)
-    found: dict[tuple[int, int], set[int]] = defaultdict(set)
+    found: dict[tuple[int, int], tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
     for stream in (typed, plain):
-        for p, item, q in bench.hits(stream):
-            found[item, p - q].add(q)
+        for p, item, q in bench.typical.hits(stream):
+            found[item, p - q][0].add(q)
+    if bench.exact.sizes:
+        for p, item, q in bench.exact.hits(words.forms()[4][at]):
+            found[item, p - q][1].add(q)
     out, best = [], defaultdict(lambda: (set(), 0, Counter(), 0))
-    for (item, offset), places in found.items():
+    for (item, offset), (places, exact) in found.items():
         _, _, size, values, kind = bench.items[item]
         stands: dict[tuple[int, str], Counter] = defaultdict(Counter)
         slots = sorted({q + k for q in places for k in range(size) if kind[q + k] != LITERAL})
@@ -182,11 +200,12 @@ def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
             stands[int(kind[s]), values[s]][words.value(at[offset + s])] += 1
         agreed = {k: c.most_common(1)[0][0] for k, c in stands.items()}
         odd = {s for s in slots if agreed[int(kind[s]), values[s]] != words.value(at[offset + s])}
-        kept = {q for q in places if not any(q + k in odd for k in range(size))}
+        kept = exact | {q for q in places if not any(q + k in odd for k in range(size))}
         covered = {q + k for q in kept for k in range(size)}
-        changed = {s for s in slots if s in covered and words.value(at[offset + s]) != values[s]}
+        slots = sorted(s for s in covered if kind[s] != LITERAL)
+        changed = {s for s in slots if words.value(at[offset + s]) != values[s]}
         held, windows, all_slots, n_changed = best[item]
-        best[item] = (held | covered, windows + len(kept), all_slots + Counter(s for s in slots if s in covered), n_changed + len(changed))
+        best[item] = (held | covered, windows + len(kept), all_slots + Counter(slots), n_changed + len(changed))
     for item, (covered, windows, slots, changed) in best.items():
         item_id, length = bench.items[item][:2]
         run = longest = 0

@@ -139,6 +139,15 @@ def test_inconsistent_slots_are_no_copy(spark):
     assert (1, 1) not in got or got[1, 1].coverage < got[0, 1].coverage
 
 
+def test_verbatim_items_of_numbers_and_short_items(spark):
+    sums, row, short = "12 + 30 = 42 ; 7 x 6 = 42 m 9 s", "3.5 kg 12 m 40 s 18 c 77 f 5 a 6 h", "Capital of Peru?"
+    items = [(1, sums), (2, row), (3, short), (4, "42 km"), (5, f"{row} is what the table of {short} says")]
+    texts = [PAD + sums + " " + PAD, row, f"{PAD}capital of peru? {PAD}", "42 km", row.replace("1", "2"), PAD, f"{PAD} {row} is what the table of {short} says"]
+    got = leaks(spark, texts, items)
+    assert {k for k, r in got.items() if r.coverage == 1.0} == {(0, 1), (1, 2), (2, 3), (3, 4), (6, 2), (6, 3), (6, 5)}
+    assert {r.kind for r in got.values()} == {"verbatim"} and not {d for d, _ in got} & {4, 5}
+
+
 def test_decontamination_empty(spark):
     assert leaks(spark, [], [(1, QUESTION)]) == {}
     assert leaks(spark, [QUESTION], []) == {}
