@@ -5,7 +5,7 @@ stage's result as Parquet and reads it back. All stages but the last return the
 
 Defined cases: rows without text or letters are rejected by language ID; of documents that near-duplicate links
 connect, the one with the smallest id stays; rows with a null id pass that stage; repeated rows become one row there;
-an empty table passes through every stage.
+leaks are dropped by id and text, so null and shared ids are told apart; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark items."""
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = materialise(found.select(F.col("doc_id").alias("leaked")).distinct(), "pipeline-leaks")
-    return docs.join(leaked, F.col("doc_id") == F.col("leaked"), "left_anti")
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_copy=True)
+    leaked = materialise(found.select(F.col("doc_id").alias("leaked"), "copy").distinct(), "pipeline-leaks")
+    # Ids can be null or shared by different texts; the hash tells the rows apart.
+    hashed = docs.withColumn("__copy", F.xxhash64("text"))
+    return hashed.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked")) & (F.col("__copy") == F.col("copy")), "left_anti").drop("__copy")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

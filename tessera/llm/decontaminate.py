@@ -217,12 +217,13 @@ def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document and benchmark item (item_id, text) leaked into it."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, with_copy: bool = False) -> DataFrame:
+    """One row per document and benchmark item (item_id, text) leaked into it; ``with_copy`` adds the hash of its text."""
     items = benchmark.where(F.length(F.trim("text")) > 0).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *[F.xxhash64("text").alias("copy")] * with_copy).where(F.col("text").isNotNull())
+    schema = _SCHEMA + ", copy long" * with_copy
     parts = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -232,13 +233,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
             words = Words()
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text, *copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if len(words) > MEMO:
                         words = Words()
-                    out += [(doc_id, *x) for x in leaks(held.value, words, text)]
+                    out += [(doc_id, *x, *copy) for x in leaks(held.value, words, text)]
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _SCHEMA.split(", ")])
+                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * with_copy]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-        parts.append(map_arrow(rows, search, _SCHEMA, 256))
+        parts.append(map_arrow(rows, search, schema, 256))
     return reduce(DataFrame.unionByName, parts)

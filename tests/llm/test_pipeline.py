@@ -50,6 +50,15 @@ def test_pipeline_edge_cases(spark, sf_dir):
     assert out[4].columns == out[0].columns
 
 
+def test_leaks_go_by_id_and_text(spark, sf_dir):
+    item = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    clean = "a text of its own about boats, harbours, ropes and weather on the coast"
+    docs = spark.createDataFrame([(None, item, "en", "s", 1), (1, item, "en", "s", 1), (1, clean, "en", "s", 1), (None, clean, "en", "s", 1), (2, None, "en", "s", 1)], COLUMNS)
+    left = corpus_pipeline.drop_benchmark_leaks(spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, clean), (None, clean), (2, None)}
+
+
 def test_pipeline_empty(spark, sf_dir):
     assert [x.count() for x in stages(spark, spark.createDataFrame([], COLUMNS), sf_dir)] == [0] * 6
 
