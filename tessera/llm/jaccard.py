@@ -431,3 +431,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     return members.join(final, F.col("class_id") == F.col("joined"), "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """All links (a, b), a < b, between the class ids of documents with different sets.
+
+    A link never leaves a component, so all pairs of a component's classes of fitting sizes are verified; the cost grows
+    with the square of their number. Documents of one class link with each other and share the links of their class.
+    """
+    docs = docs.select("doc_id", "text")
+    placed = materialise(jaccard_components(docs, n, percent), "jaccard-components")
+    own = placed.where("n_shingles > 0 AND class_id IS NOT NULL").select("class_id", "n_shingles", "component_id").distinct()
+    one, two = own.toDF("a", "size_a", "component_id"), own.toDF("b", "size_b", "component_id")
+    fits = (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
+    pairs = materialise(one.join(two, "component_id").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "jaccard-pairs")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text"))
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return verify(pairs, texts.join(involved, "node", "left_semi"), n, percent)

@@ -60,6 +60,20 @@ def test_components_equal_brute_force(spark, seed, n, percent):
     assert {r.doc_id: r.component_id for r in got} == brute_jaccard(rows, n, percent)
 
 
+def test_links_inside_components_equal_brute_force(spark):
+    rows = near_copies(2)
+    first = {}
+    for i, text in sorted(rows):
+        w = text.split()
+        first.setdefault(frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))), i)
+    flat = [(i, s) for s, i in first.items()]
+    want = {(min(i, j), max(i, j)) for k, (i, a) in enumerate(flat) for j, b in flat[:k] if 100 * len(a & b) >= 60 * len(a | b)}
+    got = [tuple(r) for r in jaccard.jaccard_links(spark.createDataFrame([(*r, "s", "n", "b") for r in rows], DOC), 3, 60).select("a", "b").collect()]
+    ids = components(list(first.values()), want)
+    assert len(want) > len(ids) - len(set(ids.values())), "some links are not needed for the components"
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_jaccard_edge_cases(spark):
     long = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
     rows = [(5, "one"), (3, "ONE"), (9, None), (8, ""), (7, " \n"), (2, long), (1, long + "end"), (1, long + "end"), (None, "one"), (None, None), (6, "É"), (4, "é"), (20, "x " * 50_000), (21, "x x"), (22, "x x x")]
