@@ -72,10 +72,17 @@ def question_marks(question: Column) -> dict[str, Column]:
     return {name: tx.has(q, p) for name, p in patterns.items()}
 
 
-def metadata_summary(question: Column, dataset: Column, question_type: Column, hops: Column) -> Column:
-    """P18 as a struct."""
+def metadata_summary(
+    question: Column, dataset: Column, question_type: Column, hops: Column, level: Column | None = None, flags: Column | None = None,
+    wh_word: Column | None = None, entity_bin: Column | None = None, token_bin: Column | None = None, error_tag: Column | None = None,
+) -> Column:
+    """P18 as a struct of 16 keys, and the error tag for failure records; what is not given is null, flags are empty."""
+    none = F.lit(None).cast("string")
     own = {"task_family": task_family(dataset), "estimated_hops": hops, "question_type": F.coalesce(question_type, F.lit("unknown"))}
-    return F.struct(*[c.alias(n) for n, c in (own | question_marks(question)).items()])
+    own |= {"level": none if level is None else level, "flags": F.coalesce(F.array().cast("array<string>") if flags is None else flags, F.array().cast("array<string>"))}
+    own |= {n: none if c is None else c for n, c in (("wh_word", wh_word), ("entity_bin", entity_bin), ("token_bin", token_bin))}
+    last = {} if error_tag is None else {"failure_error_tag": error_tag}
+    return F.struct(*[c.alias(n) for n, c in (own | question_marks(question) | last).items()])
 
 
 def _first(chosen: Column, legal: Column, limit: int = 5) -> Column:

@@ -1,4 +1,6 @@
-"""Scalar text functions (survey F1-F20) as Column expressions; all keep whole-stage code generation.
+"""Scalar text functions (survey F1-F20) as Column expressions.
+
+Those that work on arrays or bind a value (``let``) are interpreted; the others keep whole-stage code generation.
 
 Nulls behave as empty strings where a function says so. Regular expressions carry ``(?U)`` so that word characters and
 boundaries are those of Unicode, not of ASCII.
@@ -131,21 +133,29 @@ def packet_id(dataset: Column, signature: Column) -> Column:
     return F.concat(dataset, F.lit("_sig_"), F.substring(F.sha1(F.concat(dataset, F.lit("::"), signature).cast("binary")), 1, 12))
 
 
-def canonical_json(fields: dict[str, tuple[str, Column]]) -> Column:
-    """sorted keys with ``", "`` and ``": "`` between; kinds: text, number, texts (an array)."""
+def _quoted(value: Column) -> Column:
+    """A JSON string; control characters but newline, tab and return do not occur in the texts that are shown so."""
+    out = value
+    for plain, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(plain), F.lit(shown))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
 
-    def quoted(value: Column) -> Column:
-        return F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+def json_pair(name: str, kind: str, value: Column) -> Column:
+    """``"name": value``; kinds: text, number, texts (an array)."""
+    if kind == "number":
+        shown = F.coalesce(value.cast("string"), F.lit("null"))
+    elif kind == "texts":
+        shown = F.concat(F.lit("["), F.array_join(F.transform(value, _quoted), ", "), F.lit("]"))
+    else:
+        shown = F.coalesce(_quoted(value), F.lit("null"))
+    return F.concat(F.lit(f'"{name}": '), shown)
 
-    def shown(kind: str, value: Column) -> Column:
-        if kind == "number":
-            return F.coalesce(value.cast("string"), F.lit("null"))
-        if kind == "texts":
-            return F.concat(F.lit("["), F.array_join(F.transform(value, quoted), ", "), F.lit("]"))
-        return F.coalesce(quoted(value), F.lit("null"))
 
-    parts = [F.concat(F.lit(f'"{name}": '), shown(*fields[name])) for name in sorted(fields)]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+def canonical_json(fields: dict[str, tuple[str, Column]]) -> Column:
+    """sorted keys with ``", "`` and ``": "`` between; kinds: text, number, texts (an array)."""
+
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[json_pair(name, *fields[name]) for name in sorted(fields)]), F.lit("}"))
 
 
 def target_size(n: Column, types: Column, hops: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,32 +17,50 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: Folders that this application has made in the shared folder.
-_MADE: list[str] = []
+#: Folders that this application has made in the shared folder, by the owner in whose name they were made.
+_MADE: dict[str, list[str]] = {}
+_OWNERS: list[str] = []
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Delete the intermediate tables and files of this application, once its results are written elsewhere."""
-    jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_shared(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete the intermediate tables and files of this application, or of one owner, once the results are written."""
+    for name in [n for n in _MADE if owner is None or n == owner]:
+        for folder in _MADE.pop(name):
+            _delete(spark, folder)
+
+
+@contextlib.contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Folders made inside belong to ``owner``, see ``clear_shared``."""
+    _OWNERS.append(owner)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a local shell) a temporary folder is set as checkpoint folder.
+    Only where that setting is absent and the master is local (tests, a shell) a temporary folder becomes the checkpoint
+    folder; on a cluster a folder of one machine would be of no use to the others, so its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
+        base = spark.sparkContext.getCheckpointDir()
+        if base is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            held = spark.sparkContext.getCheckpointDir()
-        base = held
-    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+            base = spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(_OWNERS[-1] if _OWNERS else "", []).append(folder)
+    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +71,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one computation, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``materialise``, under a name for ``drop``."""
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        self.folders.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for folder in self.folders.pop(name, ()):
+                _delete(self.spark, folder)
+
+    def drop_all(self, but: tuple[str, ...] = ()) -> None:
+        """All but the tables that a result reads."""
+        self.drop(*[n for n in self.folders if n not in but])
+
+
+#: Sides of a join up to this size go to all tasks; the size is counted, and beyond it both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def beside(narrow: DataFrame, width: int) -> DataFrame:
+    """A written table, about ``width`` bytes a row, as the small side of a join with rows that hold texts.
+
+    Up to BROADCAST_BYTES, by its counted rows, it is broadcast. Beyond, both sides are shuffled, and each task hashes
+    its part of the narrow side instead of sorting texts; that part stays far smaller than the texts that it meets.
+    """
+    return F.broadcast(narrow) if narrow.count() * width <= BROADCAST_BYTES else narrow.hint("shuffle_hash")
+
+
+def spare(taken: Iterable[str], name: str) -> str:
+    """A column name that is not among ``taken``, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: Arrow batches that hold whole texts, in bytes; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -79,15 +142,19 @@ def _release() -> None:
         return
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from now on in this session."""
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not most.isdigit() or int(most) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int | None = None, owner: str | None = None) -> DataFrame:
     """``mapInArrow`` with bounded memory: batches of BATCH_BYTES for this session, cut to ``rows`` rows if asked for.
 
     A worker drops what it holds for other operators than ``owner`` before it begins.
     """
-    conf = df.sparkSession.conf
-    most = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
-    if not most.isdigit() or int(most) > BATCH_BYTES:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _keep_only(owner)

@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two document
 100 * intersection >= percent * union. The result gives each document its class (documents with equal sets) and its
 component (documents that links connect).
 
-1. Shingles of very many documents are found: each block of documents reports those that a set share of its documents
-   holds, so a shingle of that share of all documents is reported somewhere. They only move to the end of the order in
-   which prefixes are taken; at most mean set size / share shingles can be meant.
+1. A count sketch of fixed size, merged from sketches of blocks of documents, says about how many documents hold each
+   shingle. Prefixes take shingles from the rarest on, so that shared ones stay rare at any size; the sketch decides the
+   order alone, so its errors cost time and no links.
 2. Each document becomes set size, fingerprint, prefix (the first size - ceil(percent * size / 100) + 1 shingles of the
    order: linked documents share one of them) and a bitmap whose width grows with the set. Equal sets become one node.
 3. Nodes meet under pairs of a prefix shingle and a class of sizes, the first level of the tree; a node enters its own
@@ -41,15 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import Scratch, map_arrow, materialise
 from .components import connected_components
 
-#: Shingles in at least this share of the documents go to the end of the prefix order.
-FREQUENT = 5e-4
-#: ... and in at least this many documents of a block.
-LEAST = 3
-#: Shingles that a block of documents holds at most while frequent ones are counted.
-BLOCK_SHINGLES = 2_000_000
+#: Cells of the count sketch, and the parts in which it is merged.
+SKETCH_BITS = 24
+SKETCH_PARTS = 512
+#: Shingles of documents that one block's sketch counts.
+BLOCK_SHINGLES = 32_000_000
 LEAF = 32
 #: Bits of a bitmap for each shingle, at least.
 BITS_EACH = 2
@@ -57,8 +56,6 @@ BITS_EACH = 2
 WIDE_BITS_EACH = 48
 #: Greatest size over least size of a class, about.
 CLASS_RATIO = 1.5
-#: Up to this many nodes are compared without a tree.
-FEW = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -102,39 +99,73 @@ def meeting_keys(prefix: np.ndarray, size: int, percent: int) -> np.ndarray:
     return np.concatenate([(prefix + np.uint64(k)) * _STEP for k in range(own, most + 1)])
 
 
-def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of the shingles that at least FREQUENT of the documents hold, up to the counting of the blocks."""
+def _cells(sets: np.ndarray) -> np.ndarray:
+    """Cells of the sketch; by other bits of the hash than those that bitmaps use."""
+    return ((sets * _STEP) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: exact up to 31, then eight levels per doubling."""
+    grown = 32 + np.floor(8 * (np.log2(np.maximum(counts, 32)) - 5))
+    return np.where(counts < 32, counts, np.minimum(grown, 255)).astype(np.uint8)
+
+
+def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
+    """A byte for each cell, ascending with the number of documents that hold a shingle of the cell.
+
+    Blocks count in one byte per cell, up to 255: a shingle in more of a block's documents is frequent anyway. The
+    blocks' sketches are merged part by part; only the merged one, of 2^SKETCH_BITS bytes, comes to the driver.
+    """
+    part = (1 << SKETCH_BITS) // SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        seen, size = np.zeros(1 << SKETCH_BITS, np.uint8), 0
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(LEAST, FREQUENT * len(held))
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["shingle", "df"])
+            found = [(k, pa.compress(own.tobytes(), "zstd", asbytes=True)) for k in range(SKETCH_PARTS) if (own := seen[k * part : (k + 1) * part]).any()]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["part", "seen"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, n))
-                size += len(held[-1])
-                if size > BLOCK_SHINGLES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
+            sets = [np.empty(0, np.uint64), *(shingles(text, n) for text in batch.column(0).to_pylist())]
+            cells, counts = np.unique(_cells(np.concatenate(sets)), return_counts=True)
+            seen[cells] = np.minimum(seen[cells] + counts, 255)
+            size += sum(map(len, sets))
+            if size > BLOCK_SHINGLES:
+                yield flush()
+                seen[:], size = 0, 0
+        if size:
             yield flush()
 
-    counts = map_arrow(docs.select(F.col("text").cast("binary")), count, "shingle long, df long", 512).groupBy("shingle").agg(F.sum("df").alias("df"))
-    least = max(LEAST, FREQUENT * docs.count() / 2)
-    found = counts.where(F.col("df") >= least).select("shingle").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, np.uint64)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = -1, np.zeros(part, np.int64)
 
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([_levels(total).tobytes()], pa.binary())], names=["part", "levels"])
 
-def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != own:
+                    if own >= 0:
+                        yield done()
+                    own, total = k, np.zeros(part, np.int64)
+                total += np.frombuffer(pa.decompress(raw, part, "zstd"), np.uint8)
+        if own >= 0:
+            yield done()
+
+    seen = map_arrow(docs.select(F.col("text").cast("binary")), count, "part int, seen binary", 256)
+    merged = map_arrow(seen.repartition("part").sortWithinPartitions("part"), merge, "part int, levels binary").toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for k, raw in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist(), strict=True):
+        out[k * part : (k + 1) * part] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def signatures(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """doc_id, size, fingerprint, prefix and bitmap of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held.value
+        levels = held.value
         for batch in batches:
             sizes, first, second, prefixes, bitmaps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -143,12 +174,9 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                 sizes.append(k)
                 first.append(int(np.add.reduce(_spread(own), dtype=np.uint64).view(np.int64)))
                 second.append(int(np.bitwise_xor.reduce(own * _STEP).view(np.int64)) if k else 0)
-                if len(often) and k:
-                    late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                    ordered = np.concatenate([own[~late], own[late]])
-                else:
-                    ordered = own
-                prefixes.append(meeting_keys(ordered[: k - -(-percent * k // 100) + 1], k, percent).view(np.int64) if k else [])
+                # Rarest first, by the hash where the sketch has them equal: one order for all documents.
+                rarest = own[np.argsort(levels[_cells(own)], kind="stable")[: k - -(-percent * k // 100) + 1]]
+                prefixes.append(meeting_keys(rarest, k, percent).view(np.int64) if k else [])
                 bitmaps.append(bitmap(own) if k else b"")
             arrays = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "fp_a", "fp_b", "prefix", "bits"])
@@ -157,6 +185,35 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
     return map_arrow(rows, sign, "doc_id long, n int, fp_a long, fp_b long, prefix array<long>, bits binary", 512)
 
 
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, n, node) -> the rows that stand beside one of a fitting size, in order of size under their token.
+
+    One exchange and one sort; tasks look at neighbouring rows only, so a token of very many rows needs no memory.
+    """
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            token, size, node = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            fits = (token[1:] == token[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:].astype(np.int64))
+            # The last row waits for its next neighbour; the one before it is only looked at again.
+            settled = np.zeros(len(token), bool)
+            settled[1:] |= fits
+            settled[:-1] |= fits
+            begin = 0 if held is None else len(held[0]) - 1
+            keep = np.flatnonzero(settled[begin:-1]) + begin
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep])], names=["token", "node"])
+            held = [x[-2:].copy() for x in (token, size, node)]
+        if held is not None and len(held[0]) == 2 and held[0][0] == held[0][1] and 100 * int(held[1][0]) >= percent * int(held[1][1]):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][-1:]), pa.array(held[2][-1:])], names=["token", "node"])
+
+    dealt = rows.select("token", "n", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    return map_arrow(dealt, beside, "token long, node long")
+
+
 def wide_bitmaps(texts: DataFrame, n: int) -> DataFrame:
     """(node, text) -> own, n and a bitmap of WIDE_BITS_EACH bits for each shingle."""
 
@@ -239,33 +296,11 @@ def _fold(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
-def _few(sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int, int]]:
-    """As ``bucket_pairs``, for a handful of nodes."""
-    out, size, group, bits = [], sizes.tolist(), groups.tolist(), {}
-    for i in range(len(size)):
-        for j in range(i):
-            m, n = size[i], size[j]
-            if group[i] == group[j] or 100 * min(m, n) < percent * max(m, n):
-                continue
-            width = min(len(bitmaps[i]), len(bitmaps[j]))
-            for k in (i, j):
-                if (k, width) not in bits:
-                    raw = np.frombuffer(bitmaps[k], np.uint64).reshape(1, -1)
-                    bits[k, width] = int.from_bytes((raw if len(bitmaps[k]) == width else _fold(raw)).tobytes(), "little")
-            x, y = bits[i, width], bits[j, width]
-            most = min(m - (x & ~y).bit_count(), n - (y & ~x).bit_count())
-            if 100 * most >= percent * (m + n - most):
-                out.append((i, j, most))
-    return out
-
-
 def bucket_pairs(sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int, int]]:
     """(place, place, largest possible overlap) of nodes under one shingle that may link.
 
     There is a tree for each width of bitmaps, traversed against itself and the next width.
     """
-    if len(sizes) <= FEW:
-        return _few(sizes, groups, bitmaps, percent)
     widths = np.array([len(b) for b in bitmaps])
     out, trees = [], {}
     for w in np.unique(widths):
@@ -376,58 +411,56 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, class_id, component_id, one row per row."""
-    docs = docs.select("doc_id", "text")
-    signed = materialise(signatures(docs, n, percent, frequent_shingles(docs, n)), "jaccard-signatures")
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
+    signed = scratch.table(signatures(docs, n, percent, count_sketch(docs, n)), "jaccard-signatures")
     fp = ["n", "fp_a", "fp_b"]
     classes = signed.where("n > 0").groupBy(*fp).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    classes = materialise(classes.withColumnsRenamed({c: f"{c}_c" for c in fp}), "jaccard-classes")
+    classes = scratch.table(classes.withColumnsRenamed({c: f"{c}_c" for c in fp}), "jaccard-classes")
     same = (F.col("n") == F.col("n_c")) & (F.col("fp_a") == F.col("fp_a_c")) & (F.col("fp_b") == F.col("fp_b_c"))
-    members = materialise(signed.select("doc_id", *fp).join(classes, same, "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id")), "jaccard-members")
+    members = scratch.table(signed.select("doc_id", *fp).join(classes, same, "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id")), "jaccard-members")
 
     copies = members.where("class_id != doc_id").select("doc_id").distinct()
     nodes = signed.where("n > 0 AND doc_id IS NOT NULL").join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     # Rows that share an id but not a text can be a copy and a node at once; such a node stays.
     both = members.where("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low != high").select("doc_id")
     nodes = nodes.unionByName(signed.where("n > 0").join(both, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
-    rows = nodes.select("node", "n", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("token").alias("met"))
-    shared = materialise(shared, "jaccard-shared")
-    by_size = Window.partitionBy("token").orderBy("n")
-    fits = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    met = rows.join(shared, F.col("token") == F.col("met"), "left_semi").withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
-    met = materialise(met.select("token", "node").distinct(), "jaccard-meetings")
+    met = scratch.table(meetings(nodes.select("node", "n", F.explode("prefix").alias("token")), percent).distinct(), "jaccard-meetings")
+    small = scratch.table(nodes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("own"), "n", "bits").dropDuplicates(["own", "n"]), "jaccard-bitmaps")
+    scratch.drop("jaccard-signatures", "jaccard-classes")
     # Near copies meet under many keys; of keys with the same nodes one is enough.
     sets = [F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     once = met.groupBy("token").agg(*sets).groupBy("members", "low", "high", "x", "y").agg(F.min("token").alias("kept")).select("kept")
-    met = materialise(met.join(once, F.col("token") == F.col("kept"), "left_semi"), "jaccard-met")
-    small = nodes.select(F.col("node").alias("own"), "n", "bits").dropDuplicates(["own", "n"])
+    met = scratch.table(met.join(once, F.col("token") == F.col("kept"), "left_semi"), "jaccard-met")
+    scratch.drop("jaccard-meetings")
 
     def trees(frame: DataFrame, bitmaps: DataFrame, nearest: bool) -> DataFrame:
         full = frame.join(bitmaps, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
         return _candidates(full, percent, nearest)
 
-    near = materialise(trees(met.withColumn("component", F.col("node")), small, True), "jaccard-near")
-    involved = materialise(near.select(F.col("a").alias("involved")).union(near.select("b")).distinct(), "jaccard-involved")
+    near = scratch.table(trees(met.withColumn("component", F.col("node")), small, True), "jaccard-near")
+    scratch.drop("jaccard-bitmaps")
+    involved = scratch.table(near.select(F.col("a").alias("involved")).union(near.select("b")).distinct(), "jaccard-involved")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(involved, F.col("doc_id") == F.col("involved"), "left_semi")
-    texts = materialise(texts.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")), "jaccard-texts")
-    found = materialise(verify(near, texts, n, percent), "jaccard-links")
+    texts = scratch.table(texts.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("text")), "jaccard-texts")
+    found = scratch.table(verify(near, texts, n, percent), "jaccard-links")
     wide = wide_bitmaps(texts, n).dropDuplicates(["own", "n"])
 
-    def unjoined(links: DataFrame) -> DataFrame:
+    def unjoined(links: DataFrame, name: str) -> DataFrame:
         """Meetings under keys whose nodes are of several components; a node without a partner so far has none."""
         joined = connected_components(links).withColumnRenamed("node", "placed")
         placed = met.join(involved, F.col("node") == F.col("involved"), "left_semi").join(joined, F.col("node") == F.col("placed"), "left")
-        placed = materialise(placed.select("token", "node", F.coalesce("component", "node").alias("component")), "jaccard-placed")
+        placed = scratch.table(placed.select("token", "node", F.coalesce("component", "node").alias("component")), name)
         mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("token").alias("open"))
         return placed.join(mixed, F.col("token") == F.col("open"), "left_semi")
 
     # Nearest partners in other components join most of what belongs together, so few pairs are left for the last pass.
-    again = materialise(trees(unjoined(found), wide, True).join(near, ["a", "b"], "left_anti"), "jaccard-near")
-    found = materialise(found.unionByName(verify(again, texts, n, percent)), "jaccard-links")
+    again = scratch.table(trees(unjoined(found, "jaccard-placed-1"), wide, True).join(near, ["a", "b"], "left_anti"), "jaccard-again")
+    found = scratch.table(found.unionByName(verify(again, texts, n, percent)), "jaccard-found")
     tried = near.unionByName(again)
-    rest = trees(unjoined(found), wide, False).join(tried, ["a", "b"], "left_anti")
-    more = materialise(verify(rest, texts, n, percent), "jaccard-links")
+    rest = trees(unjoined(found, "jaccard-placed-2"), wide, False).join(tried, ["a", "b"], "left_anti")
+    more = scratch.table(verify(rest, texts, n, percent), "jaccard-more")
     final = connected_components(found.unionByName(more)).withColumnRenamed("node", "joined")
+    scratch.drop_all(but=("jaccard-members",))
     return members.join(final, F.col("class_id") == F.col("joined"), "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )

@@ -16,16 +16,15 @@ result. ``predict`` keeps all input columns, replacing ones named like its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import crc32_text, map_arrow
+from .common import crc32_text, limit_batches, map_arrow
 
 ORDERS = (2, 3, 4)
 BITS = 18
@@ -170,31 +169,37 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, train: int = TRAIN, ridge:
     return Model(languages, weights)
 
 
+def detector(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """Texts -> struct<lang_pred, score>. Only the texts go through Python; other columns stay where they are."""
+    limit_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def score(texts: pa.Array) -> pa.Array:
+        own, names, values = held.value, [], []
+        for low in range(0, len(texts), 512):
+            slots, sure = [], []
+            for t in texts.slice(low, 512).to_pylist():
+                points, letters = codes(t) if t is not None else (None, False)
+                sure.append(letters and bool(own.languages))
+                slots.append(presence(points) if sure[-1] else np.empty(0, np.int32))
+            if own.languages:
+                best, share = own.score(slots)
+                names += [own.languages[b] if s else UNDETERMINED for b, s in zip(best, sure, strict=True)]
+                values += [float(v) if s else 0.0 for v, s in zip(share, sure, strict=True)]
+        if not own.languages:
+            names, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["lang_pred", "score"])
+
+    # The evaluation type is told by these, which must be types and not their names.
+    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(score, "lang_pred string, score double")
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score, from the text alone."""
-    kept = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    at = [f.name for f in kept].index("text")
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                slots, sure = [], []
-                for t in batch.column(at).to_pylist():
-                    points, letters = codes(t) if t is not None else (None, False)
-                    sure.append(letters and bool(own.languages))
-                    slots.append(presence(points) if sure[-1] else np.empty(0, np.int32))
-                names, values = [UNDETERMINED] * len(sure), [0.0] * len(sure)
-                if own.languages:
-                    best, share = own.score(slots)
-                    names = [own.languages[b] if s else UNDETERMINED for b, s in zip(best, sure, strict=True)]
-                    values = [float(v) if s else 0.0 for v, s in zip(share, sure, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=[f.name for f in schema.fields])
-
-    return map_arrow(docs.select(*[F.col(f"`{f.name}`") for f in kept]), score, schema)
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), detector(docs.sparkSession, model)(F.col("text")).alias("found"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], "found.lang_pred", "found.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -17,9 +17,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    sizes = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mixing.mix(sizes, sizes=sizes)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = materialise(docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    mixed = mixing.plan(sizes)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

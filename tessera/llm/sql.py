@@ -87,10 +87,10 @@ l AS (
     trim(regexp_replace(regexp_replace(lower(line), '\p{N}', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
   FROM (SELECT rid, source, whole, unnest(string_split(whole, chr(10))) AS line FROM d)),
 x AS (SELECT * FROM l WHERE words > 0),
-h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+h AS (SELECT source, count(DISTINCT whole) AS docs FROM d GROUP BY source),
 bad AS (
   SELECT source, norm FROM (SELECT source, norm, count(DISTINCT whole) AS n FROM x WHERE words >= 3 GROUP BY ALL) f
-  WHERE n > 100 AND n > 0.02 * (SELECT docs FROM h WHERE h.source IS NOT DISTINCT FROM f.source)),
+  WHERE n > greatest(5, least(0.02 * (SELECT docs FROM h WHERE h.source IS NOT DISTINCT FROM f.source), 100))),
 gone AS (SELECT rid, sum(words) AS n FROM x JOIN bad ON x.source IS NOT DISTINCT FROM bad.source AND x.norm = bad.norm GROUP BY rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM x GROUP BY rid),
 f AS (

@@ -43,7 +43,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
 #: Word encodings that a worker keeps, in two generations.
-MEMO = 1_000_000
+MEMO = 400_000
 
 MANIFEST = "part long, shard long, path string, documents long, ids long"
 _HEAD = struct.Struct("<IBHH")
@@ -143,13 +143,16 @@ class Encoder:
     """A tokenizer that remembers the encodings of words.
 
     Byte-level BPE cuts a text before each space or newline that follows another character, and what it makes of a
-    piece does not depend on its neighbours, so pieces are looked up. Latin words with at most one mark after them go
-    straight to the model, which the cut would hand them to. Texts in which a cut would fall inside a run of white
-    space or a special token are encoded whole.
+    piece does not depend on its neighbours, so pieces are looked up. Pieces of Latin-1 characters without white space are
+    cut here into what the library would hand to its model (contractions, letters, numbers, other signs) and go straight
+    there. Other pieces, and texts in which a cut would fall inside a run of white space or a special token, are encoded
+    whole by the library.
     """
 
     _RUN = re.compile(r"\s[ \n]")
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+    _LATIN = re.compile("[!-~\xa1-\xff]+")
+    #: The cuts of byte-level BPE, for Latin-1.
+    _CUTS = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^ A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
     #: White space besides space and newline.
     _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
     #: Byte-level BPE writes the bytes 0x80-0xA0 and 0xAD as further characters, all other bytes above 0x80 as themselves.
@@ -162,27 +165,30 @@ class Encoder:
         self.limit, self.line = memo, self._whole("\n")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.model._resize_cache(0)
+        self.model = self.tokenizer.model.tokenize
         self.single = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: self._whole(m) for m in ("", *".,;:!?")}
+        self.marks = {m: self._whole(m) for m in ".,;:!?"}
         self.memo = _Pieces(self._piece, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, mapped: str) -> bytes:
+        found = self.model(mapped)
+        return self.single[found[0].id] if len(found) == 1 else b"".join([self.single[t.id] for t in found])
+
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece that follows a space, or that begins with a newline."""
         line = piece[:1] == "\n"
-        found = self._PLAIN.fullmatch(piece, line)
-        if not found:
+        body = piece[1:] if line else piece
+        if body.isalpha() and body.isascii():
+            return self.line + self._ids(body) if line else self._ids("Ġ" + body)
+        if body[-1:] in self.marks and body[:-1].isalpha() and body.isascii():
+            return self.memo[piece[:-1]] + self.marks[body[-1]]
+        if not self._LATIN.fullmatch(body):
             return self._whole(piece if line else " " + piece)
-        word, mark = found.groups()
-        if mark:
-            return self.memo[piece[:-1]] + self.marks[mark]
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self._BYTES)
-        single = self.single
-        if line:
-            return self.line + b"".join([single[t.id] for t in self.tokenizer.model.tokenize(mapped)])
-        return b"".join([single[t.id] for t in self.tokenizer.model.tokenize("Ġ" + mapped)])
+        cuts = self._CUTS.findall(body if line else " " + body)
+        return self.line * line + b"".join([self._ids(c.encode().decode("latin-1").translate(self._BYTES)) for c in cuts])
 
     def _joined(self, text: str) -> bool:
         """Whether a cut could fall inside white space or a special token."""
@@ -314,7 +320,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, folder: str | None =
             names = [f.split()[0] for f in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*writer.done, strict=True)], names=names)
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges are of ids alone, so the sample that cuts them, which goes to the driver, holds no text.
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(by_id).sortWithinPartitions(by_id, "text")
     return materialise(map_arrow(ordered, write, MANIFEST, owner="tokens"), "token-manifest")
 
 

@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import written
 
-from .sampling import seeded
+from .sampling import head, seeded
 
 
-def groups(profiles: DataFrame, key: str = "signature") -> DataFrame:
-    """One row per signature with its size, ids by md5, largest first."""
-    made = profiles.groupBy("dataset", key).agg(F.count(F.lit(1)).alias("size"), F.first("native_type").alias("native_type"), F.first("hop_count").alias("hop_count"), F.first("flags").alias("heuristic_flags"), F.first("entity_bin").alias("entity_bin"), F.min_by("answer_form_hint", "id").alias("answer_form"))
+def groups(profiles: DataFrame, key: str = "signature", representatives: DataFrame | None = None) -> DataFrame:
+    """One row per signature with its size, ids by md5, its attributes by its row of the smallest id.
+
+    ``representatives`` (key, answer_form_hint, place): the answer form is that of the first one, else of the smallest id.
+    """
+    own = {"native_type": "native_type", "hop_count": "hop_count", "flags": "heuristic_flags", "entity_bin": "entity_bin", "answer_form_hint": "answer_form"}
+    made = profiles.groupBy("dataset", key).agg(F.count(F.lit(1)).alias("size"), *[F.min_by(c, "id").alias(n) for c, n in own.items()])
+    if representatives is not None:
+        first = representatives.groupBy(F.col(key).alias("__key")).agg(F.min_by("answer_form_hint", "place").alias("__form"))
+        made = made.join(first, F.col(key) == F.col("__key"), "left").withColumn("answer_form", F.coalesce("__form", "answer_form")).drop("__key", "__form")
     return made.withColumn("group_id", tx.short_md5(F.col(key)))
 
 
@@ -106,21 +114,73 @@ def coverage_sample(rows: DataFrame, table: DataFrame, target: int, key: str = "
     return ranked.join(wanted, F.col("group_id") == F.col("planned_group")).where(F.col("__rank") <= F.col("take")).drop("__rank", "planned_group", "take")
 
 
-def refill(candidates: DataFrame, selected: DataFrame, rejected: DataFrame, question: Column, n: int, order_in_group: Column, group_rank: Column, key: str = "id") -> DataFrame:
-    """N further rows, one per group in turn, whose question is neither selected nor rejected.
+def refill(candidates: DataFrame, selected: DataFrame, rejected: DataFrame, question: Column, n: int, order_in_group: Column, group_rank: Column, key: str = "id", severe: Column | None = None) -> DataFrame:
+    """N further rows, one per group and turn, whose question is neither taken nor rejected nor severely suspicious.
+
+    Groups take turns in order of ``group_rank``; at its turn a group takes its first row, by ``order_in_group``, whose
+    question nobody has taken before. ``selected`` and ``rejected`` have the column ``question_key``.
 
-    ``selected`` and ``rejected`` have the column ``question_key``.
+    A row's turn is its place in the group less the rows before it whose question others took. Only questions that stand
+    in several groups are open; round by round those are settled that no row with a possibly earlier turn can take.
     """
     named = candidates.withColumn("question_key", question).join(selected.select(key), key, "left_anti")
+    named = named if severe is None else named.where(~F.coalesce(severe, F.lit(False)))
     fresh = named.join(selected.select("question_key").union(rejected.select("question_key")).distinct(), "question_key", "left_anti")
-    inside = fresh.withColumn("__turn", F.row_number().over(Window.partitionBy("group_id").orderBy(order_in_group, F.col(key)))).withColumn("__rank", group_rank)
-    once = inside.withColumn("__first", F.row_number().over(Window.partitionBy("question_key").orderBy("__turn", "__rank", key))).where("__first = 1")
-    turned = once.withColumn("__turn", F.row_number().over(Window.partitionBy("group_id").orderBy("__turn", key)))
-    return turned.orderBy("__turn", "__rank", key).limit(n).drop("__turn", "__rank", "__first", "question_key")
+    inside = fresh.withColumn("__order", order_in_group).withColumn("__rank", group_rank)
+    # A question that comes again in its group is never free when its turn comes.
+    again = F.row_number().over(Window.partitionBy("group_id", "question_key").orderBy("__order", key))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("__order", key))
+    own = inside.withColumn("__again", again).where("__again = 1").withColumn("__place", place).drop("__again", "__order")
+    shared = F.count(F.lit(1)).over(Window.partitionBy("question_key"))
+    placed = written(own.withColumn("__open", shared > 1))
+    open_ = placed.where("__open").select(F.col(key).alias("row"), "group_id", "question_key", F.col("__rank").alias("rank"), F.col("__place").alias("place"), F.lit(None).cast("boolean").alias("won"))
+    before = Window.partitionBy("group_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    of_question = Window.partitionBy("question_key")
+    while open_.where("won IS NULL").limit(1).count():
+        lost = F.coalesce(F.count_if(F.col("won") == F.lit(False)).over(before), F.lit(0))
+        unsure = F.coalesce(F.count_if(F.col("won").isNull()).over(before), F.lit(0))
+        known = open_.withColumn("late", F.col("place") - lost).withColumn("early", F.col("late") - unsure)
+        undecided, taken = F.col("won").isNull(), F.max("won").over(of_question)
+        first = F.min(F.when(undecided, F.struct("early", "rank", "row"))).over(of_question)
+        sure = (F.col("late") == F.col("early")) & (F.struct("early", "rank", "row") == first)
+        # A certain turn wins if it is the earliest that any row of the question may have.
+        step = known.withColumn("win", undecided & sure).withColumn("any", F.max("win").over(of_question) | F.coalesce(taken, F.lit(False)))
+        won = F.when(~undecided, F.col("won")).when(F.col("win"), True).when(F.col("any"), False)
+        open_ = written(step.select("row", "group_id", "question_key", "rank", "place", won.alias("won")))
+    gone = open_.where("NOT won").select(F.col("row").alias(key))
+    turned = placed.join(gone, key, "left_anti").withColumn("__turn", F.row_number().over(Window.partitionBy("group_id").orderBy("__place")))
+    return head(turned, n, ["__turn", "__rank", key]).drop("__turn", "__rank", "__place", "__open", "question_key")
+
+
+def budget_pick(group: DataFrame, most: int, top: int = 8, top_flag: int = 10) -> DataFrame:
+    """At most ``most`` annotated groups for a costly review, in stages.
+
+    First the largest of each native type, hop count and entity bin, then of each of the flags that matter, then the
+    rest by ten times their priority plus log2 of their size. ``stage`` tells by which they came in.
+    """
+    # The flags whose groups are taken on their own.
+    flags = ("multi_entity", "relation_chain", "same_attribute", "yes_no", "temporal", "numeric", "dense_entities", "comparison")
+    largest = [F.col("size").desc(), F.col("group_id")]
+
+    def rank(by: Column | str) -> Column:
+        return F.row_number().over(Window.partitionBy(by).orderBy(*largest))
+
+    stages = [F.when(rank(c) <= top, k) for k, c in enumerate(("native_type", "hop_count", "entity_bin"))]
+    for k, flag in enumerate(flags, len(stages)):
+        held = F.array_contains("heuristic_flags", flag)
+        stages.append(F.when(held & (rank(held) <= top_flag), k))
+    last = F.lit(len(stages))
+    staged = group.withColumn("stage", F.least(*stages, last))
+    rest = F.col("coverage_priority") * 10 + F.log2(F.col("size") + 1)
+    # Buckets come in order of their largest group within a stage, the rest by its own score.
+    lead = F.struct((-F.col("size")).alias("size"), "group_id")
+    leads = [F.min(lead).over(Window.partitionBy(c)) for c in ("native_type", "hop_count", "entity_bin")]
+    bucket = F.when(F.col("stage") == 0, leads[0]).when(F.col("stage") == 1, leads[1]).when(F.col("stage") == 2, leads[2])
+    ordered = staged.withColumn("__bucket", bucket).withColumn("__score", F.when(F.col("stage") == last, rest).otherwise(F.col("size").cast("double")))
+    kept = ordered if most <= 0 else head(ordered, most, ["stage", "__bucket", F.col("__score").desc(), "group_id"])
+    return kept.drop("__bucket", "__score")
 
 
 def materialise_selected(full: DataFrame, selected: DataFrame, key: str = "id") -> DataFrame:
     """The full records of the selected keys, by a semi join; order them at the sink."""
     return full.join(selected.select(key), key, "left_semi")
-
-

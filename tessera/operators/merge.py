@@ -57,6 +57,23 @@ def merge_runs(runs: DataFrame, key: str = "id") -> DataFrame:
     return ranked.where("__rank = 1").drop("__rank")
 
 
+def quality_terms(validation_: Column, steps: Column, final_answer: Column, raw_outputs: Column, source_priority: Column) -> list[Column]:
+    """M3: what makes one trajectory of a key better than another, the weightiest first; greater is better."""
+
+    def yes(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False)).cast("int")
+
+    def none(c: Column) -> Column:
+        return F.coalesce(F.size(c) == 0, F.lit(True)).cast("int")
+
+    n = F.coalesce(F.size(steps), F.lit(0))
+    return [
+        yes(validation_["passed"]), 1 - yes(validation_["runtime_error"]), (tx.strip(final_answer) != "").cast("int"), (n > 0).cast("int"),
+        none(validation_["unknown_skills"]), none(validation_["support_only_primary_steps"]), yes(validation_["route_matches_candidates"]),
+        -source_priority, F.coalesce(retrieved_steps(steps), F.lit(0)), n, F.coalesce(F.size(raw_outputs), F.lit(0)),
+    ]
+
+
 def merge_canonical(rows: DataFrame, quality: list[Column], keys: tuple[str, ...] = ("dataset", "id")) -> tuple[DataFrame, DataFrame]:
     """(the best row of each key over sources, the log of overlap decisions).
 
@@ -74,6 +91,41 @@ def merge_canonical(rows: DataFrame, quality: list[Column], keys: tuple[str, ...
     return chosen.drop("__q", "__rank"), log
 
 
+def join_profiles(full: DataFrame, light: DataFrame, key: str, order: Column) -> DataFrame:
+    """Full records with the profile fields that they lack; of light rows with one key the last in ``order`` counts.
+
+    A field that both have is the full record's, whatever its value.
+    """
+    extra = [c for c in light.columns if c == key or c not in full.columns]
+    last = light.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*extra), order).alias("__light"))
+    joined = full.join(last, F.col(key) == F.col("__key"), "left")
+    return joined.select(*full.columns, *[F.col("__light").getField(c).alias(c) for c in extra if c != key])
+
+
+def join_strictly(light: DataFrame, full: DataFrame, key: str = "id", question: str = "question") -> DataFrame:
+    """Light rows, in full: struct columns ``light`` and ``full`` by key.
+
+    Raises ValueError if the numbers of rows differ, a full key is missing or repeated, a light key has no full row, or
+    the questions of a pair differ. The checks are aggregations; a missing question counts as equal to the other's.
+    """
+    a = light.select(F.struct(*light.columns).alias("light"), F.col(key).cast("string").alias("key"))
+    b = full.select(F.struct(*full.columns).alias("full"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("full_key"))
+    n_light, n_full = a.count(), b.count()
+    if n_light != n_full:
+        raise ValueError(f"{n_light} light rows and {n_full} full rows")
+    odd = b.groupBy("full_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR full_key = ''").orderBy("full_key").limit(1).collect()
+    if odd:
+        raise ValueError(f"full key {odd[0].full_key!r} stands {odd[0].n} times" if odd[0].full_key else "a full row has no key")
+    joined = a.join(b, F.col("key") == F.col("full_key"), "left")
+    theirs = tx.strip(F.coalesce(F.col("full")[question], F.col("light")[question]))
+    mine = tx.strip(F.coalesce(F.col("light")[question], theirs))
+    fault = F.when(F.col("full_key").isNull(), "no full row").when(mine != theirs, "another question")
+    wrong = joined.select("key", fault.alias("fault")).where("fault IS NOT NULL").orderBy("key").limit(1).collect()
+    if wrong:
+        raise ValueError(f"key {wrong[0].key!r}: {wrong[0].fault}")
+    return joined.select("light", "full")
+
+
 def split_passed(rows: DataFrame, passed: str = "passed") -> tuple[DataFrame, DataFrame]:
     """Rows that passed and those that did not (null counts as not)."""
     good = F.coalesce(F.col(passed), F.lit(False))

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from tessera.functions import routing, text as tx
 
+from .packets import skill_cards
+
 SEARCH, ANSWER, SKILL = r"(?is)<search>(.*?)</search>", r"(?is)<answer>(.*?)</answer>", r"(?is)<skill>(.*?)</skill>"
-#: Skills whose presence raises the copies of a row.
+#: Skills whose presence raises the copies of a row in focus mode.
 CRITICAL = ("bridge-entity-search", "relation-chain-decomposition", "parallel-attribute-compare", "bridge-comparison-planning", "multihop-yes-no-verification", "temporal-range-extract", "temporal-anchor-carry-forward", "sequential-hop-checkpointing")
+#: Core skills of multi-hop rows.
 MULTI_CORE = ("bridge-entity-search", "bridge-comparison-planning", "bridge-disambiguate-then-hop", "relation-chain-decomposition", "parallel-attribute-compare", "multihop-yes-no-verification", "temporal-anchor-carry-forward", "temporal-range-extract", "sequential-hop-checkpointing", "re-anchored-long-hop-decomposition", "derived-kinship-inference-join", "reconstructed-chain-verification")
+#: Core skills of single-hop rows.
 SINGLE_CORE = ("single-entity-relation-lookup", "surface-name-resolution", "forced-choice-option-resolution", "temporal-range-extract", "conflict-check")
+#: Multi-hop data sets.
 MULTI_SETS = ("hotpotqa", "2wiki", "musique")
 DEFAULT_TAG = "answer-grounding-check"
-#: Follow-up of a retrieval turn and request of a card, in our words.
+#: Follow-up of a retrieval turn, in our words.
 FOLLOW_UP = "<information>\n{}\n</information>"
-CARD_REQUEST = "Skill card:\n{}"
 
 
 def _fill(template: str, value: Column) -> Column:
@@ -43,6 +47,20 @@ def _s(value: Column) -> Column:
     return tx.strip(F.coalesce(value, F.lit("")))
 
 
+def split_contents(document: Column) -> Column:
+    """R2: struct<contents, title, text array<string>> -> struct<title, text>.
+
+    ``contents`` has the title in its first line; without it, title and the joined texts take its place.
+    """
+    joined = F.concat(F.coalesce(document["title"], F.lit("")), F.lit("\n"), F.coalesce(F.array_join(document["text"], " "), F.lit("")))
+    whole = F.coalesce(document["contents"], tx.strip(joined))
+    end = F.instr(whole, "\n")
+    return F.struct(
+        F.when(end > 0, F.substring(whole, F.lit(1), end - 1)).otherwise(whole).alias("title"),
+        F.when(end > 0, F.substring(whole, end + 1, F.length(whole))).otherwise(F.lit("")).alias("text"),
+    )
+
+
 def passages(docs: Column, quoted: bool = False) -> Column:
     """``Doc i(Title: T) text`` lines of array<struct<title, text>>; quotes around titles are taken off or set."""
 
@@ -71,10 +89,11 @@ def last_answer(text: Column) -> Column:
 
 
 def prediction(transcript: Column, final_turn: Column) -> Column:
-    """The last answer tag; nothing where only a search tag dangles; else the final turn itself."""
-    low = F.lower(_s(final_turn))
+    """The last answer tag of the transcript, else of the final turn; nothing where only a search tag dangles; else
+    the final turn itself."""
+    low, whole, last = F.lower(_s(final_turn)), F.coalesce(transcript, F.lit("")), F.coalesce(final_turn, F.lit(""))
     dangling = tx.any_cue(low, ("<search", "</search>")) | low.isin("/search", "search")
-    return F.when(F.coalesce(transcript, F.lit("")).rlike(ANSWER), last_answer(transcript)).when(dangling, "").otherwise(F.when(final_turn.rlike(ANSWER), last_answer(final_turn)).otherwise(_s(final_turn)))
+    return F.when(whole.rlike(ANSWER), last_answer(whole)).when(last.rlike(ANSWER), last_answer(last)).when(dangling, "").otherwise(_s(last))
 
 
 def skills(text: Column, first_only: bool = False) -> Column:
@@ -153,42 +172,100 @@ def pack_retrieval(system: str, intro: Column, steps: Column, question: Column,
     return F.concat(F.array(_message("system", F.lit(system)), _message("user", intro)), F.flatten(F.transform(steps, turn)))
 
 
-def pack_simple(intro: Column, steps: Column, most_chars: int = 8000) -> Column:
-    """An intro, then each step as JSON and what it retrieved."""
+#: Closing request of the styles that ask for one action as JSON, in our words.
+NEXT_ACTION = "Give the next action as one JSON object."
+
+
+def _named_first(question: Column, dataset: Column, skills_: Column, more: Column | None = None) -> Column:
+    parts = [F.lit("Question: "), _s(question), F.lit("\nDataset: "), F.coalesce(dataset, F.lit("")), *([] if more is None else [more])]
+    return F.concat(*parts, F.lit("\nCandidate primary skills: "), F.array_join(F.coalesce(skills_, F.array().cast("array<string>")), ", "), F.lit(f"\n{NEXT_ACTION}"))
+
+
+def _retrieved(s: Column, most_chars: int) -> Column:
+    back = _s(s["retrieved"])
+    return F.when(back != "", _message("user", F.concat(F.lit("Retriever results:\n"), F.substring(back, 1, most_chars), F.lit(f"\n{NEXT_ACTION}"))))
+
+
+def pack_json(question: Column, dataset: Column, hops: Column, candidates: Column, steps: Column, most_chars: int = 4000) -> Column:
+    """Messages in the style of JSON actions; candidates distinct in order, unknown hops are called so."""
+    told = F.concat(F.lit("\nEstimated hops: "), F.coalesce(hops.cast("string"), F.lit("unknown")))
+    none = F.array().cast("array<string>")
 
     def turn(s: Column) -> Column:
-        back = _s(s["retrieved"])
-        shown = F.to_json(F.struct(s["primary_skill"].alias("primary_skill"), s["action"].alias("action"), s["query"].alias("query"), s["draft_answer"].alias("draft_answer")))
-        return F.array_compact(F.array(_message("assistant", shown), F.when(back != "", _message("user", F.concat(F.lit("Retriever results:\n"), F.substring(back, 1, most_chars))))))
+        texts = {n: ("text", F.coalesce(s[n], F.lit(""))) for n in ("primary_skill", "action", "query", "draft_answer")}
+        shown = [("primary_skill", texts), ("support_skills", {"support_skills": ("texts", F.coalesce(s["support_skills"], none))}), ("action", texts), ("query", texts), ("checkpoint", None), ("draft_answer", texts)]
+        pairs = [F.lit('"checkpoint": {}') if own is None else tx.json_pair(n, *own[n]) for n, own in shown]
+        return F.array_compact(F.array(_message("assistant", F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))), _retrieved(s, most_chars)))
+
+    first = _message("user", _named_first(question, dataset, tx.distinct_in_order(candidates), told))
+    return F.concat(F.array(first), F.flatten(F.transform(steps, turn)))
 
-    return F.concat(F.array(_message("user", intro)), F.flatten(F.transform(steps, turn)))
 
+def pack_simple(question: Column, dataset: Column, candidates: Column, steps: Column, most_chars: int = 8000) -> Column:
+    """An intro, then each step in a loose notation, its values not escaped, and what it retrieved."""
+
+    def turn(s: Column) -> Column:
+        support = F.transform(F.coalesce(s["support_skills"], F.array().cast("array<string>")), lambda x: F.concat(F.lit("'"), x, F.lit("'")))
+        own = {"primary_skill": None, "support_skills": F.concat(F.lit("["), F.array_join(support, ", "), F.lit("]")), "action": None, "query": None, "draft_answer": None}
+        lines = [F.concat(F.lit(f'  "{n}": '), c if c is not None else F.concat(F.lit('"'), F.coalesce(s[n], F.lit("")), F.lit('"'))) for n, c in own.items()]
+        return F.array_compact(F.array(_message("assistant", F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))), _retrieved(s, most_chars)))
+
+    return F.concat(F.array(_message("user", _named_first(question, dataset, candidates))), F.flatten(F.transform(steps, turn)))
+
+
+#: Lines of a packed user turn that the two-phase form replaces, by their start or as a whole.
+REPLACED_STARTS, REPLACED_LINE = ("Recommended skills:", "Start with <skill>"), "Stop immediately after the closing tag."
+#: Requests of the two phases, in our words.
+CHOOSE = "Name the skills for the next turn inside one <select_skill> tag, with bars between them."
+ACT = "Act with these skills now: {}"
+
+
+def first_tag_skills(text: Column) -> Column:
+    """The distinct skills of the first skill tag."""
+    return tx.distinct_in_order(F.split(F.regexp_extract(F.coalesce(text, F.lit("")), SKILL, 1), r"\|"))
 
-def repack_two_phase(rows: DataFrame, bank: Column, index: Column) -> DataFrame:
-    """Each assistant turn becomes a choice of a skill, its card and the action; ``drop_reason`` of the first fault.
 
-    ``rows``: id and messages array<struct<role, content>>; ``bank``: map of skill to card; the system message leads.
+def _with_index(content: Column, index: Column) -> Column:
+    def stays(line: Column) -> Column:
+        return ~(tx.starts_with_any(tx.strip(line), REPLACED_STARTS) | (tx.strip(line) == REPLACED_LINE))
+
+    base = tx.strip(F.array_join(F.filter(F.split(content, r"\r\n|\r|\n"), stays), "\n"))
+    return tx.strip(F.concat(base, F.lit("\n\n"), index, F.lit(f"\n\n{CHOOSE}")))
+
+
+def repack_two_phase(rows: DataFrame, bank: Column, index: Column, system: str = "", most_chars: int = 900) -> DataFrame:
+    """Each assistant turn becomes a choice of its skills, their cards, and the turn itself.
+
+    ``rows``: id and messages array<struct<role, content>>; ``bank``: map of skill to card text. ``packed`` has the new
+    messages, ``drop_reason`` the fault of the first message that has one, in which case ``packed`` is null.
     """
-    skill = "__skill"
-    turns = rows.select("id", "messages", F.posexplode_outer("messages").alias("pos", "m")).withColumn(skill, skills(F.col("m.content"), first_only=True))
-    reason = (
-        F.when(F.col("m").isNull(), "missing_messages")
-        .when(~F.col("m.role").isin("system", "user", "assistant"), F.concat(F.lit("unsupported_role_"), F.col("m.role")))
-        .when((F.col("m.role") == "assistant") & F.col(skill).isNull(), "missing_skill_tag")
-        .when((F.col("m.role") == "assistant") & F.try_element_at(bank, F.col(skill)).isNull(), "unknown_skill")
-        .when((F.col("m.role") == "assistant") & (F.col("pos") == 0), "assistant_without_user")
-    )
-    faults = turns.withColumn("reason", reason).groupBy("id").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.coalesce("pos", F.lit(0)))).alias("fault"), F.count_if(F.col("m.role") == "assistant").alias("n_turns"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    known = F.map_keys(bank)
+
+    def fault(said: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            ids = first_tag_skills(m["content"])
+            before = F.get(said, F.greatest(i - 1, F.lit(0)))["role"]
+            answered = F.when((i == 0) | (before != "user"), "assistant_without_user")
+            wrong = F.when(F.size(ids) == 0, "missing_skill_tag").when(F.size(F.array_except(ids, known)) > 0, "unknown_skill").otherwise(answered)
+            return F.when(m["role"] == "assistant", wrong).when(m["role"] != "user", F.concat(F.lit("unsupported_role_"), m["role"]))
+
+        return F.get(F.array_compact(F.transform(said, one)), F.lit(0))
 
     def parts(m: Column) -> Column:
-        name = skills(m["content"], first_only=True)
-        action = F.trim(F.regexp_replace(m["content"], SKILL, ""))
-        three = F.array(_message("assistant", F.concat(F.lit("<skill>"), name, F.lit("</skill>"))), _message("user", _fill(CARD_REQUEST, F.coalesce(F.try_element_at(bank, name), F.lit("")))), _message("assistant", action))
-        return F.when(m["role"] == "assistant", three).when(m["role"] == "user", F.array(_message("user", m["content"]))).otherwise(F.array().cast("array<struct<role:string,content:string>>"))
-
-    packed = rows.withColumn("packed", F.concat(F.array(_message("system", index)), F.flatten(F.transform("messages", parts))))
-    joined = packed.join(faults.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    return joined.withColumn("drop_reason", F.coalesce("fault", F.when(F.coalesce("n_turns", F.lit(0)) == 0, "no_assistant_turns"))).drop("fault", "n_turns")
+        ids, content = first_tag_skills(m["content"]), _s(m["content"])
+        chosen = _message("assistant", F.concat(F.lit("<select_skill>"), F.array_join(ids, "|"), F.lit("</select_skill>")))
+        cards = F.concat(skill_cards(ids, bank, most_chars), F.lit("\n\n"), _fill(ACT, F.array_join(ids, "|")))
+        turn = F.array(chosen, _message("user", cards), _message("assistant", content))
+        return F.when(m["role"] == "assistant", turn).otherwise(F.array(_message("user", _with_index(content, index))))
+
+    whole = F.transform(F.coalesce("messages", none), lambda m: F.struct(F.coalesce(m["role"], F.lit("None")).alias("role"), m["content"].alias("content")))
+    said = rows.withColumn("__all", F.size(whole)).withColumn("__said", F.filter(whole, lambda m: m["role"] != "system"))
+    turns = F.size(F.filter("__said", lambda m: m["role"] == "assistant"))
+    reason = F.when(F.col("__all") == 0, "missing_messages").otherwise(F.coalesce(fault(F.col("__said")), F.when(turns == 0, "no_assistant_turns")))
+    packed = F.concat(F.array(_message("system", F.lit(system))), F.flatten(F.transform("__said", parts)))
+    judged = said.withColumn("drop_reason", reason).withColumn("action_turns", F.when(F.col("drop_reason").isNull(), turns))
+    return judged.withColumn("packed", F.when(F.col("drop_reason").isNull(), packed)).drop("__all", "__said")
 
 
 def ordered_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -33,15 +33,20 @@ def bank_ids(text: Column, in_order: bool = False) -> Column:
     return found if in_order else F.array_sort(found)
 
 
-def skill_index(bank: DataFrame, limit: int = 180) -> DataFrame:
-    """One line per skill; a bank has tens of skills, collected in their order."""
+#: Headings of the index and of cards, in our words.
+INDEX_HEAD, CARDS_HEAD = "Skills of the bank:", "Cards of the chosen skills:"
+
+
+def skill_index(bank: DataFrame, limit: int = 180, heading: str = INDEX_HEAD) -> DataFrame:
+    """A heading and one line per skill; a bank has tens of skills, collected in their order."""
     line = F.concat(F.lit("- "), F.col("skill_id"), F.lit(": "), tx.compact_text(F.col("text"), limit))
-    return bank.groupBy("doc").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])).alias("index_text"))
+    return bank.groupBy("doc").agg(F.concat_ws("\n", F.lit(heading), F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])).alias("index_text"))
 
 
-def skill_cards(ids: Column, bank: Column, limit: int = 900) -> Column:
-    """Cards of skill ids from a map of id to text; unknown ids give empty text."""
-    return F.array_join(F.transform(ids, lambda s: F.concat(F.lit("`"), s, F.lit("`\n"), tx.compact_text(F.coalesce(F.try_element_at(bank, s), F.lit("")), limit))), "\n\n")
+def skill_cards(ids: Column, bank: Column, limit: int = 900, heading: str = CARDS_HEAD) -> Column:
+    """A heading and the cards of skill ids, from a map of id to text; unknown ids give empty text."""
+    cards = F.transform(ids, lambda s: F.concat(F.lit('<skill_card id="'), s, F.lit('">\n'), tx.compact_text(F.coalesce(F.try_element_at(bank, s), F.lit("")), limit), F.lit("\n</skill_card>")))
+    return F.concat_ws("\n", F.lit(heading), cards)
 
 
 def build_packets(rows: DataFrame, order: Sequence[Column], examples: int = 3) -> DataFrame:

@@ -35,11 +35,14 @@ def outcome_counts(rows: DataFrame, by: str) -> DataFrame:
 
 
 def step_measures(steps: Column) -> dict[str, Column]:
-    """Searches, steps and distinct skills of a trace; steps have action, selected_skills and generated."""
+    """Searches, steps, distinct skills and tagged turns of a trace; steps have action, selected_skills and generated.
+
+    A search counts as tagged if its text holds a search tag, the final turn if the last step's holds an answer tag.
+    """
     search = F.filter(steps, lambda s: s["action"] == "search")
-    tagged = F.filter(search, lambda s: F.size(F.coalesce(s["selected_skills"], F.array().cast("array<string>"))) > 0)
+    tagged = F.filter(search, lambda s: F.contains(F.lower(F.coalesce(s["generated"], F.lit(""))), F.lit("<search>")))
     skills = F.array_distinct(F.flatten(F.transform(steps, lambda s: F.coalesce(s["selected_skills"], F.array().cast("array<string>")))))
-    final = F.coalesce(F.size(F.try_element_at(steps, F.lit(-1))["selected_skills"]) > 0, F.lit(False))
+    final = F.coalesce(F.contains(F.lower(F.try_element_at(steps, F.lit(-1))["generated"]), F.lit("<answer>")), F.lit(False))
     return {"search_steps": F.size(search), "total_steps": F.size(steps), "n_skills": F.size(skills), "tagged_search": F.size(tagged), "tagged_final": final.cast("int")}
 
 

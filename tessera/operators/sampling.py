@@ -1,8 +1,9 @@
 """Ranking, sampling and deduplication (survey W1-W16, W20-W23, W25, J10, A4) on DataFrames.
 
 Orders are total: each ends with the key, so results do not depend on how rows are dealt out. Random picks order by the
-md5 of seed and key instead of a generator's state. Windows are partitioned by group keys; where a whole ranking is
-needed only for its head, ``orderBy(...).limit(n)`` keeps the head per partition before the last merge.
+md5 of seed and key instead of a generator's state. Windows are partitioned by group keys of many values; ranks over all
+rows or over groups of few values come from a range-partitioned sort and the numbers of rows of its partitions, so that
+no task gets more than a range.
 """
 
 from __future__ import annotations
@@ -12,6 +13,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
+#: Heads up to this many rows are kept per partition and merged; longer ones are cut from a sorted table.
+SHORT_HEAD = 10_000
+#: Distinct labels that are looked up in a map; with more, rows are joined with their table.
+MAP_LABELS = 10_000
+
+
+def placed(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``rows`` with ``__i``, their place from 0 in a total order; a written table, sorted by ranges.
+
+    A window without partitions would put all rows into one task, so places come from the rows' numbers within their
+    partitions and the sums of the partitions before, a table with one row per partition. It is written first: sampled
+    ranges must not be computed anew for a lost task.
+    """
+    ordered = written(rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__m", 33)
+    counts = ordered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    found = ordered.join(before, part == F.col("__p"))
+    return found.withColumn("__i", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, "__i")
+
+
+def head(rows: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first n rows of a total order."""
+    if n <= SHORT_HEAD:
+        return rows.orderBy(*order).limit(n)
+    return placed(rows, order).where(F.col("__i") < n).drop("__i")
+
 
 def seeded(seed: int | str, *keys: Column) -> Column:
     """A reproducible random order."""
@@ -26,10 +56,19 @@ def label_counts(rows: DataFrame, labels: str = "labels", weight: Column | None
 def label_rarity(rows: DataFrame, key: str, labels: str = "labels") -> DataFrame:
     """Rows with ``rarity``, the sum of 1 / count over their labels, and ``rarest``, the smallest count.
 
-    The label table is tiny beside the rows; Spark broadcasts it by its measured size.
+    Labels name categories, tens of them: their counts are a map in the plan and rows are not shuffled. Beyond
+    MAP_LABELS, rows are joined with the label table.
     """
+    counts = label_counts(rows, labels)
+    few = counts.limit(MAP_LABELS + 1).collect()
+    if len(few) <= MAP_LABELS:
+        ordered = sorted((r.label, r.freq) for r in few)
+        freq = F.map_from_arrays(F.array(*[F.lit(x) for x, _ in ordered]).cast("array<string>"), F.array(*[F.lit(n) for _, n in ordered]).cast("array<bigint>"))
+        each = F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.try_element_at(freq, x))
+        total = F.aggregate(each, F.lit(0.0), lambda a, n: a + F.lit(1.0) / n)
+        return rows.withColumn("rarity", F.round(total, 9)).withColumn("rarest", F.array_min(each))
     each = rows.select(F.col(key).alias("__key"), F.explode(labels).alias("label"))
-    scored = each.join(label_counts(rows, labels), "label").groupBy("__key").agg(F.round(F.sum(F.lit(1.0) / F.col("freq")), 9).alias("rarity"), F.min("freq").alias("rarest"))
+    scored = each.join(counts, "label").groupBy("__key").agg(F.round(F.sum(F.lit(1.0) / F.col("freq")), 9).alias("rarity"), F.min("freq").alias("rarest"))
     return rows.join(scored, F.col(key) == F.col("__key"), "left").drop("__key").withColumn("rarity", F.coalesce("rarity", F.lit(0.0)))
 
 
@@ -51,15 +90,16 @@ def cap_per_group(rows: DataFrame, group: str, cap: int, order: Sequence[Column]
 
 def fill_to(selected: DataFrame, pool: DataFrame, key: str, target: int, order: Sequence[Column]) -> DataFrame:
     """Append the best rows of the pool that are not selected until ``target`` rows."""
-    rest = pool.join(selected.select(key), key, "left_anti").orderBy(*order)
-    # One count decides how many rows are short; limit() keeps only heads of partitions.
     short = max(0, target - selected.count())
-    return selected.unionByName(rest.limit(short).select(selected.columns)) if short else selected
+    if not short:
+        return selected
+    rest = pool.join(selected.select(key), key, "left_anti").select(selected.columns)
+    return selected.unionByName(head(rest, short, order))
 
 
 def best(rows: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     """The first n rows of an order."""
-    return rows.orderBy(*order).limit(n)
+    return head(rows, n, order)
 
 
 def representatives(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -85,7 +125,7 @@ def round_robin(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -
     """One row of each group in turn, in random order of groups and rows, until n rows."""
     inside = Window.partitionBy(group).orderBy(seeded(seed, F.col(key)), F.col(key))
     turn = rows.withColumn("turn", F.row_number().over(inside))
-    return turn.orderBy("turn", seeded(seed, F.col(group)), F.col(group), F.col(key)).limit(n)
+    return head(turn, n, ["turn", seeded(seed, F.col(group)), F.col(group), F.col(key)])
 
 
 def dedup_first(rows: DataFrame, by: Column, order: Sequence[Column]) -> DataFrame:
@@ -94,14 +134,26 @@ def dedup_first(rows: DataFrame, by: Column, order: Sequence[Column]) -> DataFra
     return ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("__by").orderBy(*order))).where("__rank = 1").drop("__by", "__rank")
 
 
-def dedup_conflicts(rows: DataFrame, question: Column, answer: Column, order: Sequence[Column]) -> DataFrame:
-    """Rows with ``status``: kept, duplicate, or conflicting where a question has several answers."""
-    named = rows.withColumn("__q", question).withColumn("__a", answer)
-    facts = named.groupBy(F.col("__q").alias("__key")).agg(F.countDistinct("__a").alias("answers"))
-    ranked = named.withColumn("__rank", F.row_number().over(Window.partitionBy("__q").orderBy(*order)))
-    joined = ranked.join(facts, F.col("__q").eqNullSafe(F.col("__key")))
-    status = F.when(F.col("answers") > 1, "conflicting").when(F.col("__rank") > 1, "duplicate").otherwise("kept")
-    return joined.withColumn("status", status).drop("__q", "__a", "__key", "__rank", "answers")
+def dedup_conflicts(rows: DataFrame, question: Column, answer: Column, order: Sequence[Column], key: str | None = None) -> DataFrame:
+    """Rows with ``status``: kept, duplicate, or conflicting where a question has several answers.
+
+    ``key``: only the first row of each key takes part, further ones are ``duplicate_id``.
+    """
+    named = rows.withColumn("__q", question).withColumn("__a", answer).withColumn("__again", F.lit(False))
+    if key is not None:
+        named = named.withColumn("__again", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
+    of_question = Window.partitionBy("__q", "__again")
+    differ = F.min("__a").over(of_question) != F.max("__a").over(of_question)
+    first = F.row_number().over(of_question.orderBy(*order))
+    told = named.withColumn("__differ", F.coalesce(differ, F.lit(False))).withColumn("__rank", first)
+    status = F.when(F.col("__again"), "duplicate_id").when(F.col("__differ"), "conflicting").when(F.col("__rank") > 1, "duplicate").otherwise("kept")
+    return told.withColumn("status", status).drop("__q", "__a", "__again", "__differ", "__rank")
+
+
+def drop_counts(rows: DataFrame) -> DataFrame:
+    """How many rows ``status`` drops for which reason, in one row."""
+    reasons = {"dropped_duplicate_id": "duplicate_id", "dropped_duplicate_question": "duplicate", "dropped_conflicting_question": "conflicting", "dropped_quality": "quality"}
+    return rows.agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in reasons.items()])
 
 
 def first_distinct(rows: DataFrame, group: Sequence[str], value: Column, order: Sequence[Column], n: int) -> DataFrame:
@@ -126,20 +178,13 @@ def oversample(rows: DataFrame, times: Column, key: str) -> DataFrame:
 
 
 def contiguous_shards(rows: DataFrame, order: Sequence[Column], shards: int) -> DataFrame:
-    """Shards of consecutive rows, the first ones a row longer; by counts per range, not a global window.
-
-    A window without partitions would put all rows into one task, so ranks come from a range partitioned sort: rows per
-    partition are summed up in a table with one row per partition.
-    """
-    ordered = rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ordered.persist()
-    part = F.shiftright("__m", 33)
-    counts = ordered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    placed = ordered.join(before, part == F.col("__p")).withColumn("__i", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    base, rest = F.expr(f"__all div {shards}"), F.col("__all") % shards
-    shard = F.when(F.col("__i") < rest * (base + 1), F.expr(f"__i div (__all div {shards} + 1)")).otherwise(rest + F.call_function("div", F.col("__i") - rest * (base + 1), F.greatest(base, F.lit(1))))
-    return placed.withColumn("shard", shard.cast("int")).select(*rows.columns, "shard")
+    """Shards of consecutive rows, the first ones a row longer."""
+    found = placed(rows, order)
+    n = found.count()
+    base, rest = divmod(n, shards)
+    at, edge = F.col("__i"), rest * (base + 1)
+    shard = F.when(at < edge, F.floor(at / F.lit(base + 1))).otherwise(rest + F.floor((at - edge) / F.lit(max(base, 1))))
+    return found.withColumn("shard", shard.cast("int")).drop("__i")
 
 
 def split_quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -153,11 +198,31 @@ def split_quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
 
 
 def train_eval_split(rows: DataFrame, group: str, key: str, n_eval: int, seed: int = 42) -> DataFrame:
-    """Rows with ``part`` train or eval; groups are few, their sizes decide the quotas on the driver."""
+    """Rows with ``part`` train or eval; groups are few, their sizes decide the quotas on the driver.
+
+    A group's evaluation rows are the first of its seeded order. Only rows whose digest begins under a bound can be
+    among them; the bound is raised until enough are, and no more than those are ranked.
+    """
     sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect() if r[0] is not None}
-    quotas = split_quotas(sizes, n_eval)
-    take = F.lit(0)
-    for name, n in quotas.items():
-        take = F.when(F.col(group) == name, n).otherwise(take)
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(seeded(seed, F.col(key)), F.col(key))))
-    return ranked.withColumn("part", F.when(F.col("__rank") <= take, "eval").otherwise("train")).drop("__rank")
+    quotas = {g: q for g, q in split_quotas(sizes, n_eval).items() if q}
+    digest = seeded(seed, F.col(key))
+    begin = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    narrow = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), digest.alias("digest"), begin.alias("u"))
+    bounds = {g: min(1.0, 1.5 * (q + 10) / sizes[g]) for g, q in quotas.items()}
+
+    def per_group(values: dict, other: float) -> Column:
+        out = F.lit(other)
+        for g, x in values.items():
+            out = F.when(F.col("g") == g, x).otherwise(out)
+        return out
+
+    while True:
+        near = narrow.where(F.col("u") <= per_group(bounds, -1.0))
+        held = {r.g: r.n for r in near.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [g for g, q in quotas.items() if held.get(g, 0) < q]
+        if not short:
+            break
+        bounds |= {g: min(1.0, 4 * bounds[g]) for g in short}
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("digest", "k")))
+    chosen = ranked.where(F.col("rank") <= per_group(quotas, 0)).select(F.col("k").alias("__chosen"))
+    return rows.join(chosen, F.col(key) == F.col("__chosen"), "left").withColumn("part", F.when(F.col("__chosen").isNotNull(), "eval").otherwise("train")).drop("__chosen")

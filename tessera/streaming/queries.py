@@ -13,11 +13,12 @@ from . import logs
 
 def summarise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: duplicates dropped, then counts by type, which the last batch's table holds."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-stream-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("passed", F.col("value") > 20)
-    summary = logs.run_summary(rows, "event_type")
+    once = logs.once_per_id(rows, "event_id", "ts")
+    # Aggregating deduplicated rows takes append or update mode, so batches add up their own counts.
+    summary = once.select("event_type", "passed")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table")

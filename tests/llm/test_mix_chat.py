@@ -35,10 +35,11 @@ def test_mix_edge_cases(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mix_empty_and_emit(spark):
+def test_mix_empty_and_take(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
-    mixed = mixing.mix(spark.createDataFrame([(k, "a b", "en", f"s{k % 2}", "", "") for k in range(40)], DOC))
-    assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    frame = spark.createDataFrame([(k, "a b", "en", f"s{k % 2}", "", "") for k in range(40)], DOC)
+    mixed = mixing.mix(frame)
+    assert mixing.take(frame).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
 def test_taken_words_come_near_targets(spark, sf_dir):

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -11,16 +12,23 @@ from tessera.llm import mixing
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def stages(spark, docs, sf_dir):
-    out = [docs]
-    for _, stage in corpus_pipeline.STAGES:
-        out.append(stage(spark, out[-1], sf_dir).persist())
-    return out
+@pytest.fixture
+def stages(spark, sf_dir, tmp_path):
+    """Runs all stages over a frame, each result written and read again."""
 
+    def run(docs):
+        out = [docs]
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, out[-1], sf_dir).write.parquet(f"{tmp_path}/{name}")
+            out.append(spark.read.parquet(f"{tmp_path}/{name}"))
+        return out
 
-def test_stages_take_effect(spark, sf_dir):
+    return run
+
+
+def test_stages_take_effect(spark, sf_dir, stages):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    known, unique, clean, mixed, tokens = stages(spark, docs, sf_dir)[1:]
+    known, unique, clean, mixed, tokens = stages(docs)[1:]
     assert all(x.columns == docs.columns for x in (known, unique, clean, mixed))
     n = [x.count() for x in (docs, known, unique, clean)]
     assert n[0] >= n[1] > n[2] > n[3] > 0.7 * n[0]
@@ -41,10 +49,10 @@ def test_stages_take_effect(spark, sf_dir):
         at += len(ids)
 
 
-def test_pipeline_edge_cases(spark, sf_dir):
+def test_pipeline_edge_cases(spark, stages):
     base = [(k, f"some english words number w{k} and others w{k * 7} like these w{k * 11} here", "en", f"s{k % 3}", 1) for k in range(30)]
     odd = [(100, None, "en", None, None), (101, "", None, "s0", 0), (102, "123", None, "s0", 0), (3, base[3][1], "en", "s0", 1), (None, "a text without an id in english words", None, None, None), (103, "many words " * 20_000, "en", "s1", 1)]
-    out = stages(spark, spark.createDataFrame(base + odd, COLUMNS), sf_dir)
+    out = stages(spark.createDataFrame(base + odd, COLUMNS))
     left = [r.doc_id for r in out[3].collect()]
     assert not {100, 101, 102} & set(left) and left.count(3) == 1 and 103 in left and None in left
     assert out[4].columns == out[0].columns
@@ -59,8 +67,23 @@ def test_leaks_go_by_id_and_text(spark, sf_dir):
     assert {(r.doc_id, r.text) for r in left.collect()} == {(1, clean), (None, clean), (2, None)}
 
 
-def test_pipeline_empty(spark, sf_dir):
-    assert [x.count() for x in stages(spark, spark.createDataFrame([], COLUMNS), sf_dir)] == [0] * 6
+def test_pipeline_empty(spark, stages):
+    assert [x.count() for x in stages(spark.createDataFrame([], COLUMNS))] == [0] * 6
+
+
+CLASHES = "row id copy copy_ gone again rows leaked leaked_copy found lang_pred score size source_size target copies key check key_ check_ high low all sum turn often node component token n bits prefix class_id held text_hash"
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, stages):
+    names = CLASHES.split()
+    rows = [(k, f"some english words number w{k} and others w{k * 7} like these w{k * 11} here", "en", f"s{k % 3}", 1, *[f"{c}{k}" for c in names]) for k in range(40)] + [(3, "a second text of the third id in english words", "en", "s0", 1, *names)]
+    out = stages(spark.createDataFrame(rows * 2, COLUMNS + "".join(f", {c} string" for c in names)))
+    assert all(x.columns == out[0].columns for x in out[:5])
+    assert out[2].count() == len(rows) and set(map(tuple, out[4].collect())) <= set(rows)
+
+
+def test_runner_agrees_with_itself(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).exceptAll(corpus_pipeline.run(spark, sf_dir)).count() == 0
 
 
 def test_registered():

@@ -45,7 +45,7 @@ def test_line_frequency(spark):
     rows += [(200 + k, f"{unique(1000)}\ncopied text", None) for k in range(30)]
     rows += [(300, unique(300) + "\n" + common, "b"), (0, rows[0][1], "a")]
     frame = spark.createDataFrame([(*r, "k", "n", "r") for r in rows], DOC)
-    got = quality.judge(frame, min_docs=10, share=0.1, keep=0.5).collect()
+    got = quality.judge(frame, share=0.1, keep=0.5).collect()
     by = {(r.doc_id, r.source): r for r in got}
     assert len(got) == len(rows)
     assert all(by[k, "a"].removed_words == 6 and by[k, "a"].kept for k in range(20))
@@ -54,6 +54,29 @@ def test_line_frequency(spark):
     assert by[300, "b"].removed_words == 0
 
 
+def test_shared_lines_in_small_and_hot_sources(spark):
+    """With production values: six of 40 texts in a small source; 101 and 100 of 6000 in a hot one full of copies."""
+    line = {k: f"the {k} footer of this site stands here" for k in ("small", "rare", "hot", "under")}
+    rows = [(k, unique(k) + ("\n" + line["small"]) * (k < 6) + ("\n" + line["rare"]) * (k < 5), "small") for k in range(40)]
+    rows += [(1000 + k, unique(1000 + k, 51) + ("\n" + line["hot"]) * (k < 101) + ("\n" + line["under"]) * (k < 100), "hot") for k in range(6000)]
+    rows += [(9000 + k, unique(1000, 51) + "\n" + line["hot"] + "\n" + line["under"], "hot") for k in range(3000)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(*r, "k", "n", "r") for r in rows], DOC)).collect()}
+    assert {k for k in got if got[k].removed_words} == {*range(6), *range(1000, 1101), *range(9000, 12000)}
+    assert {got[k].removed_words for k in (0, 1000, 9000)} == {8} and all(r.kept for r in got.values())
+
+
+def test_quality_rules_remove_lines_of_the_table(spark):
+    got = queries.op3_quality_rules(spark, "/root/testdata/sf0.01").where("removed_words > 0").collect()
+    assert len(got) > 50
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = "key copy host at hash words line row id lost_words lost_copy lost_host bad_host bad_hash of_words docs all_docs host_name __copy x".split()
+    rows = [(k, unique(k) + "\nthe line of all of them", "s", *[f"{c}{k}" for c in names]) for k in range(9)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string" + "".join(f", {c} string" for c in names))).collect()
+    assert sorted(tuple(r[c] for c in ("doc_id", "text", "source", *names)) for r in got) == rows and {r.removed_words for r in got} == {6}
+
+
 def test_quality_empty(spark):
     assert quality.judge(spark.createDataFrame([], DOC)).count() == 0
 

@@ -31,8 +31,14 @@ def test_outliers_become_exceptions():
     assert np.array_equal(tokens.unpack(block, np.array([0])), ids)
 
 
-@given(st.lists(st.text(alphabet="ab é\n\t.1'sß漢 ", max_size=60), max_size=8))
-@settings(max_examples=150, deadline=None)
+LATIN = "".join(map(chr, [*range(256)]))
+PLAIN = st.text(alphabet="ab é\n\t.1'sß漢 ", max_size=60)
+SIGNS = st.text(alphabet=LATIN + "\u0301\u200d\ufeff\u2019\u01c5Ⅷ٣①\U0001f600漢\u00ad", max_size=60)
+SAID = st.lists(st.sampled_from(["don't", "IT'S", "we'll", "'tis", "x'", "'re", "l'été", "3rd", "1,000.5", "(a)", "½", "\xa0", "\n", "\n\n", " ", "  ", "\t", "<|endoftext|>", "Ünï", "e\u0301", "a\xadb", "C++", "'"]), max_size=12)
+
+
+@given(st.lists(st.one_of(PLAIN, SIGNS, SAID.map(" ".join), SAID.map("".join)), max_size=8))
+@settings(max_examples=400, deadline=None)
 def test_encoder_equals_library(texts):
     path = public_tokenizers.path(tokens.VOCABULARY)
     whole = Tokenizer.from_file(path)
