@@ -154,13 +154,21 @@ def stage1_messages(spark, sf_dir):
     return rows.withColumn("m", packed).select("conv_id", F.size("m").cast("bigint").alias("n_messages"), F.md5(joined.cast("binary")).alias("packed"))
 
 
-@query("""WITH c AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS n, count(*) FILTER (role = 'user') AS u, bool_or(role NOT IN ('system', 'user', 'assistant')) AS odd, min(turn) FILTER (role = 'assistant') AS first, min(turn) AS low FROM conversations GROUP BY conv_id)
-SELECT CASE WHEN n = 0 THEN 'no_assistant_turns' WHEN first = low THEN 'assistant_without_user' ELSE '' END AS reason, CAST(1 + u + 3 * n AS BIGINT) AS n_messages, count(*) AS count FROM c GROUP BY ALL""")
+@query("""WITH m AS (SELECT conv_id, role, length(coalesce(text, '')) AS n, row_number() OVER w AS k, lag(role) OVER w AS before FROM conversations WHERE role IS DISTINCT FROM 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT *, CASE WHEN role = 'assistant' THEN CASE WHEN n % 11 = 0 THEN 'missing_skill_tag' WHEN n % 7 = 0 THEN 'unknown_skill' WHEN before IS DISTINCT FROM 'user' THEN 'assistant_without_user' END
+  WHEN role IS DISTINCT FROM 'user' THEN 'unsupported_role_' || coalesce(role, 'None') END AS fault FROM m),
+g AS (SELECT conv_id, arg_min(fault, k) FILTER (fault IS NOT NULL) AS fault, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'user') AS u FROM f GROUP BY conv_id),
+c AS (SELECT conv_id, CASE WHEN fault IS NOT NULL THEN fault WHEN coalesce(a, 0) = 0 THEN 'no_assistant_turns' ELSE '' END AS reason, u, a FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id))
+SELECT reason, CAST(CASE WHEN reason = '' THEN 1 + u + 3 * a ELSE 0 END AS BIGINT) AS n_messages, count(*) AS count FROM c GROUP BY ALL""")
 def stage2_message_hist(spark, sf_dir):
-    """Message counts and drop reasons after the two-phase repacking."""
-    turns = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") == "assistant", F.concat(F.lit("<skill>conflict-check</skill>\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    """Message counts and drop reasons after the two-phase repacking; by length some turns have no tag or
+    a skill beside a known one that the bank lacks."""
+    said = F.coalesce("text", F.lit(""))
+    tag = F.when(F.length(said) % 11 == 0, "").when(F.length(said) % 7 == 0, "<skill>conflict-check|made-up-skill</skill>\n").otherwise("<skill>conflict-check</skill>\n")
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") == "assistant", F.concat(tag, said)).otherwise(F.col("text")))
     rows = messages.ordered_messages(turns).withColumnRenamed("conv_id", "id")
     packed = messages.repack_two_phase(rows, F.create_map(F.lit("conflict-check"), F.lit("card")), F.lit("index"))
+    packed = packed.withColumn("packed", F.coalesce("packed", F.array().cast(packed.schema["packed"].dataType)))
     return packed.groupBy(F.coalesce("drop_reason", F.lit("")).alias("reason"), F.size("packed").cast("bigint").alias("n_messages")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -214,17 +222,24 @@ def exact_match(spark, sf_dir):
 
 
 def _traces(spark, sf_dir):
-    steps = F.transform("steps", lambda s: F.struct(s["action"].alias("action"), s["support_skills"].alias("selected_skills")))
+    def said(s):
+        """Most searches are tagged, some in capitals; most answers too, others are plain words."""
+        n = F.length(s["retrieved"])
+        search = F.when(n % 5 == 0, s["query"]).when(n % 5 == 1, F.concat(F.lit("<SEARCH>"), s["query"], F.lit("</SEARCH>"))).otherwise(F.concat(F.lit("<search>"), s["query"], F.lit("</search>")))
+        answer = F.when(F.length(s["draft_answer"]) % 3 == 0, s["draft_answer"]).otherwise(F.concat(F.lit("<answer>"), s["draft_answer"], F.lit("</answer>")))
+        return F.when(s["action"] == "search", search).otherwise(answer)
+
+    steps = F.transform("steps", lambda s: F.struct(s["action"].alias("action"), s["support_skills"].alias("selected_skills"), said(s).alias("generated")))
     rows = _steps(spark, sf_dir)
     return rows.select(F.col("conv_id").alias("id"), (F.col("conv_id") % 4).alias("dataset"), (F.length("final_answer") % 2).cast("int").alias("em"), steps.alias("steps"))
 
 
 _TRACES = f"""{_STEPS}, x AS (SELECT conv_id AS id, conv_id % 4 AS dataset, max(CASE WHEN turn = last AND role <> 'user' THEN length(word) ELSE 0 END) % 2 AS em, count(*) FILTER (role = 'user') AS searches, count(*) AS steps,
-  count(DISTINCT length(text) % 7 = 0) AS skills FROM s GROUP BY conv_id)"""
+  count(DISTINCT length(text) % 7 = 0) AS skills, count(*) FILTER (role = 'user' AND length(text) % 5 <> 0) AS tagged_search, max(CASE WHEN turn = last AND role <> 'user' AND length(word) % 3 <> 0 THEN 1 ELSE 0 END) AS tagged_final FROM s GROUP BY conv_id)"""
 
 
 @query(f"""WITH {_TRACES} SELECT dataset, count(*) AS n_examples, CAST(sum(em) AS BIGINT) AS n_correct, sum(em) / count(*) AS em, avg(searches) AS avg_search_steps, avg(steps) AS avg_total_steps, avg(skills) AS avg_skills,
-  1.0::DOUBLE AS tagged_final_turn_rate, CASE WHEN sum(searches) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS tagged_search_turn_rate, CAST(count(*) FILTER (em = 1 AND searches <= 3) AS DOUBLE) / count(*) AS correct_within_3 FROM x GROUP BY dataset""")
+  avg(tagged_final) AS tagged_final_turn_rate, CAST(sum(tagged_search) AS DOUBLE) / greatest(sum(searches), 1) AS tagged_search_turn_rate, CAST(count(*) FILTER (em = 1 AND searches <= 3) AS DOUBLE) / count(*) AS correct_within_3 FROM x GROUP BY dataset""")
 def eval_metrics(spark, sf_dir):
     return reports.eval_metrics(_traces(spark, sf_dir), "dataset")
 
@@ -278,7 +293,7 @@ def json_recovery(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS processed, count(*) FILTER (value > 20) AS passed, count(*) FILTER (NOT value > 20) AS failed FROM events GROUP BY event_type")
 def stream_summary(spark, sf_dir):
-    """The events folder read as a stream, deduplicated within the watermark and summed up."""
+    """The events folder read as a stream, one row per id within the watermark, summed up."""
     from tessera.streaming.queries import summarise_events
 
     return summarise_events(spark, sf_dir)

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_base
+
 from . import logs
 
 
 def summarise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream: duplicates dropped, then counts by type, which the last batch's table holds."""
+    """Events as a stream: one row per event id within the watermark, then counts by type over all batches.
+
+    Each batch writes its own counts, a repeated one over itself, and the counts of all batches are added up.
+    """
     folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("passed", F.col("value") > 20)
     once = logs.once_per_id(rows, "event_id", "ts")
-    # Aggregating deduplicated rows takes append or update mode, so batches add up their own counts.
-    summary = once.select("event_type", "passed")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
+        logs.run_summary(batch, "event_type").write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    query = summary.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # An input without rows makes no batch, but its summary has columns.
+    keep(spark.createDataFrame([], once.schema), -1)
+    query = once.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    counts = spark.read.parquet(f"{folder}/table").groupBy("event_type")
+    return counts.agg(*[F.sum(c).alias(c) for c in ("processed", "passed", "failed")])

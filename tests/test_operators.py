@@ -92,7 +92,18 @@ def test_repack_counts_and_reasons(spark):
     rows = [(1, chat("system", "user", "assistant", "user", "assistant")), (2, chat("assistant")), (3, chat("user")), (4, None), (5, [("user", "q"), ("assistant", "no tag")]), (6, [("user", "q"), ("assistant", "<skill>zz</skill>")]), (7, chat("user", "tool", "assistant"))]
     got = messages.repack_two_phase(spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>"), F.create_map(F.lit("s1"), F.lit("card")), F.lit("index")).orderBy("id").collect()
     assert [r.drop_reason for r in got] == [None, "assistant_without_user", "no_assistant_turns", "missing_messages", "missing_skill_tag", "unknown_skill", "unsupported_role_tool"]
-    assert len(got[0].packed) == 1 + 4 * 2 and got[0].packed[2].content == "<skill>s1</skill>" and got[0].packed[4].content == "<search>q</search>"
+    said = "<skill>s1</skill> <search>q</search>"
+    assert [m.role for m in got[0].packed] == ["system"] + ["user", "assistant", "user", "assistant"] * 2 and all(r.packed is None for r in got[1:])
+    assert got[0].packed[2].content == "<select_skill>s1</select_skill>" and got[0].packed[4].content == said and got[0].action_turns == 2
+    assert '<skill_card id="s1">\ncard\n</skill_card>' in got[0].packed[3].content
+
+
+def test_repack_looks_at_every_skill_and_turn_before(spark):
+    one, two = "<skill>s1</skill> a", "<skill> s1 | zz </skill> a"
+    rows = [(1, [("system", "x"), ("assistant", one)]), (2, [("user", "q"), ("assistant", one), ("assistant", one)]), (3, [("user", "q"), ("assistant", two)]), (4, [("user", "Recommended skills: a\nq\nStart with <skill>\nStop immediately after the closing tag."), ("assistant", one)])]
+    got = messages.repack_two_phase(spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>"), F.create_map(F.lit("s1"), F.lit("card")), F.lit("index")).orderBy("id").collect()
+    assert [r.drop_reason for r in got] == ["assistant_without_user", "assistant_without_user", "unknown_skill", None]
+    assert got[3].packed[1].content.startswith("q\n\nindex\n\n")
 
 
 def test_turn_parsing(spark):
@@ -115,7 +126,7 @@ def test_bank(spark):
     assert {r.skill_id: r.text for r in packets.parse_bank(lines, keep_empty=True).collect()} == {"alpha": "again `beta` inside", "beta": ""}
     ids = spark.range(1).select(packets.bank_ids(F.lit(text), True).alias("a"), packets.bank_ids(F.lit("`b` `a` `b`")).alias("b")).first()
     assert ids.a == ["alpha", "beta"] and ids.b == ["a", "b"]
-    assert packets.skill_index(packets.parse_bank(lines), 8).first().index_text == "- alpha: again `b..."
+    assert packets.skill_index(packets.parse_bank(lines), 8).first().index_text.split("\n")[1:] == ["- alpha: again `b..."]
 
 
 @pytest.mark.parametrize("round_no", [1, 2, 3, 4])
@@ -143,10 +154,10 @@ def test_knn_blocks_agree(spark):
 
 
 def test_metrics(spark):
-    rows = [(1, "a", 1, [("search", ["s"]), ("answer", [])]), (2, "a", 0, [("answer", ["t"])]), (3, "b", 1, [])]
-    m = reports.eval_metrics(spark.createDataFrame(rows, "id int, d string, em int, steps array<struct<action:string,selected_skills:array<string>>>"), "d")
+    rows = [(1, "a", 1, [("search", ["s"], "<SEARCH>q</SEARCH>"), ("answer", [], "<answer>x</answer>")]), (2, "a", 0, [("search", ["s"], "q"), ("answer", ["t"], "x")]), (3, "b", 1, [])]
+    m = reports.eval_metrics(spark.createDataFrame(rows, "id int, d string, em int, steps array<struct<action:string,selected_skills:array<string>,generated:string>>"), "d")
     a = {r.d: r for r in m.collect()}
-    assert (a["a"].em, a["a"].avg_search_steps, a["a"].tagged_final_turn_rate, a["a"].tagged_search_turn_rate) == (0.5, 0.5, 0.5, 1.0)
+    assert (a["a"].em, a["a"].avg_search_steps, a["a"].tagged_final_turn_rate, a["a"].tagged_search_turn_rate) == (0.5, 1.0, 0.5, 0.5)
     assert reports.pooled(m).first().em == pytest.approx(2 / 3) and reports.macro_average(m).first()[0] == 0.75
     r = spark.range(1).select(reports.reward(F.lit(1), F.array(F.lit("Paris")), F.array(F.lit("in paris")), F.array(F.lit("q"), F.lit("q")), 0.2, 0.1)).first()[0]
     assert r == pytest.approx(1.1)
@@ -154,7 +165,10 @@ def test_metrics(spark):
 
 def test_json_recovery():
     assert external.json_object('```json\n{"a": {"b": "}"}} tail\n```') == '{"a": {"b": "}"}}'
-    assert external.json_object('noise { x {"k": 1}') == '{"k": 1}' and external.json_object("none") is None and external.json_object(None) is None
+    # The first brace opens the object; one that is not closed or not JSON fails.
+    assert external.json_object('noise {"k": {"j": 1}} {"l": 2}') == '{"k": {"j": 1}}' and external.json_object('noise { x {"k": 1}') is None
+    assert external.json_object("none") is None and external.json_object(None) is None
+    assert external.json_object('a [1, 2] b', "whole") == "[1, 2]" and external.json_object('```json\n{"a": 1}\n```', "fenced") == '{"a": 1}'
     assert external.response_text({"output": [{"content": [{"text": "a"}, {"text": "b"}]}]}) == "a\nb"
 
 
