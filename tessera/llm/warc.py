@@ -197,7 +197,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 def reassemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records -> one row per page record, with the full payload of responses; ``copies``: times it was written."""
-    segments = F.array_sort(F.collect_list(F.struct("segment", "block")))
+    # A set: pages that repeat a row bring equal segments of one record, which already the map side holds once.
+    segments = F.array_sort(F.collect_set(F.struct("segment", "block")))
     named = [F.max(c).alias(c) for c in ("page_id", "url", "record_type", "digest", "refers_to", "total_length")]
     copies = F.count_if(F.col("record_type").isNotNull()).alias("copies")
     grouped = records.groupBy("record_id").agg(*named, copies, segments.alias("segments")).select(
