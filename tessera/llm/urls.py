@@ -103,14 +103,16 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, reject
     made = ("host", "path", "rule", "template", "purity", "verdict")
     held = [c for c in pages.columns if c.lower() not in made]
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    parsed = pages.select(*[F.col(f"`{c}`") for c in held], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    # Input columns travel in a struct, so that none can clash with a name used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in held]).alias("row")
+    parsed = pages.select(row, F.col("page_id").alias("page"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("by_rule"), typed_path(F.col("path")).alias("shape"))
-    seen = parsed.select("page_id", "host", "shape", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).alias("bad"))
+    seen = parsed.select("page", "host", "shape", F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).alias("bad"))
     if labels is not None:
         told = labels.groupBy(F.col("page_id").alias("told")).agg(F.max(F.col("bad").cast("int")).alias("told_bad"))
-        seen = seen.join(told, F.col("page_id") == F.col("told"), "left").withColumn("bad", F.coalesce("bad", "told_bad"))
+        seen = seen.join(told, F.col("page") == F.col("told"), "left").withColumn("bad", F.coalesce("bad", "told_bad"))
     shapes = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     judged = materialise(purity(materialise(shapes, "url-shapes")), "url-purity").withColumnsRenamed({"host": "shape_host", "shape": "own_shape"})
     out = parsed.join(judged, (F.col("host") == F.col("shape_host")) & (F.col("shape") == F.col("own_shape")), "left")
     by_tree = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in held], "host", "path", "rule", "template", "purity", F.coalesce("by_rule", by_tree).alias("verdict"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in held], "host", "path", "rule", "template", "purity", F.coalesce("by_rule", by_tree).alias("verdict"))

@@ -134,6 +134,15 @@ def test_template_tree_finds_bad_branch(spark):
     assert {got[1000 + k].template for k in range(20)} == {"/*/*"}
 
 
+def test_url_filter_keeps_columns_of_any_name(spark):
+    names = "row page told told_bad shape by_rule own_shape shape_host bad pages labelled b n host_rate child x".split()
+    rows = [(k, f"http://h.test/{'bad' if k % 2 else 'good'}/{k}", *[f"{c}{k}" for c in names]) for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string" + "".join(f", `{c}` string" for c in names))
+    got = urls.judge(frame, spark.createDataFrame([(k, k % 2 == 1) for k in range(40)], "page_id long, bad boolean")).collect()
+    assert sorted(tuple(r[c] for c in ("page_id", "url", *names)) for r in got) == rows
+    assert {r.page_id for r in got if r.verdict == "block"} == {k for k in range(40) if k % 2}
+
+
 def test_template_tree_keeps_small_branches_that_differ(spark):
     # 40 even sections, one of them bad, beside single bad pages.
     rows = [(k, f"http://hot.test/part{chr(97 + k % 40 // 20)}{chr(97 + k % 20)}/item-{k}", "h", "v") for k in range(1200)]
