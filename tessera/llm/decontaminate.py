@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose punctuation at their ends and become template tokens: words with a digit are <num>, units are <unit>,
+Words lose punctuation at their ends and become template tokens: words with a digit are <num>, units after one <unit>,
 capitalised words inside a sentence are <name>, all others stand for themselves in lower case. A second stream keeps
 names as lower-case words, so that a copy in another case is found as well. Windows of WINDOW tokens of either stream,
 at least half of them literal, are hashed; the benchmark's windows are looked up by hash in those of each whole text.
@@ -15,8 +15,9 @@ its tokens, or a run of RUN tokens. Where slot values differ it is a re-paramete
 The benchmark is handed to the tasks in blocks of at most BLOCK_CHARS characters; each block is one pass over the texts.
 
 Defined cases: null and empty texts and items have no windows; an item of fewer than WINDOW tokens
-is one window of its length, so an item of one word is in every text with that word; repeated rows are reported each; an empty table gives
-an empty result; other columns are ignored.
+is one window of its length, so an item of one word is in every text with that word; repeated rows are reported each;
+a null doc_id or item_id stays null, so items without an id cannot be told apart; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,10 +108,11 @@ class Words(dict):
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Form numbers, both hash streams, and kinds as the first stream has them."""
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        typed, plain, kind, ends = (x[at] for x in self.forms()[:4])
-        # A capital at the start of a sentence makes no name.
+        typed, plain, kind, ends, own = (x[at] for x in self.forms())
+        # A capital at the start of a sentence makes no name; a unit's word without a number before it ("a", "second") is a word.
         start = np.append(True, ends[:-1]) & (kind == NAME)
-        return at, np.where(start, plain, typed), plain, np.where(start, LITERAL, kind)
+        loose = (kind == UNIT) & ~np.append(False, kind[:-1] == NUMBER)
+        return at, np.where(start | loose, own, typed), np.where(loose, own, plain), np.where(start | loose, LITERAL, kind)
 
 
 def window_hashes(stream: np.ndarray, size: int) -> np.ndarray:
@@ -160,24 +162,20 @@ class Benchmark:
             size, number = min(WINDOW, len(own)), len(self.items)
             self.items.append((item_id, len(own), size, [words.value(k) for k in at], kind))
             left = np.ones(len(own) - size + 1, bool)
-            for stream, kinds in ((typed, kind), (plain, words_kind(words, at))) if len(own) >= SHORTEST else ():
+            for stream, kinds in ((typed, kind), (plain, np.where(kind == NAME, LITERAL, kind))) if len(own) >= SHORTEST else ():
                 literal = np.convolve(kinds == LITERAL, np.ones(size), "valid")
                 held = 2 * literal >= size
                 found = window_hashes(stream, size)
                 typical += [(found[p], number, int(p), size) for p in np.flatnonzero(held)]
                 # What the second stream holds is found there in a verbatim copy.
                 left = ~held
+            # A unit's word in front is literal here, but a text may have a number before it.
+            left[0] |= words.forms()[2][at[0]] == UNIT
             found = window_hashes(words.forms()[4][at], size)
             exact += [(found[p], number, int(p), size) for p in np.flatnonzero(left)]
         self.typical, self.exact = Index(typical), Index(exact)
 
 
-def words_kind(words: Words, at: np.ndarray) -> np.ndarray:
-    """Kinds as the second stream has them: names are literal."""
-    kind = words.forms()[2][at]
-    return np.where(kind == NAME, LITERAL, kind)
-
-
 def leaks(bench: Benchmark, words: Words, text: str) -> list[tuple]:
     """(item_id, coverage, windows, slots, changed slots, kind) of the items leaked into a text."""
     own = text.split()
@@ -227,7 +225,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     parts = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = docs.sparkSession.sparkContext.broadcast(Benchmark(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in own)))
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(sorted(((r.item_id, r.text) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             words = Words()

@@ -162,6 +162,22 @@ def test_verbatim_items_of_numbers_and_short_items(spark):
     assert {r.kind for r in got.values()} == {"verbatim"} and not {d for d, _ in got} & {4, 5}
 
 
+def test_words_of_units_are_units_after_numbers_only():
+    words = decontaminate.Words()
+    kind = [int(k) for k in words.tokens("a second 5 a second 60 km km Second 7 s".split())[3]]
+    assert kind == [0, 0, 1, 2, 0, 1, 2, 0, 0, 1, 2]
+
+
+def test_unit_word_in_front_of_an_item_after_a_number(spark):
+    item = "second law of motion here"
+    assert set(leaks(spark, [f"the 2 {item} and", f"{PAD}{item}"], [(1, item)])) == {(0, 1), (1, 1)}
+
+
+def test_null_item_ids_stay_null(spark):
+    got = leaks(spark, [PAD + QUESTION], [(None, QUESTION), (-1, QUESTION)])
+    assert set(got) == {(0, None), (0, -1)}
+
+
 def test_decontamination_empty(spark):
     assert leaks(spark, [], [(1, QUESTION)]) == {}
     assert leaks(spark, [QUESTION], []) == {}
