@@ -107,6 +107,26 @@ def beside(narrow: DataFrame, width: int) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() * width <= BROADCAST_BYTES else narrow.hint("shuffle_hash")
 
 
+#: A key counts as hot from a share of 1 / HOT of all rows on, so there are at most HOT hot keys.
+HOT = 10_000
+
+
+def join_sized(rows: DataFrame, table: DataFrame, key: str, size: str, width: int) -> DataFrame:
+    """``rows`` left-joined with a written table of one row per ``key``, ``size`` rows of ``rows`` each, ``width`` bytes wide.
+
+    Up to BROADCAST_BYTES, by its counted rows, the table is broadcast. Beyond, only its hot keys are, of which there are
+    at most HOT; the rows of the others are shuffled, none with more than 1 / HOT of all rows.
+    """
+    names = [c for c in table.columns if c != key]
+    held = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("rows")).first()
+    if held.n * width <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), key, "left")
+    hot = F.col(size) * HOT >= held.rows
+    tagged = rows.join(F.broadcast(table.where(hot)), key, "left")
+    rest = tagged.where(F.col(size).isNull()).drop(*names).join(table.where(~hot).hint("shuffle_hash"), key, "left")
+    return tagged.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def spare(taken: Iterable[str], name: str) -> str:
     """A column name that is not among ``taken``, whatever their case."""
     low = {c.lower() for c in taken}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, lm, mixing, quality, tokens, urls, warc
+from . import chat, decontaminate, dedup, jaccard, langid, lm, mixing, quality, tokens, urls, warc
 from .common import materialise, n_words
 
 
@@ -69,6 +69,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = dedup.deduplicate(_read(spark, sf_dir, "documents"))
+    return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
@@ -80,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
+    "op12_exact_dedup": op12_exact_dedup,
 }

@@ -103,4 +103,11 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op3_quality_rules": _QUALITY, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT}
+_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS whole FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY whole ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(whole) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY whole)
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op3_quality_rules": _QUALITY, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT, "op12_exact_dedup": _DEDUP}
