@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, join_sized, map_arrow, materialise
+from .tokens import Encoder
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Pieces that a worker keeps, in two generations, and the longest that it keeps.
-MEMO = 200_000
+MEMO = 400_000
 MEMO_CHARS = 64
+#: Texts that are aligned together.
+BATCH_TEXTS = 256
 #: Links of one Arrow batch of results, and documents.
 BATCH_LINKS = 1 << 19
 BATCH_DOCS = 2000
@@ -43,55 +47,40 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE = "▁"
 
 
-def components(a_ends: list[int], b_ends: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Members (places in A, places in B) of the connected components of overlapping tokens, in order.
+def components(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """The component of each token, those of A and then those of B: the smallest of its members' numbers.
 
-    ``a_ends`` and ``b_ends`` are the ends of the tokens' byte ranges, strictly ascending, with one last end.
+    ``a_ends`` and ``b_ends`` are the ends of the tokens' byte ranges, strictly ascending, with one last end. Every byte
+    range between neighbouring ends lies in one token of each side: these pairs are the edges. Union-find over all of
+    them at once: roots hook onto smaller roots that an edge reaches, then all paths are halved until they are flat.
     """
-    n, parent = len(a_ends), list(range(len(a_ends) + len(b_ends)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    i = j = 0
-    while i < n and j < len(b_ends):
-        # The two tokens at hand overlap; the one that ends first makes way for the next.
-        x, y = find(i), find(n + j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-    members: dict[int, tuple[list[int], list[int]]] = {}
-    for k in range(n):
-        members.setdefault(find(k), ([], []))[0].append(k)
-    for k in range(len(b_ends)):
-        members.setdefault(find(n + k), ([], []))[1].append(k)
-    return list(members.values())
-
-
-def expand(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """The links of a component: its pairs of members whose ranges end together, found by their ends."""
-    by_end = {b_ends[k]: k for k in b}
-    return [(k, by_end[a_ends[k]]) for k in a if a_ends[k] in by_end]
-
-
-class _Known(dict):
-    """What is known of pieces; an unknown one is aligned when it is asked for."""
-
-    def __init__(self, align, older: dict):
-        super().__init__()
-        self.align, self.older = align, older
-
-    def __missing__(self, piece: str):
-        found = self.older.get(piece)
-        if found is None:
-            found = self.align(piece)
-        if len(piece) <= MEMO_CHARS:
-            self[piece] = found
-        return found
+    ends = np.union1d(a_ends, b_ends)
+    u, v = np.searchsorted(a_ends, ends), len(a_ends) + np.searchsorted(b_ends, ends)
+    parent = np.arange(len(a_ends) + len(b_ends))
+    while True:
+        x, y = parent[u], parent[v]
+        apart = x != y
+        if not apart.any():
+            return parent
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+
+
+def expand(own: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links, as places in A and in B: pairs of members of one component whose ranges end together."""
+    both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    i, j = np.searchsorted(a_ends, both), np.searchsorted(b_ends, both)
+    linked = own[i] == own[len(a_ends) + j]
+    return i[linked], j[linked]
+
+
+#: What is kept of a piece: its numbers of A's and B's tokens and of groups, its groups as text, its links as pairs.
+Piece = tuple[int, int, int, str, list[int]]
 
 
 class Aligner:
@@ -99,71 +88,107 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, memo: int = MEMO):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = Encoder(path_a)
+        self.a.tokenizer.encode_special_tokens, self.a.special = True, []
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         # Byte-level BPE writes bytes that are not printable Latin-1 as characters from U+0100 on.
         printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in printed} | {chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printed)))}
-        names = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {k: bytes(byte[c] for c in t) for t, k in names.items() if all(c in byte for c in t)}
+        names = self.a.tokenizer.get_vocab()
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for t, k in names.items():
+            self.a_bytes[k] = bytes(byte[c] for c in t) if all(c in byte for c in t) else b""
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(k) else t.replace(_SPACE, " ").encode() for k, t in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.shown = [str(k) for k in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.lead = self.b.piece_to_id(_SPACE)
         # Cuts are safe only if no piece of B goes on over a space, or holds a newline.
         self.cuts = not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", t) for t in pieces)
-        self.limit, self.known = memo, _Known(self._piece, {})
-
-    def tokens(self, piece: str) -> tuple[list[int], list[int]] | None:
-        """A's and B's ids of a piece (with the space before it, or from a newline on), None if either loses bytes."""
-        raw = piece.encode()
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        if piece[0] == " ":
-            b = self.b.encode(piece[1:])
+        self.limit, self.known, self.older = memo, {}, {}
+
+    def _a_ids(self, piece: str) -> np.ndarray:
+        body = piece[1:]
+        if piece[0] in " \n" and body.split() == [body]:
+            ids = self.a._piece(body if piece[0] == " " else piece)
         else:
-            # B puts a space before what it is given; a newline does not join it.
-            b = self.b.encode(piece)
-            if b[:1] != [self.lead]:
-                return None
-            b = b[1:]
-        if b"".join([self.a_bytes.get(k, b"") for k in a]) != raw or b"".join([self.b_bytes[k] for k in b]) != raw:
-            return None
-        return a, b
-
-    def groups(self, piece: str) -> list[tuple[list[int], list[int], list[tuple[int, int]]]] | None:
-        """Minimal groups in order: A's ids, B's ids, and the links as id pairs."""
-        found = self.tokens(piece)
-        if found is None:
-            return None
-        a, b = found
-        a_ends = np.cumsum([len(self.a_bytes[k]) for k in a]).tolist()
-        b_ends = np.cumsum([len(self.b_bytes[k]) for k in b]).tolist()
-        return [([a[k] for k in x], [b[k] for k in y], [(a[i], b[j]) for i, j in expand(x, y, a_ends, b_ends)]) for x, y in components(a_ends, b_ends)]
-
-    def _piece(self, piece: str) -> tuple[int, int, int, str, list[int]] | None:
-        """What is kept of a piece: its numbers of A's and B's tokens and of groups, its groups as text, its links as pairs."""
-        found = self.groups(piece)
-        if found is None:
-            return None
-        told = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b, _ in found])
-        return sum(len(g[0]) for g in found), sum(len(g[1]) for g in found), len(found), told, [x << 32 | y for g in found for x, y in g[2]]
-
-    def align(self, text: str | None) -> list[tuple[int, int, int, str, list[int]]]:
-        """The pieces of a text in order, each as ``_piece`` tells; none if the text has no tokens."""
-        if not text:
-            return []
+            ids = self.a._whole(piece)
+        return np.frombuffer(ids, "<u4")
+
+    def _tokens(self, pieces: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[bool]]:
+        """A's and B's ids of each piece (with the space before it, or from a newline on), and whether both keep its bytes."""
+        if len(self.a.memo) > MEMO // 4:
+            self.a.memo.clear()
+        a = [self._a_ids(p) for p in pieces]
+        # B puts a space before what it is given; a newline does not join it.
+        b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
+        good = [p[0] == " " or ids[:1] == [self.lead] for p, ids in zip(pieces, b, strict=True)]
+        b = [ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, b, strict=True)]
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for k, p in enumerate(pieces):
+            raw = p.encode()
+            good[k] = good[k] and b"".join(map(of_b, b[k])) == raw and b"".join(map(of_a, a[k].tolist())) == raw
+        return a, b, good
+
+    def learn(self, pieces: list[str]) -> list[Piece | None]:
+        """What is kept of each piece, None where either tokenizer loses bytes.
+
+        The pieces are aligned as one sequence of tokens: both sides end where a piece ends, so no component leaves it.
+        """
+        a, b, good = self._tokens(pieces)
+        out: list[Piece | None] = [None] * len(pieces)
+        whole = [k for k, g in enumerate(good) if g]
+        if not whole:
+            return out
+        a_n, b_n = np.array([len(a[k]) for k in whole]), np.array([len(b[k]) for k in whole])
+        a_ids, b_ids = np.concatenate([a[k] for k in whole]).astype(np.int64), np.array([x for k in whole for x in b[k]], np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        own = components(a_ends, b_ends)
+        # Members of a component stand side by side, in the same order of components on both sides.
+        n = len(a_ids)
+        a_first, b_first = (np.flatnonzero(np.diff(side, prepend=-1)) for side in (own[:n], own[n:]))
+        last_a, last_b = np.cumsum(a_n), np.cumsum(b_n)
+        group_end = np.searchsorted(a_first, last_a).tolist()
+        i, j = expand(own, a_ends, b_ends)
+        pairs = ((a_ids[i] << 32) | b_ids[j]).tolist()
+        link_end = np.searchsorted(i, last_a).tolist()
+        shown = self.shown.__getitem__
+        a_text, b_text = list(map(shown, a_ids.tolist())), list(map(shown, b_ids.tolist()))
+        a_cut, b_cut = [*a_first.tolist(), n], [*b_first.tolist(), len(b_ids)]
+        told = [
+            f"{a_text[p]}|{b_text[r]}" if q - p == 1 == s - r else f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}"
+            for p, q, r, s in zip(a_cut[:-1], a_cut[1:], b_cut[:-1], b_cut[1:], strict=True)
+        ]
+        group, link = 0, 0
+        for k, n_a, n_b, group_to, link_to in zip(whole, a_n.tolist(), b_n.tolist(), group_end, link_end, strict=True):
+            out[k] = (n_a, n_b, group_to - group, ";".join(told[group:group_to]), pairs[link:link_to])
+            group, link = group_to, link_to
+        return out
+
+    def align(self, texts: list[str | None]) -> list[list[Piece]]:
+        """The pieces of each text in order; none if the text has no tokens."""
         if len(self.known) > self.limit // 2:
             # A new generation; pieces of the one before stay known as long as they are used.
-            self.known = _Known(self._piece, dict(self.known))
-        whole = " " + text
-        parts = list(map(self.known.__getitem__, self.pieces(whole)))
-        if None in parts:
-            # Bytes are lost in some piece: the whole text decides.
-            last = self._piece(whole)
-            return [] if last is None else [last]
-        return parts
+            self.known, self.older = {}, self.known
+        parts = [self.pieces(" " + t) if t else [] for t in texts]
+        missing = set().union(*parts) - self.known.keys()
+        for p in missing & self.older.keys():
+            self.known[p] = self.older[p]
+        fresh = list(missing - self.older.keys())
+        self.known.update(zip(fresh, self.learn(fresh), strict=True))
+        out = []
+        for text, own in zip(texts, parts, strict=True):
+            found = list(map(self.known.__getitem__, own))
+            if None in found:
+                # Bytes are lost in some piece: the whole text decides.
+                (last,) = self.learn([" " + text])
+                found = [] if last is None else [last]
+            out.append(found)
+        for p in fresh:
+            if len(p) > MEMO_CHARS:
+                del self.known[p]
+        return out
 
     def pieces(self, whole: str) -> list[str]:
         if not self.cuts:
@@ -208,11 +233,11 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         own = aligner(path_a, path_b)
         rows, pairs, times, n = [], [], [], 0
         for part in batches:
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                found = own.align(text.as_py())
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for doc_id, found in zip(ids, own.align(texts), strict=True):
                 told = ";".join([p[3] for p in found])
-                flat = [x for p in found for x in p[4]]
-                each, count = np.unique(np.array(flat, np.int64), return_counts=True)
+                flat = np.fromiter(chain.from_iterable([p[4] for p in found]), np.int64)
+                each, count = np.unique(flat, return_counts=True)
                 row = (doc_id, sum([p[0] for p in found]), sum([p[1] for p in found]), sum([p[2] for p in found]), len(flat), hashlib.sha256(told.encode()).hexdigest() if found else "")
                 rows.append((*row, told) if with_groups else row)
                 pairs.append(each)
@@ -224,7 +249,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         if rows:
             yield batch(rows, pairs, times)
 
-    found = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, schema, owner="alignment")
+    found = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, schema, BATCH_TEXTS, owner="alignment")
     # The numbers are fixed by writing them.
     return materialise(found.withColumn("row", F.monotonically_increasing_id()), "alignment")
 
