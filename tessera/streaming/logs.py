@@ -5,6 +5,8 @@ The reference appends rows to logs and resumes by the ids that it finds there; t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,6 +37,74 @@ def resume(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def attempt_states(attempts: DataFrame, key: str, order: Sequence[str], error: str) -> DataFrame:
+    """The keyed state of a resumed run, of a table or of a stream in update mode.
+
+    ``attempts`` are log rows, ``error`` is null for a trajectory. An id with a trajectory is done for good, with the
+    first one in ``order``; one that has only failed stays open and keeps its last error. ``failures`` counts its
+    errors. On a stream the state has no expiry; attempts of one id combine before the shuffle, so an id that is tried
+    very often is no hot spot. Rows with a null id are left out, as no later run could ask for them.
+    """
+    rest = [c for c in attempts.columns if c not in (key, error)]
+    failed = F.col(error).isNotNull()
+    at = [F.col(c).alias(f"k{n}") for n, c in enumerate(order)]
+    first = F.min(F.when(~failed, F.struct(*at, F.struct(*rest).alias("row"))))
+    last = F.max(F.when(failed, F.struct(*at, F.col(error).alias("error"))))
+    named = attempts.where(F.col(key).isNotNull())
+    return named.groupBy(key).agg(first.alias("first"), last.alias("last"), F.count_if(failed).alias("failures"))
+
+
+def attempt_table(states: DataFrame, key: str, rest: Sequence[str]) -> DataFrame:
+    """One row per id: ``done``, the columns ``rest`` of its trajectory if it is done, else its last error."""
+    done = F.col("first").isNotNull()
+    return states.select(key, done.alias("done"), *[F.col("first.row")[c].alias(c) for c in rest], F.when(~done, F.col("last.error")).alias("last_error"), "failures")
+
+
+#: Settings of keyed state on disk, with memory and disk bounded for many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def follow_attempts(attempts: DataFrame, key: str, order: Sequence[str], error: str, folder: str) -> StreamingQuery:
+    """X2 on a stream: take all attempts that the state in ``folder`` has not seen; runs until the present input is done.
+
+    Each batch writes the ids that it changed, a repeated one over itself; ``followed`` reads what holds now. A run that
+    was stopped goes on from its checkpoint.
+    """
+    spark = attempts.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+
+    def keep(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/ids/batch={number}")
+
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        states = attempt_states(attempts, key, order, error)
+        return states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    finally:
+        # The query keeps the settings that it was started with.
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def followed(spark: SparkSession, folder: str, key: str, rest: Sequence[str]) -> DataFrame:
+    """``attempt_table`` of all ids, by the latest batch that changed each."""
+    changed = spark.read.parquet(f"{folder}/ids")
+    latest = changed.groupBy(key).agg(F.max_by(F.struct("first", "last", "failures"), "batch").alias("s")).select(key, "s.*")
+    return attempt_table(latest, key, rest)
+
+
+def still_open(requested: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The requested rows that a resumed run tries: all but the done ones, with their last error if they have one."""
+    told = table.select(F.col(key).alias("__key"), "done", "last_error", "failures")
+    joined = requested.join(told, F.col(key) == F.col("__key"), "left").where(~F.coalesce("done", F.lit(False)))
+    return joined.withColumn("failures", F.coalesce("failures", F.lit(0))).drop("__key", "done")
+
+
 def run_summary(rows: DataFrame, by: str) -> DataFrame:
     """Counts kept up to date while rows arrive (complete or update mode)."""
     good = F.coalesce(F.col("passed"), F.lit(False))

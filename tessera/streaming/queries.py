@@ -31,3 +31,19 @@ def summarise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     query.awaitTermination()
     counts = spark.read.parquet(f"{folder}/table").groupBy("event_type")
     return counts.agg(*[F.sum(c).alias(c) for c in ("processed", "passed", "failed")])
+
+
+def resume_attempts(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """Events as the log of a run: a user's hours are ids, events attempts, ``error`` events runtime errors.
+
+    The log is written as files, which the stream takes in several batches; state is keyed by id and kept for good.
+    """
+    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    failed = F.when(F.col("event_type") == "error", F.coalesce("props", F.lit("error")))
+    named = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.hour("ts").cast("string"))
+    log = rows.select(named.alias("id"), "ts", "event_id", "event_type", "value", failed.alias("error"))
+    log.repartition(2 * batches, "event_id").write.parquet(f"{folder}/log")
+    attempts = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    logs.follow_attempts(attempts, "id", ("ts", "event_id"), "error", folder).awaitTermination()
+    return logs.followed(spark, folder, "id", ("event_id", "event_type", "value"))
