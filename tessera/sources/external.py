@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+
 #: Responses worth another attempt.
 RETRY = frozenset({408, 429, 500, 502, 503, 504})
 #: A policy maps the turns so far to the next turn's text; a retriever maps a query to passages.
@@ -151,9 +153,61 @@ def _parsed(text: str) -> Any:
         return None
 
 
+def _closed(text: Column, opening: str, closing: str) -> Column:
+    """Length of what stands from the beginning, an opening sign, to where its depth is 0 again; null where it stays open.
+
+    The text is cut into quotes, signs, backslashes with what follows them, and runs of other characters, and folded
+    with the depth of signs outside strings. A backslash escapes inside a string only; outside, what follows it counts.
+    """
+    signs = "".join(f"\\{c}" for c in opening + closing)
+    pieces = F.regexp_extract_all(text, F.lit(rf'(?s)\\.?|["{signs}]|[^\\"{signs}]+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
+
+    def step(s: Column, piece: Column) -> Column:
+        escape = F.startswith(piece, F.lit("\\"))
+        # Of a backslash and what follows it, the latter counts outside strings, neither inside.
+        sign = F.when(escape & s["quoted"], F.lit("")).otherwise(F.right(piece, F.lit(1)))
+        quoted = s["quoted"] != (sign == '"')
+        change = F.when(s["quoted"], 0).when(sign.isin(*opening), 1).when(sign.isin(*closing), -1).otherwise(0)
+        depth = s["depth"] + change
+        after = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["length"] + F.length(piece)).alias("length"), ((change == -1) & (depth == 0)).alias("closed"))
+        return F.when(s["closed"], s).otherwise(after)
+
+    end = F.aggregate(pieces, start, step)
+    return F.when(end["closed"], end["length"])
+
+
+def first_object(text: Column) -> Column:
+    """The text from the first opening brace to the brace that closes it, null where none does; expressions only."""
+    begun = F.when(F.instr(text, "{") > 0, F.substring(text, F.instr(text, "{"), F.length(text)))
+    return F.substring(begun, F.lit(1), _closed(begun, "{", "}"))
+
+
+#: A whole text that is a number, a string, true or false.
+SCALAR = r'(?s)^(?:true|false|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|"[^"\\]*+(?:\\.[^"\\]*+)*+")$'
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text without spaces and with sorted keys; null where it is none, has anything behind it, or is null.
+
+    The parser takes the first value of a text, so that this is all of it is checked apart. Names that repeat are a fault.
+    """
+    whole = F.when(F.left(text, F.lit(1)).isin("{", "["), _closed(text, "{[", "}]") == F.length(text)).otherwise(text.rlike(SCALAR))
+    return F.when(whole, F.to_json(F.try_parse_json(text)))
+
+
 def recover_json(text: Column, how: str = "first") -> Column:
-    """R7 as a vectorised function; well-formed rows can use ``from_json`` instead."""
-    return F.pandas_udf(lambda s: s.map(lambda x: json_object(x, how)), "string")(text)
+    """R7 as an expression: the object that ``json_object`` finds, by ``canonical_json``."""
+    plain = tx.strip(F.coalesce(text, F.lit("")))
+    if how == "first":
+        return canonical_json(first_object(plain))
+    if how == "whole":
+        return F.coalesce(canonical_json(plain), canonical_json(F.regexp_substr(plain, F.lit(r"(?s)\{.*\}|\[.*\]"))))
+    if how == "fenced":
+        bare = tx.strip(F.regexp_replace(F.regexp_replace(plain, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+        between = F.regexp_substr(bare, F.lit(r"(?s)\{.*\}"))
+        return F.coalesce(*[F.when(F.startswith(t, F.lit("{")), canonical_json(first_object(t))) for t in (plain, bare, between)])
+    raise ValueError(f"no way {how}")
 
 
 def gather_text(response: Column) -> Column:

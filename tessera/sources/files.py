@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .arrow_ipc import ArrowIpc
+
 
 def resolve_path(template: str, roots: Mapping[str, str]) -> str:
     """``__NAME__`` marks in a path are replaced."""
@@ -57,28 +59,11 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC stream or file, read in one task per file as record batches."""
-    import pyarrow as pa
-
-    def opened(name: str):
-        source = pa.memory_map(name)
-        try:
-            return pa.ipc.open_stream(source)
-        except pa.ArrowInvalid:
-            return pa.ipc.open_file(source)
-
-    schema = pa.schema([*opened(path).schema])
-    empty = spark.createDataFrame(schema.empty_table())
-
-    def read(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                reader = opened(name)
-                found = reader if hasattr(reader, "__iter__") and not hasattr(reader, "get_batch") else (reader.get_batch(i) for i in range(reader.num_record_batches))
-                yield from found
-
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(read, empty.schema)
+def read_arrow(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Arrow IPC streams or files, a file or a folder of them, by the data source ``arrow_ipc``."""
+    spark.dataSource.register(ArrowIpc)
+    reader = spark.read.format("arrow_ipc").option("path", path)
+    return (reader if split_bytes is None else reader.option("splitBytes", str(split_bytes))).load()
 
 
 def eval_ids(spark: SparkSession, path: str, column: str = "id", tolerant: bool = False) -> DataFrame:
