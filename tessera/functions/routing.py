@@ -62,14 +62,24 @@ def estimated_hops(question: Column, decomposition_size: Column, hop_count: Colu
     return F.when(decomposition_size > 0, decomposition_size).when(hop_count > 0, hop_count).otherwise(by_words).cast("int")
 
 
+def _follows(q: Column, pattern: str) -> Column:
+    """Whether ``pattern``, one word and then another on the same line, occurs; in time linear in the text.
+
+    Searched as it is, every left word of a line that lacks the right one walks to the line's end again. Here a line is
+    entered at its start and its first left word is kept (an atomic group): what follows it holds all that follows others.
+    """
+    left, right = pattern.split(r"\b.*\b")
+    return q.rlike(rf"(?Um)^(?>.*?{left}\b).*\b{right}")
+
+
 def question_marks(question: Column) -> dict[str, Column]:
     """The eight booleans of the metadata summary."""
     q = low(question)
     patterns = {
         "is_yes_no": YES_NO, "has_alias_cue": ALIAS, "has_superlative": SUPERLATIVE, "has_kinship": KINSHIP,
-        "has_forced_choice": FORCED_CHOICE, "has_comparison": COMPARISON, "has_temporal_anchor": TEMPORAL_ANCHOR, "looks_relation_chain": RELATION_CHAIN,
+        "has_forced_choice": FORCED_CHOICE, "has_comparison": COMPARISON, "has_temporal_anchor": TEMPORAL_ANCHOR,
     }
-    return {name: tx.has(q, p) for name, p in patterns.items()}
+    return {name: tx.has(q, p) for name, p in patterns.items()} | {"looks_relation_chain": _follows(q, RELATION_CHAIN)}
 
 
 def metadata_summary(
@@ -150,9 +160,9 @@ def failure_tag(question: Column, prediction: Column, wrong_skills: Column) -> C
 
 
 def _type_facts(q: Column, question: Column) -> dict[str, Column]:
-    patterns = {"compare": EVAL_COMPARISON, "ranking": SUPERLATIVE, "alias": ALIAS, "time_num": EVAL_TIME_OR_NUMBER, "constrained": CONSTRAINED}
+    patterns = {"compare": EVAL_COMPARISON, "ranking": SUPERLATIVE, "alias": ALIAS, "time_num": EVAL_TIME_OR_NUMBER}
     facts = {name: tx.has(q, p) for name, p in patterns.items()}
-    return facts | {"yesno": tx.starts_with_any(q, EVAL_YES_NO_STARTS), "choice": F.contains(q, F.lit(" or ")), "words": tx.word_count(question)}
+    return facts | {"constrained": _follows(q, CONSTRAINED), "yesno": tx.starts_with_any(q, EVAL_YES_NO_STARTS), "choice": F.contains(q, F.lit(" or ")), "words": tx.word_count(question)}
 
 
 def _type(m) -> Column:
@@ -171,7 +181,7 @@ def connector_count(question: Column) -> Column:
 
 
 def explicit_relation(question: Column) -> Column:
-    return tx.has(low(question), RELATION_OF)
+    return _follows(low(question), RELATION_OF)
 
 
 def _long(m) -> Column:
@@ -189,8 +199,9 @@ def long_hop(question: Column) -> Column:
 def initial_skills(question: Column, available: Column) -> Column:
     """The evaluation router's skills, the first five that are available."""
     q = low(question)
-    extra = {"derived": DERIVED_KINSHIP, "kinship": KINSHIP, "anchor": TEMPORAL_ANCHOR, "bridge": BRIDGE_LIKE, "company": ORGANISATION, "relation": RELATION_OF}
+    extra = {"derived": DERIVED_KINSHIP, "kinship": KINSHIP, "anchor": TEMPORAL_ANCHOR, "company": ORGANISATION}
     facts = _type_facts(q, question) | _hop_facts(q) | {name: tx.has(q, p) for name, p in extra.items()}
+    facts |= {"bridge": _follows(q, BRIDGE_LIKE), "relation": _follows(q, RELATION_OF)}
     # All facts of a question are found once; the rules then look at booleans only.
     return tx.let(F.struct(*[c.alias(n) for n, c in facts.items()]), lambda m: _initial(m, available))
 

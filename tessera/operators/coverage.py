@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.session import written
 
-from .sampling import head, seeded
+from .sampling import SHORT_HEAD, first_of_groups, head, seeded
+
+#: Rounds of ``refill`` that one job settles.
+ROUNDS_PER_JOB = 3
 
 
 def groups(profiles: DataFrame, key: str = "signature", representatives: DataFrame | None = None) -> DataFrame:
@@ -110,8 +113,10 @@ def coverage_sample(rows: DataFrame, table: DataFrame, target: int, key: str = "
     """Rows drawn by ``quota_plan``, inside a group in seeded random order."""
     plan = quota_plan([r.asDict() for r in table.select("group_id", "size", "priority", "labels").collect()], target)
     wanted = rows.sparkSession.createDataFrame(list(plan.items()), "planned_group string, take int")
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("group_id").orderBy(seeded(seed, F.col(key)), F.col(key))))
-    return ranked.join(wanted, F.col("group_id") == F.col("planned_group")).where(F.col("__rank") <= F.col("take")).drop("__rank", "planned_group", "take")
+    # A row per group: the plan goes to all tasks, as the group table went to the driver.
+    near = rows.join(F.broadcast(wanted), F.col("group_id") == F.col("planned_group"))
+    ranked = first_of_groups(near, ["group_id"], [seeded(seed, F.col(key)), F.col(key)], max(plan.values(), default=0))
+    return ranked.where(F.col("__rank") <= F.col("take")).drop("__rank", "planned_group", "take")
 
 
 def refill(candidates: DataFrame, selected: DataFrame, rejected: DataFrame, question: Column, n: int, order_in_group: Column, group_rank: Column, key: str = "id", severe: Column | None = None) -> DataFrame:
@@ -120,36 +125,48 @@ def refill(candidates: DataFrame, selected: DataFrame, rejected: DataFrame, ques
     Groups take turns in order of ``group_rank``; at its turn a group takes its first row, by ``order_in_group``, whose
     question nobody has taken before. ``selected`` and ``rejected`` have the column ``question_key``.
 
-    A row's turn is its place in the group less the rows before it whose question others took. Only questions that stand
-    in several groups are open; round by round those are settled that no row with a possibly earlier turn can take.
+    A row's turn is its place in the group less the rows before it whose question others took. No group has more than n
+    turns, and at most n questions are taken, so rows beyond a group's first 2 n are not needed; the rest is few. Only
+    questions that stand in several groups are open; round by round those are settled that no row with a possibly earlier
+    turn can take.
     """
     named = candidates.withColumn("question_key", question).join(selected.select(key), key, "left_anti")
     named = named if severe is None else named.where(~F.coalesce(severe, F.lit(False)))
     fresh = named.join(selected.select("question_key").union(rejected.select("question_key")).distinct(), "question_key", "left_anti")
-    inside = fresh.withColumn("__order", order_in_group).withColumn("__rank", group_rank)
+    inside = fresh.select(key, "group_id", "question_key", order_in_group.alias("__order"), group_rank.alias("__rank_of"))
     # A question that comes again in its group is never free when its turn comes.
     again = F.row_number().over(Window.partitionBy("group_id", "question_key").orderBy("__order", key))
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy("__order", key))
-    own = inside.withColumn("__again", again).where("__again = 1").withColumn("__place", place).drop("__again", "__order")
+    own = inside.withColumn("__again", again).where("__again = 1").drop("__again")
+    near = first_of_groups(own, ["group_id"], [F.col("__order"), F.col(key)], 2 * n).withColumnRenamed("__rank", "__place").drop("__order")
     shared = F.count(F.lit(1)).over(Window.partitionBy("question_key"))
-    placed = written(own.withColumn("__open", shared > 1))
-    open_ = placed.where("__open").select(F.col(key).alias("row"), "group_id", "question_key", F.col("__rank").alias("rank"), F.col("__place").alias("place"), F.lit(None).cast("boolean").alias("won"))
+    placed_ = written(near.withColumn("__open", shared > 1))
+    open_ = placed_.where("__open").select(F.col(key).alias("row"), "group_id", "question_key", F.col("__rank_of").alias("rank"), F.col("__place").alias("place"), F.lit(None).cast("boolean").alias("won"))
+    # Windows by group see at most 2 n rows of it.
     before = Window.partitionBy("group_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     of_question = Window.partitionBy("question_key")
-    while open_.where("won IS NULL").limit(1).count():
+
+    def settled(rows: DataFrame) -> DataFrame:
         lost = F.coalesce(F.count_if(F.col("won") == F.lit(False)).over(before), F.lit(0))
         unsure = F.coalesce(F.count_if(F.col("won").isNull()).over(before), F.lit(0))
-        known = open_.withColumn("late", F.col("place") - lost).withColumn("early", F.col("late") - unsure)
+        known = rows.withColumn("late", F.col("place") - lost).withColumn("early", F.col("late") - unsure)
         undecided, taken = F.col("won").isNull(), F.max("won").over(of_question)
         first = F.min(F.when(undecided, F.struct("early", "rank", "row"))).over(of_question)
         sure = (F.col("late") == F.col("early")) & (F.struct("early", "rank", "row") == first)
         # A certain turn wins if it is the earliest that any row of the question may have.
         step = known.withColumn("win", undecided & sure).withColumn("any", F.max("win").over(of_question) | F.coalesce(taken, F.lit(False)))
         won = F.when(~undecided, F.col("won")).when(F.col("win"), True).when(F.col("any"), False)
-        open_ = written(step.select("row", "group_id", "question_key", "rank", "place", won.alias("won")))
+        return step.select("row", "group_id", "question_key", "rank", "place", won.alias("won"))
+
+    while open_.where("won IS NULL").limit(1).count():
+        # Several rounds a job.
+        for _ in range(ROUNDS_PER_JOB):
+            open_ = settled(open_)
+        open_ = written(open_)
     gone = open_.where("NOT won").select(F.col("row").alias(key))
-    turned = placed.join(gone, key, "left_anti").withColumn("__turn", F.row_number().over(Window.partitionBy("group_id").orderBy("__place")))
-    return head(turned, n, ["__turn", "__rank", key]).drop("__turn", "__rank", "__place", "__open", "question_key")
+    turned = placed_.join(gone, key, "left_anti").withColumn("__turn", F.row_number().over(Window.partitionBy("group_id").orderBy("__place")))
+    picked = head(turned, n, ["__turn", "__rank_of", key]).select(F.col(key).alias("__picked"), "__turn", F.col("__rank_of"))
+    # The picked rows are n at most.
+    return candidates.join(F.broadcast(picked) if n <= SHORT_HEAD else picked, F.col(key) == F.col("__picked")).orderBy("__turn", "__rank_of", key).drop("__picked", "__turn", "__rank_of")
 
 
 def budget_pick(group: DataFrame, most: int, top: int = 8, top_flag: int = 10) -> DataFrame:

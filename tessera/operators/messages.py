@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import routing, text as tx
 
 from .packets import skill_cards
+from .sampling import segmented
 
 SEARCH, ANSWER, SKILL = r"(?is)<search>(.*?)</search>", r"(?is)<answer>(.*?)</answer>", r"(?is)<skill>(.*?)</skill>"
 #: Skills whose presence raises the copies of a row in focus mode.
@@ -278,7 +279,9 @@ def prompt_rows(rows: DataFrame, split: str, instruction: str) -> DataFrame:
     q = routing.with_question_mark(F.col("question"))
     prompt = F.array(_message("user", F.concat(F.lit(instruction), F.lit("\n"), q)))
     name = routing.dataset_name(F.col("dataset"))
-    order = F.row_number().over(Window.partitionBy("dataset").orderBy("id")) - 1
+    # Data sets are few and of any size, so a row's place in its own comes from a sort by ranges.
+    rows = segmented(rows, ["dataset"], ["id"])
+    order = F.col("__rank") - 1
     budget = routing.search_budget(F.col("question"), F.col("dataset"), F.lit(None).cast("int"))
     extra = F.struct(F.lit(split).alias("split"), order.alias("index"), budget.alias("search_budget"), name.alias("source_dataset"), F.col("id").cast("string").alias("source_id"))
     model = F.struct(F.lit("rule").alias("style"), F.struct(F.col("golden_answers").alias("target")).alias("ground_truth"))

@@ -21,6 +21,10 @@ SHORT_HEAD = 10_000
 MAP_LABELS = 10_000
 
 
+#: Up to this rank Spark limits the groups of a window before it shuffles them (its own default threshold).
+GROUP_LIMIT = 1000
+
+
 def placed(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """``rows`` with ``__i``, their place from 0 in a total order; a written table, sorted by ranges.
 
@@ -36,6 +40,43 @@ def placed(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return found.withColumn("__i", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, "__i")
 
 
+def segmented(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with ``__rank`` (from 1) within the groups ``by``, ``__n``, the group's rows, and running sums, by ``order``.
+
+    For groups of few values, which may hold any share of all rows: a window over them would put a group into one task.
+    Rows are sorted by ranges of group and order instead, and written; a run is a range's part of a group, and what the
+    runs before it hold is added to places and sums within it. The table of runs has a row per range and group.
+    """
+    sums = sums or {}
+    held = rows.withColumns({f"__v{k}": value for k, value in enumerate(sums.values())})
+    ordered = written(held.orderBy(*[F.asc_nulls_first(c) for c in by], *order).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33)), "segmented")
+    runs = ordered.groupBy("__p", *by).agg(F.count(F.lit(1)).alias("__c"), F.min("__m").alias("__first"), *[F.sum(f"__v{k}").alias(f"__s{k}") for k in range(len(sums))])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    told = runs.withColumns({"__n": F.sum("__c").over(group), "__before": F.coalesce(F.sum("__c").over(before), zero), **{f"__b{k}": F.coalesce(F.sum(f"__s{k}").over(before), zero) for k in range(len(sums))}})
+    told = told.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)], "__first", "__n", "__before", *[f"__b{k}" for k in range(len(sums))])
+    same = F.col("__p") == F.col("__q")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    # Runs are no larger than a range, so neither this join nor the sums within runs have hot keys.
+    found = ordered.join(told, same)
+    inside = Window.partitionBy("__p", *by).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    out = [F.sum(f"__v{k}").over(inside) + F.col(f"__b{k}") for k in range(len(sums))]
+    return found.select(*rows.columns, (F.col("__m") - F.col("__first") + F.col("__before") + 1).alias("__rank"), "__n", *[c.alias(name) for c, name in zip(out, sums, strict=True)])
+
+
+def first_of_groups(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first n rows of each group, with ``__rank``.
+
+    Up to GROUP_LIMIT the window keeps n rows of each group in every task before it shuffles, whatever a group's size;
+    beyond, places come from a sort by ranges.
+    """
+    if n < GROUP_LIMIT:
+        return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n)
+    return segmented(rows, by, order).where(F.col("__rank") <= n).drop("__n")
+
+
 def head(rows: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """The first n rows of a total order."""
     if n <= SHORT_HEAD:
@@ -104,27 +145,27 @@ def best(rows: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
 def representatives(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """Rows at k evenly spaced ranks of each group, ranks rounded half to even."""
-    by = Window.partitionBy(*group)
-    ranked = rows.withColumn("pos", F.row_number().over(by.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("n") - 1) / F.lit(float(max(k - 1, 1)))).cast("int"))
-    return ranked.where((F.col("n") <= k) | F.array_contains(places, F.col("pos"))).drop("pos", "n")
+    ranked = segmented(rows, group, order)
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(float(max(k - 1, 1)))).cast("bigint"))
+    return ranked.where((F.col("__n") <= k) | F.array_contains(places, F.col("__rank") - 1)).drop("__rank", "__n")
 
 
 def stratified_top(strata: Sequence[tuple[DataFrame, Sequence[str], int]], key: str, order: Sequence[Column]) -> DataFrame:
     """The top rows of each stratum's groups; a row keeps the first stage that picked it."""
     picked = None
     for stage, (rows, by, n) in enumerate(strata):
-        top = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n)
-        top = top.select(*rows.columns, F.lit(stage).alias("stage"))
+        top = first_of_groups(rows, by, order, n).select(*rows.columns, F.lit(stage).alias("stage"))
         picked = top if picked is None else picked.unionByName(top)
     first = Window.partitionBy(key).orderBy("stage")
     return picked.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
 
 
 def round_robin(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """One row of each group in turn, in random order of groups and rows, until n rows."""
-    inside = Window.partitionBy(group).orderBy(seeded(seed, F.col(key)), F.col(key))
-    turn = rows.withColumn("turn", F.row_number().over(inside))
+    """One row of each group in turn, in random order of groups and rows, until n rows.
+
+    Before a row of turn t come t - 1 rows of its own group, so only the first n rows of a group can be among them.
+    """
+    turn = first_of_groups(rows, [group], [seeded(seed, F.col(key)), F.col(key)], n).withColumnRenamed("__rank", "turn")
     return head(turn, n, ["turn", seeded(seed, F.col(group)), F.col(group), F.col(key)])
 
 
