@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import profile, text as tx
-from tessera.session import table
+from tessera.operators import coverage
+from tessera.session import table, written
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +104,35 @@ k AS (SELECT *, group_size <= 3 AS small, rarest <= threshold AS rare, (group_si
 """
 
 
+#: As SQL_PROFILES, then y: annotated groups with labels and priority, ranked by ``place``.
+SQL_GROUPS = f"""{SQL_PROFILES}, g AS (
+  SELECT signature, dataset, substr(md5(signature), 1, 16) AS group_id, count(*) AS size, coalesce(arg_min(native_type, id), 'unknown') AS native_type, arg_min(hop_count, id) AS hop_count, arg_min(flags, id) AS f,
+    arg_min(entity_bin, id) AS entity_bin, arg_min(form, id) AS answer_form FROM s GROUP BY signature, dataset),
+b AS (SELECT *, list_has_any(f, ['comparison']) OR contains(native_type, 'comparison') AS compare, list_has_any(f, ['relation_chain']) OR contains(native_type, 'bridge') OR contains(native_type, 'inference') OR hop_count >= 3 AS chain,
+  list_has_any(f, ['temporal', 'time_anchor']) AS time_, list_has_any(f, ['numeric']) AS count_, list_has_any(f, ['yes_no', 'verification']) AS check_,
+  list_has_any(f, ['multi_entity']) OR entity_bin IN ('multi_entity', 'dense_entity') AS many, list_has_any(f, ['same_attribute']) AS same FROM g),
+ta AS (SELECT *, CASE WHEN same THEN 'set_constraint' WHEN many THEN 'multi_entity' WHEN chain THEN 'relation_chain' WHEN compare THEN 'pairwise_entities' ELSE 'single_entity' END AS entity_pattern,
+  list_sort(list_filter(['compositional_lookup', CASE WHEN compare THEN 'comparison_reasoning' END, CASE WHEN chain THEN 'relation_chain' END, CASE WHEN chain THEN 'bridge_reasoning' END, CASE WHEN time_ THEN 'temporal_reasoning' END,
+    CASE WHEN count_ THEN 'numerical_reasoning' END, CASE WHEN check_ THEN 'verification_or_yes_no' END, CASE WHEN many THEN 'multi_entity_grounding' END, CASE WHEN same THEN 'set_constraint' END], lambda x: x IS NOT NULL)) AS reasoning,
+  list_filter(['answer_composition', CASE WHEN compare THEN 'comparison' END, CASE WHEN chain THEN 'relation_following' END, CASE WHEN chain THEN 'bridge_search' END, CASE WHEN time_ THEN 'temporal_filtering' END,
+    CASE WHEN count_ THEN 'aggregation_or_counting' END, CASE WHEN check_ THEN 'evidence_verification' END, CASE WHEN many THEN 'entity_grounding' END, CASE WHEN same THEN 'constraint_filtering' END], lambda x: x IS NOT NULL) AS demands FROM b),
+o AS (SELECT *, CASE WHEN hop_count >= 4 THEN 5 WHEN size < 32 OR entity_pattern IN ('multi_entity', 'relation_chain', 'set_constraint') THEN 4 ELSE 3 END AS coverage_priority,
+  list_sort(list_distinct(list_concat(['native:' || native_type, 'hop:' || hop_count, 'entity:' || entity_pattern, 'answer:' || answer_form], list_transform(reasoning, lambda x: 'reasoning:' || x), list_transform(demands, lambda x: 'skill:' || x)))) AS labels FROM ta),
+el AS (SELECT group_id, size, unnest(labels) AS label FROM o),
+fq AS (SELECT label, sum(size) AS freq, row_number() OVER (ORDER BY sum(size), label) AS step FROM el GROUP BY label),
+ra AS (SELECT group_id, sum(1.0 / sqrt(freq)) AS rarity FROM el JOIN fq USING (label) GROUP BY group_id),
+yr AS (SELECT o.*, round(2.5 * coverage_priority + rarity + 0.15 * log2(size + 1), 9) AS priority FROM o JOIN ra USING (group_id)),
+y AS (SELECT *, row_number() OVER (ORDER BY priority DESC, group_id) AS place FROM yr)"""
+
+
+def annotated_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Profile rows with their group_id, narrow and written once, and the annotated groups with their labels."""
+    rows = profiles(spark, sf_dir).withColumn("answer_form_hint", F.col("form")).withColumn("group_id", tx.short_md5(F.col("signature")))
+    rows = written(rows.select("id", "dataset", "group_id", "signature", "native_type", "hop_count", "flags", "entity_bin", "answer_form_hint"), "profiles")
+    groups = coverage.annotate(coverage.groups(rows))
+    return rows, written(groups.withColumn("labels", profile.coverage_labels()), "groups")
+
+
 def unicode_low(column: str) -> str:
     """SQL: lower-cased text with accented letters as x, so that RE2's ASCII word boundaries fall where Unicode's do."""
     return rf"regexp_replace(lower(coalesce({column}, '')), '[\x{{C0}}-\x{{24F}}]', 'x', 'g')"

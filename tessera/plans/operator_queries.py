@@ -8,7 +8,7 @@ from tessera.functions import profile, text as tx
 from tessera.operators import coverage, merge, messages, packets, reports, sampling
 from tessera.session import table
 
-from .bindings import SQL_PROFILES, profiles, questions, sql_words
+from .bindings import SQL_GROUPS, SQL_PROFILES, annotated_groups, questions, sql_words
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,36 +35,17 @@ def suspicious_rows(spark, sf_dir):
     return rows.select("id", F.array_join(profile.suspicious(F.col("question"), F.col("golden_answers")[0]), "|").alias("reasons"))
 
 
-_ANNOTATED = f"""{SQL_PROFILES}, g AS (
-  SELECT signature, dataset, substr(md5(signature), 1, 16) AS group_id, count(*) AS size, max(lang_) AS native_type, max(hop_count) AS hop_count, max(flags) AS f, max(entity_bin) AS entity_bin
-  FROM (SELECT *, native_type AS lang_ FROM s) GROUP BY signature, dataset),
-b AS (SELECT *, list_has_any(f, ['comparison']) AS compare, list_has_any(f, ['relation_chain']) OR hop_count >= 3 AS chain, list_has_any(f, ['temporal', 'time_anchor']) AS time_, list_has_any(f, ['numeric']) AS count_,
-  list_has_any(f, ['yes_no', 'verification']) AS check_, list_has_any(f, ['multi_entity']) OR entity_bin IN ('multi_entity', 'dense_entity') AS many, list_has_any(f, ['same_attribute']) AS same FROM g),
-ta AS (SELECT *, CASE WHEN same THEN 'set_constraint' WHEN many THEN 'multi_entity' WHEN chain THEN 'relation_chain' WHEN compare THEN 'pairwise_entities' ELSE 'single_entity' END AS entity_pattern,
-  list_sort(list_filter(['compositional_lookup', CASE WHEN compare THEN 'comparison_reasoning' END, CASE WHEN chain THEN 'relation_chain' END, CASE WHEN chain THEN 'bridge_reasoning' END, CASE WHEN time_ THEN 'temporal_reasoning' END,
-    CASE WHEN count_ THEN 'numerical_reasoning' END, CASE WHEN check_ THEN 'verification_or_yes_no' END, CASE WHEN many THEN 'multi_entity_grounding' END, CASE WHEN same THEN 'set_constraint' END], lambda x: x IS NOT NULL)) AS reasoning FROM b),
-o AS (SELECT *, CASE WHEN hop_count >= 4 THEN 5 WHEN size < 32 OR entity_pattern IN ('multi_entity', 'relation_chain', 'set_constraint') THEN 4 ELSE 3 END AS coverage_priority FROM ta)"""
-
-
-def _annotated(spark, sf_dir):
-    rows = profiles(spark, sf_dir).drop("question")
-    groups = rows.groupBy("dataset", "signature").agg(F.count(F.lit(1)).alias("size"), F.max("native_type").alias("native_type"), F.max("hop_count").alias("hop_count"), F.max("flags").alias("heuristic_flags"), F.max("entity_bin").alias("entity_bin"))
-    return coverage.annotate(groups.withColumn("group_id", tx.short_md5(F.col("signature"))))
-
-
-@query(f"WITH {_ANNOTATED} SELECT group_id, dataset, size, array_to_string(reasoning, '|') AS reasoning_types, entity_pattern, coverage_priority, CASE WHEN hop_count >= 4 THEN 'hard' ELSE 'medium' END AS difficulty FROM o")
+@query(f"WITH {SQL_GROUPS} SELECT group_id, dataset, size, array_to_string(reasoning, '|') AS reasoning_types, entity_pattern, coverage_priority, CASE WHEN hop_count >= 4 THEN 'hard' ELSE 'medium' END AS difficulty FROM o")
 def group_annotations(spark, sf_dir):
     """P13, W7."""
-    return _annotated(spark, sf_dir).select("group_id", "dataset", "size", F.array_join("reasoning_types", "|").alias("reasoning_types"), "entity_pattern", "coverage_priority", "difficulty")
+    return annotated_groups(spark, sf_dir)[1].select("group_id", "dataset", "size", F.array_join("reasoning_types", "|").alias("reasoning_types"), "entity_pattern", "coverage_priority", "difficulty")
 
 
-@query(f"""WITH {_ANNOTATED}, el AS (SELECT group_id || dataset AS gid, size, unnest(reasoning) AS label FROM o), fq AS (SELECT label, sum(size) AS freq FROM el GROUP BY label),
-y AS (SELECT gid, sum(1.0 / sqrt(freq)) AS rarity FROM el JOIN fq USING (label) GROUP BY gid)
-SELECT gid AS group_id, round(2.5 * coverage_priority + rarity + 0.15 * log2(size + 1), 6) AS priority FROM o JOIN y ON y.gid = o.group_id || o.dataset""")
+@query(f"WITH {SQL_GROUPS} SELECT group_id, round(priority, 6) AS priority, array_to_string(labels, '|') AS labels FROM y")
 def group_priorities(spark, sf_dir):
-    """A5, P14."""
-    rows = _annotated(spark, sf_dir).withColumn("group_id", F.concat("group_id", "dataset")).withColumn("labels", F.col("reasoning_types"))
-    return coverage.group_priority(rows.persist()).select("group_id", F.round("priority", 6).alias("priority"))
+    """Priorities of groups over all their labels."""
+    groups = coverage.group_priority(annotated_groups(spark, sf_dir)[1])
+    return groups.select("group_id", F.round("priority", 6).alias("priority"), F.array_join("labels", "|").alias("labels"))
 
 
 @query("""SELECT 'bank-' || (p_partkey % 5) AS doc, 'skill-' || p_size AS skill_id, arg_max(p_name || ' ' || p_type, p_partkey) AS text, count(*) AS headers FROM part GROUP BY ALL""")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import profile, text as tx
 from tessera.operators import coverage, packets, reports, sampling
-from tessera.session import table
+from tessera.session import table, written
 
-from .bindings import SQL_PROFILES, profiles, questions, sql_form
+from .bindings import SQL_GROUPS, SQL_PROFILES, annotated_groups, profiles, questions, sql_form
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,13 +80,13 @@ def signature_groups(spark, sf_dir):
 
 @query(_with("SELECT id, rarity, rarest FROM r"))
 def label_rarity(spark, sf_dir):
-    return sampling.label_rarity(profiles(spark, sf_dir).select("id", "labels").persist(), "id").select("id", "rarity", "rarest")
+    return sampling.label_rarity(written(profiles(spark, sf_dir).select("id", "labels"), "labels"), "id").select("id", "rarity", "rarest")
 
 
 def _protected(spark, sf_dir):
-    # Narrow profile columns, used several times; Spark drops and recomputes them as it needs.
-    rows = sampling.label_rarity(profiles(spark, sf_dir).drop("question", "answer").persist(), "id")
-    n = table(spark, sf_dir, "documents").count()
+    # Narrow profile columns, written once and read several times.
+    narrow = written(profiles(spark, sf_dir).drop("question", "answer"), "profiles")
+    rows, n = sampling.label_rarity(narrow, "id"), narrow.count()
     return sampling.protect_rare(rows, "signature", tx.rare_threshold(F.lit(n), 12, 0.002))
 
 
@@ -161,15 +161,22 @@ def round_robin_take(spark, sf_dir):
     return sampling.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 150).select("doc_id", "source", F.col("turn").cast("bigint").alias("turn"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_GROUPS}, c AS (SELECT greatest(1, count(*) // 5) AS target, greatest(24, least(80, greatest(1, count(*) // 5) // 100)) AS quota FROM documents),
+w(step, group_id, taken) AS (
+  SELECT 0::BIGINT, group_id, 0::BIGINT FROM y
+  UNION ALL SELECT step, group_id, CAST(taken + CASE WHEN has THEN greatest(0, least(size - taken, need - before)) ELSE 0 END AS BIGINT) FROM (
+    SELECT *, least(quota - coalesce(sum(taken) FILTER (has) OVER (), 0), target - sum(taken) OVER ()) AS need,
+      coalesce(sum(size - taken) FILTER (has) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT fq.step, y.group_id, w.taken, y.size, y.place, list_contains(y.labels, fq.label) AS has, quota, target FROM w JOIN y USING (group_id) JOIN fq ON fq.step = w.step + 1, c))),
+qq AS (SELECT y.*, w.taken FROM w JOIN y USING (group_id) WHERE w.step = (SELECT max(step) FROM fq)),
+rr AS (SELECT group_id, row_number() OVER (ORDER BY turn, place) AS k FROM (SELECT group_id, place, unnest(range(size - taken)) AS turn FROM qq)),
+x AS (SELECT group_id, taken + coalesce(more, 0) AS take FROM qq LEFT JOIN (SELECT group_id, count(*) AS more FROM rr WHERE k <= (SELECT target FROM c) - (SELECT sum(taken) FROM qq) GROUP BY group_id) m USING (group_id)),
+z AS (SELECT id, dataset, substr(md5(signature), 1, 16) AS group_id, row_number() OVER (PARTITION BY signature ORDER BY md5('20260327:' || id), id) AS k FROM s)
+SELECT id, dataset, group_id FROM z JOIN x USING (group_id) WHERE k <= take""")
 def coverage_sample(spark, sf_dir):
     """W9-W11 over signature groups: a fifth of the documents."""
-    rows = profiles(spark, sf_dir).withColumn("answer_form_hint", F.col("form")).withColumn("group_id", tx.short_md5(F.col("signature")))
-    groups = coverage.annotate(coverage.groups(rows))
-    parts = {"native": F.col("native_type"), "hop": F.col("hop_count"), "entity": F.col("entity_bin"), "answer": F.col("answer_form")}
-    named = groups.withColumn("labels", profile.labels(parts, F.concat("reasoning_types", "skill_demands"), "need"))
-    n = table(spark, sf_dir, "documents").count()
-    return coverage.coverage_sample(rows.select("id", "dataset", "group_id"), coverage.group_priority(named), max(1, n // 5))
+    rows, groups = annotated_groups(spark, sf_dir)
+    return coverage.coverage_sample(rows.select("id", "dataset", "group_id"), coverage.group_priority(groups), max(1, rows.count() // 5))
 
 
 @query(r"""WITH g AS (SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS group_id, count(*) AS size FROM lineitem GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import routing, text as tx
-from tessera.operators import merge, messages, reports, retrieve, sampling
+from tessera.operators import merge, messages, reports, retrieve, sampling, training, vector_index
 from tessera.sources import external
 from tessera.session import table
 
@@ -53,7 +53,39 @@ def question_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("id", routing.question_type(q).alias("question_type"), routing.connector_count(q).cast("bigint").alias("connectors"), routing.explicit_relation(q).alias("explicit_relation"), routing.long_hop(q).alias("long_hop"))
 
 
-@query()
+def _chosen(rules: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{skill}' END" for when, skill in rules) + "], lambda x: x IS NOT NULL)"
+
+
+def _ordered(values: str) -> str:
+    """SQL: the first occurrences of a list's values, in order."""
+    return f"list_filter({values}, lambda x, place: list_position({values}, x) = place)"
+
+
+_HOPS = f"CASE WHEN {_n(routing.HOP_CONNECTOR)} >= 3 THEN 4 WHEN {_n(routing.HOP_CONNECTOR)} = 2 THEN 3 WHEN {_n(routing.HOP_CONNECTOR)} = 1 THEN 2 ELSE 1 END"
+# The rules as they are stated, over facts of the question; two rules of one skill are one place each.
+_PRIMARY = _chosen([
+    ("is_alias", "surface-name-resolution"), ("is_super", "superlative-ranking-match"), ("is_choice AND single", "forced-choice-option-resolution"), ("is_kin", "derived-kinship-inference-join"),
+    ("kind = 'comparison' AND (hops >= 3 OR is_anchor)", "bridge-comparison-planning"), ("kind = 'comparison' AND NOT (hops >= 3 OR is_anchor)", "parallel-attribute-compare"), ("kind = 'comparison' AND is_yes_no", "multihop-yes-no-verification"),
+    ("kind = 'bridge'", "bridge-entity-search"), ("kind IN ('bridge', 'compositional')", "relation-chain-decomposition"), ("kind = 'compositional'", "sequential-hop-checkpointing"), ("hops >= 4", "re-anchored-long-hop-decomposition"),
+    ("hops >= 3", "sequential-hop-checkpointing"), ("hops = 2", "bridge-entity-search"), ("hops IN (2, 3)", "relation-chain-decomposition"), ("is_anchor AND hops >= 2", "temporal-anchor-carry-forward"), ("is_time", "temporal-range-extract"),
+    ("words >= 12", "multi-constraint-query-anchoring"), ("single", "single-entity-relation-lookup"), ("NOT single", "bridge-entity-search"), ("NOT single", "relation-chain-decomposition"),
+])
+_INITIAL = _chosen([
+    ("qt = 'yesno'", "multihop-yes-no-verification"), ("compare AND (relation OR bridge)", "bridge-comparison-planning"), ("compare", "parallel-attribute-compare"), ("derived OR (is_kin AND relation AND far)", "derived-kinship-inference-join"),
+    ("relation OR bridge", "bridge-entity-search"), ("relation", "relation-chain-decomposition"), ("far", "sequential-hop-checkpointing"), ("far AND is_anchor", "temporal-anchor-carry-forward"), ("far", "re-anchored-long-hop-decomposition"),
+    ("far", "reconstructed-chain-verification"), ("qt = 'alias'", "surface-name-resolution"), ("qt = 'ranking'", "superlative-ranking-match"), ("qt IN ('time_num', 'ranking') OR is_anchor", "temporal-range-extract"),
+    ("qt = 'forced_choice' AND NOT compare", "forced-choice-option-resolution"), ("qt = 'constraint_heavy'", "multi-constraint-query-anchoring"),
+])
+
+
+@query(f"""WITH {_LOW}, m AS (SELECT id, words, dataset IN ('nq', 'triviaqa') AS single, CASE lang WHEN 'de' THEN 'comparison' WHEN 'fr' THEN 'bridge' WHEN 'es' THEN 'compositional' ELSE 'unknown' END AS kind, {_HOPS} AS hops, {_TYPE} AS qt,
+  {_m(routing.YES_NO)} AS is_yes_no, {_m(routing.ALIAS)} AS is_alias, {_m(routing.SUPERLATIVE)} AS is_super, {_m(routing.KINSHIP)} AS is_kin, {_m(routing.FORCED_CHOICE)} AS is_choice, {_m(routing.TEMPORAL_ANCHOR)} AS is_anchor, {_m(routing.TIME_OR_NUMBER)} AS is_time,
+  {_m(routing.EVAL_COMPARISON)} AS compare, {_m(routing.DERIVED_KINSHIP)} AS derived, {_m(routing.BRIDGE_LIKE)} AS bridge, {_m(routing.ORGANISATION)} AS company, {_m(routing.RELATION_OF)} AS relation,
+  {_n(routing.CONNECTOR)} >= 4 OR {_n(routing.RELATION_MENTION)} >= 3 OR (words >= 18 AND {_n(routing.CONNECTOR)} >= 3) AS far FROM c),
+r AS (SELECT *, {_PRIMARY} AS p, {_INITIAL} AS main FROM m),
+t AS (SELECT *, list_concat(CASE WHEN len(main) = 0 THEN ['single-entity-relation-lookup'] ELSE main END, CASE WHEN company THEN ['conflict-check', 'answer-grounding-check'] ELSE ['answer-grounding-check'] END) AS i FROM r)
+SELECT id, array_to_string({_ordered('p')}[1:5], '|') AS "primary", array_to_string({_ordered('i')}[1:5], '|') AS initial, '{"|".join(routing.SUPPORT_ONLY)}' AS support FROM t""")
 def skill_routes(spark, sf_dir):
     """Both routers over every row, skills joined by bars."""
     legal = F.array(*[F.lit(s) for s in (*messages.MULTI_CORE, *messages.SINGLE_CORE, "multi-constraint-query-anchoring", "superlative-ranking-match", *routing.SUPPORT_ONLY)])
@@ -189,15 +221,78 @@ def knn_top3(spark, sf_dir):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query()
+def knn_index_top3(spark, sf_dir):
+    """R1 with an index: probes are calibrated to hold 95 % of the neighbours; its recall is tested against ``knn_top3``."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vector_index.build_index(rows).search(rows.where("vec_id % 100 = 0"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(ORACLES["knn_top3"])
+def knn_index_exact(spark, sf_dir):
+    """R1 with an index, certified: cells that a better neighbour could be in are probed too."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vector_index.build_index(rows).search(rows.where("vec_id % 100 = 0"), certified=True)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(r"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?is)<a (.*?)>', 1)) AS BIGINT) AS links, regexp_extract(html, '(?is)<p>(.*?)</p>', 1) AS first_paragraph FROM pages")
 def parse_markup(spark, sf_dir):
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", messages.markup_title(html).alias("title"), F.size(F.regexp_extract_all(html, F.lit(r"(?is)<a (.*?)>"), 1)).cast("bigint").alias("links"), F.regexp_extract(html, r"(?is)<p>(.*?)</p>", 1).alias("first_paragraph"))
 
 
+@query("""SELECT user_id || '-' || hour(ts) AS id, count(*) FILTER (event_type IS DISTINCT FROM 'error') > 0 AS done,
+  arg_min(event_id, (ts, event_id)) FILTER (event_type IS DISTINCT FROM 'error') AS event_id, arg_min(event_type, (ts, event_id)) FILTER (event_type IS DISTINCT FROM 'error') AS event_type, arg_min(value, (ts, event_id)) FILTER (event_type IS DISTINCT FROM 'error') AS value,
+  CASE WHEN count(*) FILTER (event_type IS DISTINCT FROM 'error') = 0 THEN arg_max(coalesce(props, 'error'), (ts, event_id)) END AS last_error, count(*) FILTER (event_type = 'error') AS failures
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id, hour(ts)""")
+def resume_attempts(spark, sf_dir):
+    """The state of a run that was resumed several times."""
+    from tessera.streaming.queries import resume_attempts as run
+
+    return run(spark, sf_dir)
+
+
+def _tagged_messages(spark, sf_dir):
+    """Conversations whose texts are searches, answers (the tag in mixed case) or plain, by their length; every other one supervises its last turn alone."""
+    text = F.coalesce("text", F.lit(""))
+    kind = F.length(text) % 3
+    said = F.when(kind == 0, F.concat(F.lit("<search>"), text, F.lit("</search>"))).when(kind == 1, F.concat(F.lit("<Answer>"), text, F.lit("</Answer>"))).otherwise(text)
+    rows = messages.ordered_messages(table(spark, sf_dir, "conversations").withColumn("text", said))
+    return rows.withColumn("supervision_mode", F.when(F.col("conv_id") % 2 == 0, "final_only").otherwise("all_assistant"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, length(coalesce(text, '')) % 3 AS kind, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations),
+w AS (SELECT *, role = 'assistant' AND (conv_id % 2 <> 0 OR turn = last) AS supervised, CASE kind WHEN 1 THEN 2.5::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS weight FROM c)
+SELECT conv_id, count(*) FILTER (supervised) AS supervised_turns, round(coalesce(sum(weight) FILTER (supervised), 0), 9) AS total_weight, string_agg(CASE WHEN supervised THEN CAST(weight AS VARCHAR) ELSE '0.0' END, '|' ORDER BY turn) AS weights FROM w GROUP BY conv_id""")
+def turn_losses(spark, sf_dir):
+    """Which turns are supervised, and the weights of answer, search and other turns."""
+    rows = _tagged_messages(spark, sf_dir).withColumn("l", training.turn_losses(F.col("messages"), F.col("supervision_mode") == "final_only", 2.5, 0.5))
+    total = F.aggregate("l", F.lit(0.0), lambda a, x: a + x["weight"])
+    return rows.select("conv_id", F.size(F.filter("l", lambda x: x["supervised"])).cast("bigint").alias("supervised_turns"), F.round(total, 9).alias("total_weight"), F.array_join(F.transform("l", lambda x: x["weight"].cast("string")), "|").alias("weights"))
+
+
 @query()
+def delta_tokens(spark, sf_dir):
+    """Ids, labels and weights of conversations by a public tokenizer; digests of them, and their counts."""
+    import public_tokenizers
+
+    made = training.supervised_tokens(_tagged_messages(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 4096, "left", 2.5, 0.5, F.col("supervision_mode"))
+    told = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+    supervised = F.size(F.filter("labels", lambda x: x != training.IGNORED)).cast("bigint")
+    total = F.aggregate("loss_weights", F.lit(0.0), lambda a, x: a + x)
+    return made.select("conv_id", F.size("input_ids").cast("bigint").alias("n_ids"), supervised.alias("n_supervised"), F.round(total, 6).alias("total_weight"), told("input_ids").alias("ids_md5"), told("labels").alias("labels_md5"))
+
+
+_HEAD = "'<skill>a | b</skill> '"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, role = 'user' AS usr, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS plain FROM conversations)
+SELECT conv_id, turn, CASE WHEN usr THEN 'search' ELSE 'final' END AS action, CASE WHEN usr THEN length(plain) END AS query_chars,
+  length({_HEAD} || CASE WHEN usr THEN '<search> ' || t || ' </search>' ELSE '<ANSWER>' || t || '</ANSWER>' END) AS kept_chars, 'a|b' AS skills, md5(CASE WHEN usr THEN '' ELSE plain END) AS prediction FROM c""")
 def parse_turns(spark, sf_dir):
-    """Turns with tags set around conversation texts."""
+    """Turns with tags set around conversation texts, which have none of their own."""
     user = F.col("role") == "user"
     said = F.concat(F.lit("<skill>a | b</skill> "), F.when(user, F.concat(F.lit("<search> "), F.coalesce("text", F.lit("")), F.lit(" </search> tail"))).otherwise(F.concat(F.lit("<ANSWER>"), F.coalesce("text", F.lit("")), F.lit("</ANSWER>"))))
     rows = table(spark, sf_dir, "conversations").withColumn("said", said)
@@ -267,7 +362,18 @@ def outcome_counts(spark, sf_dir):
     return reports.outcome_counts(rows, "event_type")
 
 
-@query()
+_MARKS = {"comparison": (routing.COMPARISON, 5), "yes_no": (routing.YES_NO, 4), "anchor": (routing.TEMPORAL_ANCHOR, 4), "super": (routing.SUPERLATIVE, 3), "kin": (routing.KINSHIP, 3), "choice": (routing.FORCED_CHOICE, 2), "chain": (routing.RELATION_CHAIN, 2)}
+
+
+@query(f"""WITH {_STEPS}, k AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, {_COLLAPSE.format(_PACK.replace('lower(t)', 'lower(word)'))} AS norm,
+  CASE WHEN role = 'user' THEN 'bridge-entity-search' WHEN turn % 4 = 1 THEN 'conflict-check' ELSE 'single-entity-relation-lookup' END AS skill FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT *, coalesce(role <> 'user' AND lag(role) OVER w <> 'user' AND norm <> '' AND norm = lag(norm) OVER w AND skill = 'conflict-check', false) AS repeats FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT conv_id, max(n) AS n, max(CASE WHEN i = n THEN skill END) AS last_skill, max(CASE WHEN i = 1 THEN skill END) AS first_skill, max(CASE WHEN i = 1 AND role = 'user' THEN text ELSE '' END) AS said, max(i) FILTER (NOT repeats) AS kept FROM l GROUP BY conv_id),
+h AS (SELECT *, {unicode_low('said')} AS low FROM g),
+m AS (SELECT *, {_HOPS} AS hops, {', '.join(f'{_m(p)} AS is_{x}' for x, (p, _) in _MARKS.items())} FROM h)
+SELECT conv_id, CAST(100 + CASE WHEN n IN (4, 5) THEN 18 WHEN n IN (3, 6) THEN 12 WHEN n = 7 THEN 4 ELSE -4 END + CASE WHEN last_skill <> 'conflict-check' THEN 8 ELSE 0 END + CASE WHEN hops >= 3 THEN 6 ELSE 0 END
+    + {' + '.join(f'{points} * CAST(is_{x} AS INTEGER)' for x, (_, points) in _MARKS.items())} AS INTEGER) AS score,
+  CAST(1 + CAST(is_comparison OR is_yes_no OR is_anchor OR is_choice OR is_chain OR hops >= 3 AS INTEGER) + CAST(first_skill = 'bridge-entity-search' AS INTEGER) AS INTEGER) AS copies, CAST(kept AS INTEGER) AS kept_steps FROM m""")
 def quality_scores(spark, sf_dir):
     """Scores, copies and tags of trajectories."""
     rows = _steps(spark, sf_dir)
@@ -284,11 +390,26 @@ def rollout(spark, sf_dir):
     return external.rollout(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question")))
 
 
-@query()
+_NESTED = """{"a": ' || props || ', "s": "a } and { or \\" here"}"""
+
+
+@query(f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{_NESTED}' WHEN 3 THEN props END AS object FROM events")
 def json_recovery(spark, sf_dir):
-    """Objects found in texts that surround them."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("```json\nnoise { "), F.col("props"), F.lit(" tail")).alias("said"))
-    return rows.select("event_id", external.recover_json(F.col("said")).alias("object"))
+    """Objects between words, in fences and with braces inside strings; none where the first brace stays open."""
+    props, kind = F.col("props"), F.col("event_id") % 4
+    nested = F.concat(F.lit('{"a": '), props, F.lit(', "s": "a } and { or \\" here"}'))
+    said = F.when(kind == 0, F.concat(F.lit("Here: "), props, F.lit(" and a tail }"))).when(kind == 1, F.concat(F.lit("```json\n"), nested, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("noise { "), props, F.lit(" tail"))).otherwise(props)
+    return table(spark, sf_dir, "events").select("event_id", external.first_object(said).alias("object"))
+
+
+@query("SELECT doc_id AS id, source, n_chars, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def strict_join(spark, sf_dir):
+    """Light profiles with their full rows, each checked; the full side holds the labels."""
+    docs = table(spark, sf_dir, "documents")
+    light = docs.select(F.col("doc_id").alias("id"), "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("question"))
+    full = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "n_chars", "quality", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("question"))
+    joined = merge.join_strictly(light, full)
+    return joined.select("light.id", "light.source", "full.n_chars", F.coalesce("full.quality", F.lit(-1)).alias("quality"))
 
 
 @query("SELECT event_type, count(*) AS processed, count(*) FILTER (value > 20) AS passed, count(*) FILTER (NOT value > 20) AS failed FROM events GROUP BY event_type")
