@@ -16,13 +16,17 @@ component (documents that links connect).
    leaves hold bitmaps and sizes, inner nodes the OR of bitmaps, the range of sizes and the component if it is a single
    one. A dual traversal drops pairs of tree nodes of one component, of sizes too far apart, or whose largest possible
    overlap is too small.
-4. In a first pass each node keeps the nearest of its surviving partners; these pairs are verified exactly on whole
-   sets, and the links join nodes into components.
-5. The same is done once more for partners in other components. In a last pass the trees of keys whose nodes are still
-   of several components give all surviving pairs; they are verified in the same way, and components are formed again.
-
-Within a component, pairs that others already connect need no check, so groups of thousands of near copies cost about
-one check per document; links between different components are all found, nothing is capped.
+4. In a first pass each node is paired with the nearest of its surviving partners in the leaves at hand (with all others
+   if there is none) and with the next node of the tree's order; these pairs are verified exactly on whole sets, and the
+   links join nodes into components. Near copies stand side by side in that order, so a group of them becomes one
+   component at a cost that grows with its size.
+5. In a second pass each node keeps the nearest of its surviving partners in other components. In a last pass the trees
+   of keys whose nodes are still of several components give all surviving pairs, in blocks; both are verified in the
+   same way, and components are formed again.
+
+Within a component, pairs that others already connect need no check; links between different components are all found,
+nothing is capped. What still grows with the square of its size is a group of nodes that bitmaps cannot tell apart and
+that do not link: all its pairs are checked in the last pass.
 
 Defined cases: a null or empty text has size 0 and links with nothing, its component is its own id; a text of fewer
 words than a shingle is one shingle of all its words; rows that share an id are one node; a null id links with nothing
@@ -228,8 +232,8 @@ def wide_bitmaps(texts: DataFrame, n: int) -> DataFrame:
 class SignatureTree:
     """Bitmaps and sizes of some documents, in order of size, under nodes of doubling width."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
-        self.order = np.lexsort((bits[:, 0], sizes))
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, groups: np.ndarray, ties: np.ndarray | None = None):
+        self.order = np.lexsort((*(() if ties is None else (ties,)), bits[:, 0], sizes))
         self.bits, self.sizes, self.groups = bits[self.order], sizes[self.order], groups[self.order]
         excess = self.sizes - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
         n = len(sizes)
@@ -280,10 +284,7 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple
             i, j = i[keep], j[keep]
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
         p, q = x.leaf(a), y.leaf(b)
-        left, right = x.bits[p][:, None, :], y.bits[q][None, :, :]
-        m, n = x.sizes[p][:, None], y.sizes[q][None, :]
-        most = np.minimum(m - np.bitwise_count(left & ~right).sum(axis=2, dtype=np.int64), n - np.bitwise_count(right & ~left).sum(axis=2, dtype=np.int64))
-        fits = (100 * most >= percent * (m + n - most)) & (x.groups[p][:, None] != y.groups[q][None, :])
+        fits, most = _bounds(x, p, y, q, percent)
         if same and a == b:
             fits = np.triu(fits, 1)
         u, v = np.nonzero(fits)
@@ -291,76 +292,149 @@ def traverse(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple
             yield x.order[u + p.start], y.order[v + q.start], most[u, v]
 
 
+def _bounds(x: SignatureTree, p: slice, y: SignatureTree, q: slice, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For documents p of x and q of y: whether they may link and are not joined yet, and their largest possible overlap."""
+    left, right = x.bits[p][:, None, :], y.bits[q][None, :, :]
+    m, n = x.sizes[p][:, None], y.sizes[q][None, :]
+    most = np.minimum(m - np.bitwise_count(left & ~right).sum(axis=2, dtype=np.int64), n - np.bitwise_count(right & ~left).sum(axis=2, dtype=np.int64))
+    return (100 * most >= percent * (m + n - most)) & (x.groups[p][:, None] != y.groups[q][None, :]), most
+
+
 def _fold(bits: np.ndarray) -> np.ndarray:
     half = bits.shape[1] // 2
     return bits[:, :half] | bits[:, half:]
 
 
+class Bucket:
+    """The nodes that meet under one key, in a tree for each width of bitmaps."""
+
+    def __init__(self, sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], ties: np.ndarray | None = None):
+        self.sizes, self.groups, self.trees = sizes, groups, {}
+        widths = np.array([len(b) for b in bitmaps])
+        ties = np.arange(len(sizes)) if ties is None else ties
+        for w in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == w)
+            bits = np.frombuffer(b"".join(bitmaps[k] for k in rows), np.uint64).reshape(len(rows), w // 8)
+            self.trees[w] = (rows, bits, SignatureTree(bits, sizes[rows], groups[rows], ties[rows]))
+
+    def _tree(self, rows: np.ndarray, bits: np.ndarray) -> SignatureTree:
+        return SignatureTree(bits, self.sizes[rows], self.groups[rows])
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, places, largest possible overlaps) of all pairs that may link; a tree against itself and the next width."""
+        for w, (rows, _, tree) in self.trees.items():
+            for u, v, most in traverse(tree, tree, percent):
+                yield rows[u], rows[v], most
+            if 2 * w in self.trees:
+                wide, bits, _ = self.trees[2 * w]
+                for u, v, most in traverse(tree, self._tree(wide, _fold(bits)), percent):
+                    yield rows[u], wide[v], most
+
+    def _like(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return most / (self.sizes[i] + self.sizes[j] - most)
+
+    def nearest(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each node with its partner of greatest possible similarity; memory grows with the nodes, not with their pairs."""
+        best, partner = np.full(len(self.sizes), -1.0), np.full(len(self.sizes), -1)
+        for i, j, most in self.pairs(percent):
+            _improve(best, partner, i, j, self._like(i, j, most))
+            _improve(best, partner, j, i, self._like(i, j, most))
+        found = np.flatnonzero(partner >= 0)
+        return found, partner[found]
+
+    def partners(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that join most of what belongs together, at a cost that grows with the nodes: each node with its nearest
+        partner among the two leaves at hand, and with the next node of the tree's order, if they may link.
+
+        A group of near copies is a chain in that order, so a pass over these pairs makes it one component. A node that
+        finds none there is compared with all others: a node without a pair has no partner under this key.
+        """
+        best, partner = np.full(len(self.sizes), -1.0), np.full(len(self.sizes), -1)
+        one, two = [], []
+        for rows, _, tree in self.trees.values():
+            place, n = rows[tree.order], len(rows)
+            for k in range(0, n, LEAF):
+                p, q = slice(k, min(k + LEAF, n)), slice(k, min(k + 2 * LEAF, n))
+                fits, most = _bounds(tree, p, tree, q, percent)
+                u, v = np.nonzero(np.triu(fits, 1))
+                i, j, overlap = place[p][u], place[q][v], most[u, v]
+                like = self._like(i, j, overlap)
+                _improve(best, partner, i, j, like)
+                _improve(best, partner, j, i, like)
+                near = v == u + 1
+                one.append(i[near])
+                two.append(j[near])
+        for w, (rows, bits, tree) in self.trees.items():
+            alone = np.flatnonzero(partner[rows] < 0)
+            if not len(alone):
+                continue
+            own = rows[alone]
+            against = [(self._tree(own, bits[alone]), rows, tree)]
+            if 2 * w in self.trees:
+                wide, more, _ = self.trees[2 * w]
+                against.append((self._tree(own, bits[alone]), wide, self._tree(wide, _fold(more))))
+            if w % 2 == 0 and w // 2 in self.trees:
+                against.append((self._tree(own, _fold(bits[alone])), self.trees[w // 2][0], self.trees[w // 2][2]))
+            for lonely, others, other in against:
+                for u, v, most in traverse(lonely, other, percent):
+                    _improve(best, partner, own[u], others[v], self._like(own[u], others[v], most))
+        found = np.flatnonzero(partner >= 0)
+        return np.concatenate([found, *one]), np.concatenate([partner[found], *two])
+
+
+def _improve(best: np.ndarray, partner: np.ndarray, i: np.ndarray, j: np.ndarray, like: np.ndarray) -> None:
+    """Take j as the partner of i where their similarity is greater; of equal ones the smaller place."""
+    order = np.lexsort((j, -like, i))
+    first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+    i, j, like = i[first], j[first], like[first]
+    better = (like > best[i]) | ((like == best[i]) & (j < partner[i]))
+    best[i[better]], partner[i[better]] = like[better], j[better]
+
+
 def bucket_pairs(sizes: np.ndarray, groups: np.ndarray, bitmaps: list[bytes], percent: int) -> list[tuple[int, int, int]]:
-    """(place, place, largest possible overlap) of nodes under one shingle that may link.
+    """All pairs of a bucket as a list."""
+    return [x for i, j, most in Bucket(sizes, groups, bitmaps).pairs(percent) for x in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)]
 
-    There is a tree for each width of bitmaps, traversed against itself and the next width.
-    """
-    widths = np.array([len(b) for b in bitmaps])
-    out, trees = [], {}
-    for w in np.unique(widths):
-        rows = np.flatnonzero(widths == w)
-        bits = np.frombuffer(b"".join(bitmaps[k] for k in rows), np.uint64).reshape(len(rows), int(w) // 8)
-        trees[int(w)] = (rows, bits, SignatureTree(bits, sizes[rows], groups[rows]))
-    for w, (rows, _, tree) in trees.items():
-        against = [(rows, tree)]
-        if 2 * w in trees:
-            wide, bits, _ = trees[2 * w]
-            against.append((wide, SignatureTree(_fold(bits), sizes[wide], groups[wide])))
-        for others, other in against:
-            for u, v, most in traverse(tree, other, percent):
-                out += zip(rows[u].tolist(), others[v].tolist(), most.tolist(), strict=True)
-    return out
 
+#: Pairs of one Arrow batch of candidates, about.
+BATCH_PAIRS = 1 << 18
 
-def _nearest(found: list[tuple[int, int, int]], sizes: list[int]) -> set[tuple[int, int]]:
-    """Of the pairs, the one of greatest possible similarity for each place."""
-    best: dict[int, tuple[float, int]] = {}
-    for i, j, most in found:
-        like = most / (sizes[i] + sizes[j] - most)
-        for x, y in ((i, j), (j, i)):
-            if x not in best or best[x] < (like, -y):
-                best[x] = (like, -y)
-    return {(min(x, -y), max(x, -y)) for x, (_, y) in best.items()}
 
+def _candidates(met: DataFrame, percent: int, how: str) -> DataFrame:
+    """(token, node, n, component, bits), sorted by token within partitions -> pairs (a, b) that the trees leave.
 
-def _candidates(met: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(token, node, n, component, bits), sorted by token within partitions -> pairs (a, b) that the trees leave."""
+    ``how``: partners, nearest or pairs of each bucket. A task holds the nodes of one key and a block of pairs.
+    """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        sent: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         rest: list[pa.RecordBatch] = []
+        size = 0
 
-        def work(table: pa.Table) -> None:
+        def take() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if held:
+                both = np.unique(np.stack([np.concatenate([np.minimum(a, b) for a, b in held]), np.concatenate([np.maximum(a, b) for a, b in held])], axis=1), axis=0)
+                held.clear()
+                size = 0
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal size
             token, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-            size, comp = table.column(2).to_numpy().astype(np.int64), table.column(3).to_numpy()
+            sizes, comp = table.column(2).to_numpy().astype(np.int64), table.column(3).to_numpy()
             bits = table.column(4).to_pylist()
             edges = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)]
             for low, high in pairwise(edges):
                 if high - low < 2:
                     continue
-                left = bucket_pairs(size[low:high], comp[low:high], bits[low:high], percent)
-                if not left:
-                    continue
-                own = node[low:high].tolist()
-                for i, j in _nearest(left, size[low:high].tolist()) if nearest else {(i, j) for i, j, _ in left}:
-                    p = (min(own[i], own[j]), max(own[i], own[j]))
-                    if p not in sent:
-                        sent.add(p)
-                        found.append(p)
-            if len(sent) > 500_000:
-                sent.clear()
-
-        def take() -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
-                found.clear()
+                own = node[low:high]
+                bucket = Bucket(sizes[low:high], comp[low:high], bits[low:high], own)
+                for i, j in [getattr(bucket, how)(percent)] if how != "pairs" else ((i, j) for i, j, _ in bucket.pairs(percent)):
+                    held.append((own[i], own[j]))
+                    size += len(i)
+                    if size > BATCH_PAIRS:
+                        yield from take()
 
         for batch in batches:
             if not batch.num_rows:
@@ -369,12 +443,11 @@ def _candidates(met: DataFrame, percent: int, nearest: bool) -> DataFrame:
             last = int(np.searchsorted(token, token[-1]))
             if last or (rest and rest[0].column(0)[0].as_py() != token[0]):
                 # All groups but the last of this batch are whole now.
-                work(pa.Table.from_batches([*rest, batch.slice(0, last)]))
+                yield from work(pa.Table.from_batches([*rest, batch.slice(0, last)]))
                 rest = []
             rest.append(batch.slice(last))
-            yield from take()
         if rest:
-            work(pa.Table.from_batches(rest))
+            yield from work(pa.Table.from_batches(rest))
         yield from take()
 
     return map_arrow(met.repartition("token").sortWithinPartitions("token"), pairs, "a long, b long").distinct()
@@ -433,11 +506,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     met = scratch.table(met.join(once, F.col("token") == F.col("kept"), "left_semi"), "jaccard-met")
     scratch.drop("jaccard-meetings")
 
-    def trees(frame: DataFrame, bitmaps: DataFrame, nearest: bool) -> DataFrame:
+    def trees(frame: DataFrame, bitmaps: DataFrame, how: str) -> DataFrame:
         full = frame.join(bitmaps, F.col("node") == F.col("own")).select("token", "node", "n", "component", "bits")
-        return _candidates(full, percent, nearest)
+        return _candidates(full, percent, how)
 
-    near = scratch.table(trees(met.withColumn("component", F.col("node")), small, True), "jaccard-near")
+    near = scratch.table(trees(met.withColumn("component", F.col("node")), small, "partners"), "jaccard-near")
     scratch.drop("jaccard-bitmaps")
     involved = scratch.table(near.select(F.col("a").alias("involved")).union(near.select("b")).distinct(), "jaccard-involved")
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(involved, F.col("doc_id") == F.col("involved"), "left_semi")
@@ -454,10 +527,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         return placed.join(mixed, F.col("token") == F.col("open"), "left_semi")
 
     # Nearest partners in other components join most of what belongs together, so few pairs are left for the last pass.
-    again = scratch.table(trees(unjoined(found, "jaccard-placed-1"), wide, True).join(near, ["a", "b"], "left_anti"), "jaccard-again")
+    again = scratch.table(trees(unjoined(found, "jaccard-placed-1"), wide, "nearest").join(near, ["a", "b"], "left_anti"), "jaccard-again")
     found = scratch.table(found.unionByName(verify(again, texts, n, percent)), "jaccard-found")
     tried = near.unionByName(again)
-    rest = trees(unjoined(found, "jaccard-placed-2"), wide, False).join(tried, ["a", "b"], "left_anti")
+    rest = trees(unjoined(found, "jaccard-placed-2"), wide, "pairs").join(tried, ["a", "b"], "left_anti")
     more = scratch.table(verify(rest, texts, n, percent), "jaccard-more")
     final = connected_components(found.unionByName(more)).withColumnRenamed("node", "joined")
     scratch.drop_all(but=("jaccard-members",))
