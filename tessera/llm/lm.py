@@ -4,10 +4,10 @@ An existing vocabulary's pieces span, for each word, a lattice of all its segmen
 characters that no piece holds). A forward recursion in log space sums the probabilities of all segmentations; since
 pieces begin words with a mark and never cross them, a document's marginal probability is the product over its words
 and one end token. Piece scores: the public vocabulary states ranks, which give starting probabilities by Zipf's law;
-EM over all distinct training words then re-estimates them: the pieces are there for words that the training text lacks,
-so each distinct word counts once. Each training word is also an edge of its own across
-its lattice, with its relative frequency; the share of the pieces against these edges is the Good-Turing estimate of
-unseen text, the number of words seen once over the number of tokens.
+EM over all training words, each as often as it occurs, then re-estimates them. ``score`` is this probability: pieces
+are its only edges. ``mixed_score``, a further column, also knows whole words: each training word is an edge of its own
+across its lattice, with its relative frequency; the share of the pieces against these edges is the Good-Turing estimate
+of unseen text, the number of words seen once over the number of tokens.
 
 Corpus side: counts of all distinct words of all texts are aggregated into a written table, which is scored once.
 Words that make up at least 1/HEAVY of all tokens - at most HEAVY words, whatever the corpus - are handed to the tasks
@@ -231,26 +231,27 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = EM_ROUNDS) -> tu
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                part = lattice(path).expected(batch.column(0).to_pylist(), np.ones(batch.num_rows), held.value)
+                part = lattice(path).expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64), held.value)
                 total = part if total is None else total + part
             if total is not None:
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
 
         # One row per piece of the vocabulary comes back.
-        found = map_arrow(words.where("c > 0").select("word"), expect, "piece int, uses double", owner="lm").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        found = map_arrow(words.where("c > 0").select("word", "c"), expect, "piece int, uses double", owner="lm").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         held.unpersist()
         uses = np.zeros(len(start))
         for r in found:
             uses[r.piece] = r.uses
         total = uses.sum()
-        p_end = ends / max(total + ends, 1)
+        # One more for what is unseen: even a training text without words leaves words possible.
+        p_end = ends / (total + ends + 1)
         logp = np.log(np.maximum((uses + PRIOR * np.exp(start)) / (total + PRIOR), 1e-300)) + np.log1p(-p_end)
     return logp, p_end
 
 
 def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, heavy: int = HEAVY) -> DataFrame:
-    """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score."""
     path = path or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out")
@@ -269,16 +270,20 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, hea
             found = lattice(path).log_probability(words, held.value)
             c = batch.column(1).to_numpy().astype(np.float64)
             base = np.log10((c + 1) / below)
-            mixed = np.logaddexp(np.log(unseen) + found, np.log1p(-unseen) + np.log(np.maximum(c, 1e-300) / max(n_train, 1))) if n_train else found * 0
+            found = found if n_train else found * 0
+            mixed = np.logaddexp(np.log(unseen) + found, np.log1p(-unseen) + np.log(np.maximum(c, 1e-300) / max(n_train, 1))) if n_train else found
             mixed = np.where(c > 0, mixed, np.log(unseen) + found) if n_train else mixed
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array(mixed / np.log(10))], names=["word", "c", "n", "base", "model"])
+            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(base), pa.array(found / np.log(10)), pa.array(mixed / np.log(10))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["word", "c", "n", "base", "model", "mixed"])
 
-    scored = materialise(map_arrow(counted, marginal, "word string, c long, n long, base double, model double", owner="lm"), "lm-scored")
+    scored = materialise(map_arrow(counted, marginal, "word string, c long, n long, base double, model double, mixed double", owner="lm"), "lm-scored")
     # At most ``heavy`` words can have this share of all tokens.
-    common = scored.where(F.col("n") * heavy >= n_all).select("word", "c", "base", "model").collect()
-    table = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, r.base, r.model) for r in common})
+    common = scored.where(F.col("n") * heavy >= n_all).select("word", "c", "base", "model", "mixed").collect()
+    table = spark.sparkContext.broadcast({r.word.encode(): (r.c > 0, r.base, r.model, r.mixed) for r in common})
     end_base = float(np.log10((ends + 1) / below))
-    end_model = float(np.log10(unseen * p_end + (1 - unseen) * ends / n_train)) if n_train else 0.0
+    # Rows of null texts alone have no words: then all that the model knows are ends.
+    end_model = float(np.log10(p_end)) if n_train else 0.0
+    end_mixed = float(np.log10(unseen * p_end + (1 - unseen) * ends / n_train)) if n_train else 0.0
     end_known = int(ends > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,25 +296,25 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, hea
                 for doc_id, text, out in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                     words, key = tokens_of(text), part + at
                     at += 1
-                    known, base, model = end_known, end_base, end_model
+                    known, base, model, mixed = end_known, end_base, end_model, end_mixed
                     for w, k in Counter(words).items():
                         if (x := known_words.get(w)) is not None:
-                            known, base, model = known + k * x[0], base + k * x[1], model + k * x[2]
+                            known, base, model, mixed = known + k * x[0], base + k * x[1], model + k * x[2], mixed + k * x[3]
                         else:
                             rest[0].append(key)
                             rest[1].append(w)
                             rest[2].append(k)
-                    docs_.append((key, b" %d" % key, 0, doc_id, out, len(words) + 1, known, base, model))
+                    docs_.append((key, b" %d" % key, 0, doc_id, out, len(words) + 1, known, base, model, mixed))
                 k = len(rest[0])
                 cols = list(zip(*docs_, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 arrays = [pa.array([*c, *(rest[i] if i < 3 else [None] * k)], kind) for i, (c, kind) in enumerate(zip(cols, kinds, strict=True))]
                 arrays[1] = arrays[1].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "k", "doc_id", "held_out", "n_tokens", "known", "b", "m"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "word", "k", "doc_id", "held_out", "n_tokens", "known", "b", "m", "x"])
 
     # A document's own row has a word that no text can hold, so that these rows spread like any other.
-    rows = map_arrow(docs, read, "key long, word string, k long, doc_id long, held_out boolean, n_tokens long, known long, b double, m double")
-    rare = scored.where(F.col("n") * heavy < n_all).select(F.col("word").alias("w"), "c", "base", "model")
+    rows = map_arrow(docs, read, "key long, word string, k long, doc_id long, held_out boolean, n_tokens long, known long, b double, m double, x double")
+    rare = scored.where(F.col("n") * heavy < n_all).select(F.col("word").alias("w"), "c", "base", "model", "mixed")
     joined = rows.join(rare.hint("shuffle_hash"), F.col("word") == F.col("w"), "left")
     none = F.lit(0.0)
     return (
@@ -321,6 +326,7 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = EM_ROUNDS, hea
             F.sum(F.coalesce("known", F.when(F.col("c") > 0, F.col("k")), F.lit(0))).alias("n_known"),
             F.sum(F.coalesce("b", F.col("k") * F.col("base"), none)).alias("base_score"),
             F.sum(F.coalesce("m", F.col("k") * F.col("model"), none)).alias("score"),
+            F.sum(F.coalesce("x", F.col("k") * F.col("mixed"), none)).alias("mixed_score"),
         )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score", "mixed_score")
     )

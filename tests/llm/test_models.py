@@ -90,17 +90,27 @@ def test_lm_equals_brute_force(spark):
 
 
 def test_lm_score_by_formula(spark):
-    """Whole-word edges against the lattice, each with its share."""
+    """The lattice alone, and whole-word edges against it, each with its share."""
     rows = [(k, "alpha beta beta", False) for k in range(4)] + [(9, "gamma", False), (10, "gamma delta", True)]
     path = public_tokenizers.path(lm.VOCABULARY)
     frame = spark.createDataFrame([(*r, "w", "s") for r in rows], LM)
-    got = {r.doc_id: r.score for r in lm.score(frame, path).collect()}
+    got = {r.doc_id: r for r in lm.score(frame, path).collect()}
     words = lm.count_words(frame)
     logp, p_end = lm.train(words.persist(), 5, path)
     n, share = 13 + 5, 1 / 18
     inner = np.exp(lm.lattice(path).log_probability(["gamma", "delta"], logp))
     want = math.log10(share * inner[0] + (1 - share) * 1 / n) + math.log10(share * inner[1]) + math.log10(share * p_end + (1 - share) * 5 / n)
-    assert got[10] == pytest.approx(want)
+    assert got[10].mixed_score == pytest.approx(want)
+    assert got[10].score == pytest.approx(math.log10(inner[0]) + math.log10(inner[1]) + math.log10(p_end))
+
+
+def test_lm_learns_from_counts(spark):
+    """Pieces of words that occur often gain; a text in the training words' pieces scores higher than one in others."""
+    rows = [(k, "alpha " * 50 + "beta", False) for k in range(20)] + [(50, "alphabeta alpha", True), (51, "zwischenzug quixotry", True), (52, None, True)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame([(*r, "w", "s") for r in rows], LM)).collect()}
+    assert got[50].score > got[51].score and got[52].score > got[50].score
+    none = lm.score(spark.createDataFrame([(1, None, False, "w", "s"), (2, "a word", True, "w", "s")], LM)).collect()
+    assert all(math.isfinite(r.score) and math.isfinite(r.mixed_score) for r in none)
 
 
 TEXTS = {"en": "the quick brown fox jumps over the lazy dog and then this that with", "de": "der schnelle braune fuchs springt über den faulen hund und dann nicht mit", "fr": "le renard brun rapide saute par dessus le chien paresseux et puis avec"}
@@ -137,3 +147,41 @@ def test_lm_query_beats_nothing_but_is_a_probability(spark, sf_dir):
     got = queries.op8_lm_score(spark, sf_dir).collect()
     assert all(r.score < 0 and r.base_score < 0 and 1 <= r.n_tokens and r.n_known <= r.n_tokens for r in got)
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
+
+
+def grams(text):
+    """Distinct n-grams of a text by their characters."""
+    plain = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    return {plain[k : k + n] for n in langid.ORDERS for k in range(len(plain) - n + 1)}
+
+
+def test_language_model_equals_full_kernel_ridge(spark):
+    """With every training text a landmark, the classifier is kernel ridge regression over the whole kernel matrix."""
+    draw = random.Random(4)
+    sounds = {"aa": ["ka", "lo", "mi", "ra"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["ção", "que", "lha", "ra"]}
+    text = lambda lang: " ".join("".join(draw.choices(sounds[lang], k=draw.randint(1, 4))) for _ in range(draw.randint(3, 25)))
+    train = [(k, text(lang), lang) for k, lang in enumerate(draw.choices(list(sounds), k=200))]
+    test = [(1000 + k, text(lang), lang) for k, lang in enumerate(draw.choices(list(sounds), k=40))]
+    names = sorted(sounds)
+    sets, asked = [grams(t) for _, t, _ in train], [grams(t) for _, t, _ in test]
+    like = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    kernel = np.array([[like(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for _, _, lang in train])
+    alpha = np.linalg.solve(kernel + langid.RIDGE * len(train) * np.eye(len(train)), y)
+    values = np.array([[like(a, b) for b in sets] for a in asked]) @ alpha
+    share = np.exp(langid.SHARPNESS * values)
+    share /= share.sum(axis=1, keepdims=True)
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), landmarks=3 * len(train), train=3 * len(train))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(test, "doc_id long, text string, lang string"), model).collect()}
+    for (key, _, _), row in zip(test, share, strict=True):
+        assert got[key].lang_pred == names[int(row.argmax())]
+        # N-grams are hashed; the few that share a slot move scores a little.
+        assert got[key].score == pytest.approx(row.max(), abs=0.02)
+
+
+def test_a_tie_of_languages_goes_to_the_first_name(spark):
+    """Texts that two languages share alike have equal scores; the language of the smaller name is told."""
+    rows = [(2 * k + j, "the same words in both", lang) for k in range(20) for j, lang in enumerate(("yy", "xx"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (r,) = langid.predict(spark.createDataFrame([(1, "the same words in both")], "doc_id long, text string"), model).collect()
+    assert r.lang_pred == "xx" and r.score == pytest.approx(0.5)
