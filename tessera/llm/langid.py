@@ -10,7 +10,7 @@ presence matrix with that matrix. Every whole text is scored; only fitting uses
 and TRAIN rows over all languages, drawn by a hash of the document id, in equal parts from each language.
 
 Defined cases: a null text and one without a letter give ``und`` with score 0; without a labelled row everything is
-``und``; a null label is not learned from; repeated rows count as often as they stand; an empty table gives an empty
+``und``; of languages with equal scores the one of the smallest name is told; a null label is not learned from; repeated rows count as often as they stand; an empty table gives an empty
 result. ``predict`` keeps all input columns, replacing ones named like its own.
 """
 

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -134,6 +136,79 @@ def test_template_tree_finds_bad_branch(spark):
     assert {got[1000 + k].template for k in range(20)} == {"/*/*"}
 
 
+def brute_shape(path):
+    out = re.sub(r"(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f]{8,}(-[0-9a-f]{4,})*(?![0-9a-z])", "{hex}", path)
+    return [s for s in re.sub("[0-9]+", "{num}", out).split("/") if s]
+
+
+def brute_tree(rows, labels):
+    """page -> (template, purity) by trees of nested dictionaries, a host at a time."""
+    parsed = {}
+    for page, url in rows:
+        host, path, _, verdict = brute_rule(url)
+        parsed[page] = (host, tuple(brute_shape(path)), {"block": 1, "allow": 0}.get(verdict, labels.get(page)))
+    template = {}
+
+    def walk(host, prefix, depth, own):
+        """``own``: (shape, label) of the pages whose paths took the steps of ``prefix``."""
+        children = {}
+        for shape, bad in own:
+            if len(shape) <= depth:
+                template[host, shape] = prefix
+            elif depth == urls.DEPTH:
+                template[host, shape] = f"{prefix}/*"
+            else:
+                children.setdefault(shape[depth], []).append((shape, bad))
+        every = [b for v in children.values() for _, b in v if b is not None]
+        pages, rate, groups = sum(map(len, children.values())), sum(every) / len(every) if every else None, {}
+        for name, v in children.items():
+            told = [b for _, b in v if b is not None]
+            differs = rate is not None and abs(sum(told) - len(told) * rate) > urls.Z * math.sqrt(len(told) * rate * (1 - rate))
+            alone = differs and (len(told) >= urls.MIN_LABELS or len(v) >= urls.SUPPORT * pages)
+            groups.setdefault(name if alone else "*", []).extend(v)
+        for name, v in groups.items():
+            walk(host, f"{prefix}/{name}", depth + 1, v)
+
+    hosts = {}
+    for host, shape, bad in parsed.values():
+        hosts.setdefault(host, []).append((shape, bad))
+    for host, own in hosts.items():
+        walk(host, "", 0, own)
+    every = [b for _, _, b in parsed.values() if b is not None]
+    base = (sum(every) + 1) / (len(every) + 2)
+    host_rate = {}
+    for host, own in hosts.items():
+        told = [b for _, b in own if b is not None]
+        host_rate[host] = (sum(told) + urls.SMOOTHING * base) / (len(told) + urls.SMOOTHING)
+    of = {}
+    for host, shape, bad in parsed.values():
+        of.setdefault((host, template[host, shape]), []).append(bad)
+    purity = {}
+    for (host, t), v in of.items():
+        told = [b for b in v if b is not None]
+        purity[host, t] = (sum(told) + urls.SMOOTHING * host_rate[host]) / (len(told) + urls.SMOOTHING)
+    return {page: (template[host, shape], purity[host, template[host, shape]]) for page, (host, shape, _) in parsed.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_template_tree_equals_nested_dictionaries(spark, seed):
+    draw = random.Random(seed)
+    hosts = ["a.test", "b.test", "x.net", "sub.example.com", "c.test"]
+    words = ["spam", "news", "p", "item", "blog", "de", "x1", "0123abcd4567ef89", "archive"]
+    rows = [(k, f"http://{draw.choice(hosts)}/" + "/".join(draw.choice(words) if draw.random() < 0.8 else str(draw.randrange(99)) for _ in range(draw.randrange(9)))) for k in range(900)]
+    rows += [(1000, None), (1001, "no scheme")]
+    bad_words = set(draw.sample(words, 2))
+    labels = {k: int(any(f"/{w}" in (u or "") for w in bad_words) if draw.random() < 0.9 else draw.random() < 0.5) for k, u in rows if draw.random() < 0.5}
+    want = brute_tree(rows, labels)
+    frame = spark.createDataFrame([(*r, "h", "v") for r in rows], PAGE)
+    got = urls.judge(frame, spark.createDataFrame([(k, bool(b)) for k, b in labels.items()], "page_id long, bad boolean")).collect()
+    assert len({t for t, _ in want.values()}) > 20
+    for r in got:
+        template, purity = want[r.page_id]
+        assert r.template == template and r.purity == pytest.approx(purity)
+        assert r.verdict == (brute_rule(dict(rows)[r.page_id])[3] or ("block" if purity >= urls.REJECT else "allow"))
+
+
 def test_url_filter_keeps_columns_of_any_name(spark):
     names = "row page told told_bad shape by_rule own_shape shape_host bad pages labelled b n host_rate child x".split()
     rows = [(k, f"http://h.test/{'bad' if k % 2 else 'good'}/{k}", *[f"{c}{k}" for c in names]) for k in range(40)]
