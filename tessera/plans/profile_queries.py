@@ -240,7 +240,7 @@ def materialize_semi(spark, sf_dir):
 
 @query("SELECT d.doc_id AS id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic, l.doc_id IS NOT NULL AS reviewed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def light_full_left(spark, sf_dir):
-    """Full rows drive, missing reviews get defaults."""
+    """Full rows drive, missing reviews get defaults."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "__id")
     joined = questions(spark, sf_dir).select("id").join(labels, F.col("id") == F.col("__id"), "left")
     return joined.select("id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.col("__id").isNotNull().alias("reviewed"))

@@ -8,7 +8,7 @@ from tessera.functions import profile, routing, text as tx
 from tessera.operators import coverage, merge, messages, packets, sampling
 from tessera.session import table
 
-from .bindings import SQL_GROUPS, _sql_flags, annotated_groups, sql_form, sql_words
+from .bindings import SQL_GROUPS, SQL_PROFILES, _sql_flags, annotated_groups, profiles, sql_form, sql_words, unicode_low
 from .trace_queries import _ART, _COLLAPSE, _PUNCT
 
 QUERIES, ORACLES = {}, {}
@@ -290,3 +290,73 @@ def conflict_status(spark, sf_dir):
 def conflict_drops(spark, sf_dir):
     """A12 from the statuses of W13."""
     return sampling.drop_counts(_repeated(spark, sf_dir))
+
+
+def _re(pattern: str) -> str:
+    return f"regexp_matches(low, '{pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+_MARKS = {
+    "is_yes_no": routing.YES_NO, "has_alias_cue": routing.ALIAS, "has_superlative": routing.SUPERLATIVE, "has_kinship": routing.KINSHIP,
+    "has_forced_choice": routing.FORCED_CHOICE, "has_comparison": routing.COMPARISON, "has_temporal_anchor": routing.TEMPORAL_ANCHOR, "looks_relation_chain": routing.RELATION_CHAIN,
+}
+_OWN_BUDGET = "CASE WHEN doc_id % 4 = 0 THEN doc_id % 9 END"
+
+
+@query(f"""WITH q AS (SELECT *, ['nq', 'popqa', 'hotpotqa', ''][doc_id % 4 + 1] AS dataset, {unicode_low('text')} AS low, lower(coalesce(text, '')) AS plain, {sql_words("coalesce(text, '')")} AS words, len(regexp_extract_all({unicode_low('text')}, '{routing.HOP_CONNECTOR}')) AS links FROM documents)
+SELECT doc_id AS id, CASE WHEN dataset IN ('nq', 'triviaqa') THEN 'singlehop' ELSE 'multihop' END AS task_family,
+  CAST(CASE WHEN doc_id % 5 > 2 THEN doc_id % 5 WHEN doc_id % 7 > 3 THEN doc_id % 7 WHEN links >= 3 THEN 4 WHEN links = 2 THEN 3 WHEN links = 1 THEN 2 ELSE 1 END AS INTEGER) AS estimated_hops,
+  coalesce(CASE WHEN lang <> 'de' THEN lang END, 'unknown') AS question_type, CASE WHEN doc_id % 2 = 0 THEN 'hard' END AS level, CASE WHEN doc_id % 3 = 0 THEN 'numeric|temporal' ELSE '' END AS flags, source AS wh_word, NULL::VARCHAR AS entity_bin, 'long' AS token_bin,
+  {", ".join(f"{_re(p)} AS {n}" for n, p in _MARKS.items())}, 'generic_route_error' AS failure_error_tag,
+  CAST(CASE WHEN coalesce({_OWN_BUDGET}, 0) <> 0 THEN least(5, greatest(1, {_OWN_BUDGET})) WHEN dataset IN ('nq', 'popqa') THEN CASE WHEN words <= 12 THEN 2 ELSE 3 END
+    ELSE least(5, 3 + CAST({" OR ".join(f"contains(plain, '{c}')" for c in ('same', 'both', 'older', 'younger', 'earlier', 'later', ' or '))} AS INTEGER) + CAST(words >= 18 AS INTEGER)) END AS INTEGER) AS search_budget,
+  CASE WHEN dataset = '' THEN 'unknown' ELSE dataset END AS data_source FROM q""")
+def metadata_rows(spark, sf_dir):
+    """All keys of the metadata summary, hops from each of their sources, budgets by all rules."""
+    docs = table(spark, sf_dir, "documents")
+    key, text = F.col("doc_id"), F.col("text")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("nq", "popqa", "hotpotqa", "")]), (key % 4 + 1).cast("int"))
+    hops = routing.estimated_hops(text, F.when(key % 5 > 2, key % 5), F.when(key % 7 > 3, key % 7))
+    flags = F.when(key % 3 == 0, F.array(F.lit("numeric"), F.lit("temporal")))
+    meta = routing.metadata_summary(text, name, F.when(F.col("lang") != "de", F.col("lang")), hops, F.when(key % 2 == 0, "hard"), flags, F.col("source"), None, F.lit("long"), F.lit("generic_route_error"))
+    budget = routing.search_budget(text, name, F.when(key % 4 == 0, (key % 9).cast("int")))
+    return docs.select(key.alias("id"), meta.alias("m"), budget.alias("search_budget"), routing.dataset_name(name).alias("data_source")).select("id", "m.*", "search_budget", "data_source").withColumn("flags", F.array_join("flags", "|"))
+
+
+# The predicates as each round states them, over a group's type, flags, entities, length, hops, question word and form.
+_MANY, _LONG, _DATED = "e IN ('multi_entity', 'dense_entity')", "t IN ('long', 'very_long')", "has(f, ['temporal', 'numeric', 'time_anchor'])"
+_COMPARE, _CHECK, _CHECKED = "(n = 'comparison' OR has(f, ['comparison']))", "has(f, ['yes_no', 'verification'])", f"has(f, ['verification', 'dense_entities']) AND e IN ('multi_entity', 'dense_entity')"
+_ROUNDS = {
+    1: {
+        "direct": "has(f, ['direct_lookup'])", "alias": "has(f, ['alias'])", "temporal": "has(f, ['temporal']) OR w = 'when'", "numeric": "has(f, ['numeric']) OR form = 'number' OR w = 'how'", "location": "has(f, ['location']) OR w = 'where'",
+        "person": "has(f, ['person']) OR w IN ('who', 'whose')", "organization": "has(f, ['organization'])", "yes_no": "has(f, ['yes_no']) OR w IN ('is', 'are', 'was', 'were', 'do', 'does', 'did', 'can', 'could', 'has', 'have', 'had')",
+        "long_wording": "e <> 'single_entity' OR t = 'long'", "quoted_or_list": "has(f, ['quoted_span']) OR form IN ('long_span', 'list_like')",
+    },
+    2: {
+        "bridge": "n = 'bridge'", "comparison": _COMPARE, "bridge_dated": f"n = 'bridge' AND {_DATED}", "comparison_dated": f"{_COMPARE} AND {_DATED}", "bridge_entities": f"n = 'bridge' AND ({_MANY} OR has(f, ['dense_entities', 'multi_entity']))",
+        "bridge_long": f"n = 'bridge' AND {_LONG}", "comparison_attribute": f"{_COMPARE} AND has(f, ['same_attribute'])", "verification": _CHECK, "bridge_chain": "n = 'bridge' AND has(f, ['relation_chain'])", "dense_verification": _CHECKED,
+    },
+    3: {
+        "compositional": "n = 'compositional'", "comparison": _COMPARE, "bridge_comparison": "n = 'bridge_comparison'", "inference": "n = 'inference'", "chain": "has(f, ['relation_chain'])", "four_hops": "h >= 4",
+        "comparison_attribute": f"{_COMPARE} AND has(f, ['same_attribute'])", "verification": _CHECK, "dated": _DATED, "dense_verification": _CHECKED,
+    },
+    4: {
+        "decomp_2": "n = 'decomp_2'", "decomp_3": "n = 'decomp_3'", "decomp_4": "n = 'decomp_4'", "longer_hop": "has(f, ['longer_hop']) OR h >= 3", "dated": "has(f, ['temporal', 'numeric'])", "entities": f"has(f, ['dense_entities', 'multi_entity']) AND {_MANY}",
+        "comparison": "has(f, ['comparison', 'same_attribute'])", "time_anchor": "has(f, ['time_anchor'])", "chain": "has(f, ['relation_chain'])", "long_dense": f"{_LONG} AND has(f, ['dense_entities', 'longer_hop'])",
+    },
+}
+_KINDS = "['comparison', 'bridge', 'compositional', 'inference', 'bridge_comparison', 'decomp_2', 'decomp_3', 'decomp_4']"
+_MATCHES = " UNION ALL ".join(
+    f"SELECT {r} AS round, '{b}' AS bucket, count(*) AS matched_packet_count, CAST(sum(size) AS BIGINT) AS total_group_size FROM gs WHERE {when.replace('has(', 'list_has_any(')} HAVING count(*) > 0" for r, rules in _ROUNDS.items() for b, when in rules.items()
+)
+
+
+@query(f"""WITH {SQL_PROFILES}, gs AS (SELECT {_KINDS}[id % 8 + 1] AS n, flags AS f, entity_bin AS e, token_bin AS t, hop_count AS h, wh_word AS w, form, words AS size FROM s) {_MATCHES}""")
+def bucket_matches(spark, sf_dir):
+    """The bucket predicates of all four rounds over profiles of every native type."""
+    kinds = F.array(*[F.lit(x) for x in ("comparison", "bridge", "compositional", "inference", "bridge_comparison", "decomp_2", "decomp_3", "decomp_4")])
+    rows = profiles(spark, sf_dir).select("id", "flags", "entity_bin", "token_bin", "hop_count", "wh_word", "form", "words").withColumn("native_type", F.element_at(kinds, (F.col("id") % 8 + 1).cast("int")))
+    named = [F.struct(F.lit(r).alias("round"), F.lit(b).alias("bucket")) for r in _ROUNDS for _, b in packets.bucket_rules(r)]
+    held = [F.when(when, name) for (when, _), name in zip([x for r in _ROUNDS for x in packets.bucket_rules(r)], named, strict=True)]
+    tagged = rows.select("words", F.explode(F.array_compact(F.array(*held))).alias("b"))
+    return tagged.groupBy("b.round", "b.bucket").agg(F.count(F.lit(1)).alias("matched_packet_count"), F.sum("words").cast("bigint").alias("total_group_size"))

@@ -45,13 +45,31 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folders that this application has made in the shared folder.
+_MADE: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared folder, see ``clear_written``."""
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_base(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once the results that read them are written."""
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

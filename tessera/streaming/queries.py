@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import shared_base
+from tessera.session import shared_folder
 
 from . import logs
 
@@ -17,7 +15,7 @@ def summarise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each batch writes its own counts, a repeated one over itself, and the counts of all batches are added up.
     """
-    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("passed", F.col("value") > 20)
     once = logs.once_per_id(rows, "event_id", "ts")
@@ -38,7 +36,7 @@ def resume_attempts(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataF
 
     The log is written as files, which the stream takes in several batches; state is keyed by id and kept for good.
     """
-    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     failed = F.when(F.col("event_type") == "error", F.coalesce("props", F.lit("error")))
     named = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.hour("ts").cast("string"))
