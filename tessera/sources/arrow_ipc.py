@@ -12,11 +12,15 @@ An empty folder, and a stream without a schema, is an error; a file without batc
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
@@ -127,6 +131,33 @@ def _plain(schema: pa.Schema) -> pa.Schema:
     return pa.schema([pa.field(f.name, f.type.value_type if pa.types.is_dictionary(f.type) else f.type) for f in schema])
 
 
+def write_arrow(rows: DataFrame, folder: str) -> int:
+    """Write ``rows`` as Arrow streams, one file from each task with rows; returns their number of rows.
+
+    A file is written under a hidden name of the attempt and moved into place under its partition's, so a repeated
+    attempt replaces what an earlier one left, and readers see whole files only.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_uri(folder)
+        part, sink, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if sink is None:
+                fs.create_dir(path, recursive=True)
+                hidden = f"{path}/.{uuid.uuid4().hex}"
+                out = fs.open_output_stream(hidden, compression=None)
+                sink = pa.ipc.new_stream(out, batch.schema)
+            sink.write_batch(batch)
+            total += batch.num_rows
+        if sink is not None:
+            sink.close()
+            out.close()
+            fs.move(hidden, f"{path}/part-{part:06d}.arrow")
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["rows"])
+
+    return rows.mapInArrow(write, "rows long").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
 class ArrowIpc(DataSource):
     """``spark.read.format("arrow_ipc").option("path", uri).option("splitBytes", n)``."""
 

@@ -10,10 +10,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as tx
+from tessera.operators import merge
 
 #: Responses worth another attempt.
 RETRY = frozenset({408, 429, 500, 502, 503, 504})
@@ -282,7 +286,6 @@ STEP_USER = "Question: {question}\nStep: {k}\nCandidate skills: {candidates}\nSt
 FINAL_SYSTEM = "You shorten a draft to the exact answer that the evidence holds and answer with one JSON object."
 FINAL_USER = "Question: {question}\nSteps: {steps}\nDraft: {draft}\nEvidence:\n{evidence}"
 STEP_TYPE = "step:int,primary_skill:string,support_skills:array<string>,action:string,query:string,checkpoint:string,draft_answer:string,rationale:string,confidence:double,retrieved:string"
-TEACHER = f"id string, dataset string, question string, steps array<struct<{STEP_TYPE}>>, final_answer string, raw_outputs array<string>, error_type string, error_message string"
 
 
 def _clip(text: str, most: int) -> str:
@@ -352,24 +355,50 @@ def offline_model(system: str, user: str) -> str:
     return json.dumps({"primary_skill": "answer-grounding-check", "support_skills": ["conflict-check"], "action": "answer", "draft_answer": found[0], "confidence": 0.5})
 
 
-def teacher_rollout(rows: DataFrame, model: Model = offline_model, retriever: Retriever = offline_retriever, most: int = 6, bank: str = "") -> DataFrame:
-    """(id, dataset, question, candidate_primary_skills) -> trajectories, one run per row, in its task.
+#: What a run gives beside its row.
+RUN = f"steps array<struct<{STEP_TYPE}>>, final_answer string, raw_outputs array<string>, error_type string, error_message string"
 
-    A run that fails gives a row with error_type and error_message instead (M5); ``merge.validation`` judges the others.
-    """
-    names = [f.split()[0] for f in TEACHER.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+def _taught(rows: DataFrame, model: Model, retriever: Retriever, most: int, bank: str) -> DataFrame:
+    """``row``, the whole input row, and ``run``, what the teacher made of it, in the row's task."""
+    kind = to_arrow_type(StructType.fromDDL(RUN))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), "question", F.col("candidate_primary_skills").alias("candidates"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for key, dataset, question, candidates in zip(*(frame[c] for c in ("id", "dataset", "question", "candidates")), strict=True):
-                got, kind, message = {"steps": [], "final_answer": "", "raw_outputs": []}, None, None
+            for question, candidates in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                got, told = {"steps": [], "final_answer": "", "raw_outputs": []}, {"error_type": None, "error_message": None}
                 try:
-                    got = teach_one(question or "", list(candidates) if candidates is not None else [], model, retriever, most, bank)
+                    got = teach_one(question or "", candidates or [], model, retriever, most, bank)
                 except Exception as error:
-                    kind, message = type(error).__name__, str(error)
-                out.append((key, dataset, question, got["steps"], got["final_answer"], got["raw_outputs"], kind, message))
-            yield pd.DataFrame(out, columns=names)
+                    told = {"error_type": type(error).__name__, "error_message": str(error)}
+                out.append(got | told)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "run"])
+
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, run struct<{RUN.replace(', ', ',').replace(' ', ':')}>")
+
 
-    own = rows.select(F.col("id").cast("string").alias("id"), "dataset", "question", F.col("candidate_primary_skills").alias("candidates"))
-    return own.mapInPandas(run, TEACHER)
+def teacher_rollout(rows: DataFrame, model: Model = offline_model, retriever: Retriever = offline_retriever, most: int = 6, bank: str = "") -> DataFrame:
+    """(id, dataset, question, candidate_primary_skills) -> trajectories, one run per row, in its task.
+
+    A run that fails gives a row with error_type and error_message instead (M5).
+    """
+    made = _taught(rows, model, retriever, most, bank)
+    return made.select(F.col("row.id").cast("string").alias("id"), "row.dataset", "row.question", "run.*")
+
+
+def taught_records(rows: DataFrame, legal: Column, model: Model = offline_model, retriever: Retriever = offline_retriever, most: int = 6, bank: str = "") -> DataFrame:
+    """Records as the trajectory log keeps them: all columns of ``rows`` (gold_answers among them), the run, and
+    ``validation``, which tells of a run that broke off by runtime_error, error_type and error_message.
+    """
+    made = _taught(rows, model, retriever, most, bank)
+    none = F.array().cast("array<string>")
+    judged = merge.validation(F.col("run.steps"), F.col("run.final_answer"), F.coalesce("row.gold_answers", none), F.coalesce("row.candidate_primary_skills", none), legal)
+    broken = F.col("run.error_type").isNotNull()
+    terms = {n: F.when(~broken, F.col("judged")[n]) for n in ("em", "has_search", "unknown_skills", "support_only_primary_steps", "route_matches_candidates")}
+    whole = F.struct(
+        (~broken & F.col("judged.passed")).alias("passed"), *[c.alias(n) for n, c in terms.items()], broken.alias("runtime_error"),
+        F.col("run.error_type").alias("error_type"), F.col("run.error_message").alias("error_message"),
+    )
+    return made.withColumn("judged", judged).select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "run.steps", "run.final_answer", "run.raw_outputs", whole.alias("validation"))

@@ -167,3 +167,38 @@ def test_attempts_of_a_table_and_an_empty_stream(spark, tmp_path):
     stream = spark.readStream.schema(ATTEMPTS).parquet(str(tmp_path / "log"))
     logs.follow_attempts(stream, "id", ["at"], "error", str(tmp_path / "run")).awaitTermination()
     assert read(logs.followed(spark, str(tmp_path / "run"), "id", ["em"])) == []
+
+
+def literal_refill(rows, taken, rejected, n):
+    """Groups take turns in order; a group takes its first row whose question nobody has, until n rows or nothing is left."""
+    groups = {}
+    for key, group, question in sorted(rows):
+        groups.setdefault(group, []).append((key, question))
+    held, out = set(taken) | set(rejected), []
+    while len(out) < n:
+        before = len(out)
+        for group in sorted(groups):
+            pick = next((r for r in groups[group] if r[1] not in held), None)
+            if pick and len(out) < n:
+                held.add(pick[1])
+                groups[group].remove(pick)
+                out.append(pick[0])
+        if len(out) == before:
+            break
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 1), (2, 7), (3, 40), (4, 400)])
+def test_refill_against_turns_taken_one_by_one(spark, seed, n):
+    """Few questions in many groups: most are taken by another group when a group's turn comes."""
+    from tessera.operators import coverage
+
+    draw = random.Random(seed)
+    rows = [(k, f"g{draw.randrange(6)}", f"q{draw.randrange(60)}") for k in range(300)]
+    selected, rejected = [(900, "q1"), (901, "q2")], ["q3", "q4"]
+    frame = spark.createDataFrame(rows, "id long, group_id string, question string")
+    told = spark.createDataFrame(selected, "id long, question_key string")
+    gone = spark.createDataFrame([(q,) for q in rejected], "question_key string")
+    got = coverage.refill(frame, told, gone, F.col("question"), n, F.col("id"), F.col("group_id"))
+    assert [r.id for r in got.collect()] == literal_refill(rows, ["q1", "q2"], rejected, n)
+    assert got.columns == frame.columns

@@ -245,3 +245,27 @@ def test_teacher_runs_in_tasks(spark):
 
     failed = external.teacher_rollout(rows, model=broken).collect()
     assert {(r.error_type, r.error_message) for r in failed} == {("TimeoutError", "late")}
+
+
+def test_taught_records_keep_their_row_and_are_judged(spark):
+    schema = "id string, dataset string, sample_origin string, question string, gold_answers array<string>, candidate_primary_skills array<string>, metadata_summary struct<hops:int>, steps string"
+    rows = [
+        ("1", "nq", "train", "capital of X", ["the x"], ["single-entity-relation-lookup"], (2,), "clash"),
+        ("2", "nq", "replay", "capital of X", ["Y"], None, None, None),
+        ("3", "nq", "train", "fails", None, [], None, None),
+    ]
+
+    def model(system, user):
+        if "fails" in user:
+            raise TimeoutError("late")
+        return external.offline_model(system, user)
+
+    legal = F.array(*[F.lit(x) for x in ("single-entity-relation-lookup", "answer-grounding-check", "conflict-check", external.FINAL_SKILL)])
+    made = external.taught_records(spark.createDataFrame(rows, schema).drop("steps"), legal, model)
+    got = {r.id: r for r in made.collect()}
+    assert [(got[k].sample_origin, got[k].metadata_summary) for k in "123"] == [("train", got["1"].metadata_summary), ("replay", None), ("train", None)] and got["1"].metadata_summary.hops == 2
+    one, two, three = (got[k].validation for k in "123")
+    assert one.em and one.passed and one.has_search and one.route_matches_candidates and not one.runtime_error
+    assert not two.em and not two.passed and two.unknown_skills == []
+    assert three.runtime_error and not three.passed and three.em is None and (three.error_type, three.error_message) == ("TimeoutError", "late")
+    assert got["3"].steps == [] and len(got["1"].steps) == 3
