@@ -297,7 +297,7 @@ def parse_turns(spark, sf_dir):
     said = F.concat(F.lit("<skill>a | b</skill> "), F.when(user, F.concat(F.lit("<search> "), F.coalesce("text", F.lit("")), F.lit(" </search> tail"))).otherwise(F.concat(F.lit("<ANSWER>"), F.coalesce("text", F.lit("")), F.lit("</ANSWER>"))))
     rows = table(spark, sf_dir, "conversations").withColumn("said", said)
     turn = messages.parse_turn(F.col("said"))
-    return rows.withColumn("t", turn).select("conv_id", "turn", "t.action", F.length("t.query").alias("query_chars"), F.length("t.kept").alias("kept_chars"), F.array_join(messages.skills(F.col("said")), "|").alias("skills"), F.md5(messages.prediction(F.col("said"), F.col("said")).cast("binary")).alias("prediction"))
+    return rows.withColumn("t", turn).select("conv_id", "turn", "t.action", F.length("t.query").cast("bigint").alias("query_chars"), F.length("t.kept").cast("bigint").alias("kept_chars"), F.array_join(messages.skills(F.col("said")), "|").alias("skills"), F.md5(messages.prediction(F.col("said"), F.col("said")).cast("binary")).alias("prediction"))
 
 
 _PUNCT = tx.PUNCTUATION.replace("'", "''")
