@@ -24,7 +24,7 @@ def norm(v):
 def test_query_equals_sql(spark, sf_dir, con, name):
     frame = registry.QUERIES[name](spark, sf_dir)
     names = frame.columns
-    want = con.execute(f"SELECT {', '.join(names)} FROM ({registry.ORACLES[name]})").fetchall()
+    want = con.execute(f"SELECT {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} FROM ({registry.ORACLES[name]})").fetchall()
     rows = lambda x: sorted(str(tuple(map(norm, r))) for r in x)
     assert rows(frame.collect()) == rows(want)
 
