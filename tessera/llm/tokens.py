@@ -19,6 +19,7 @@ ignored. Special token strings in texts are treated as the tokenizer file's defa
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
@@ -42,8 +43,9 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
-#: Word encodings that a worker keeps, in two generations.
-MEMO = 400_000
+#: Word encodings that a worker keeps, in two generations, about 160 bytes each, and the longest word that it keeps.
+MEMO = 1_600_000
+MEMO_CHARS = 64
 
 MANIFEST = "part long, shard long, path string, documents long, ids long"
 _HEAD = struct.Struct("<IBHH")
@@ -119,22 +121,32 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
-class _Pieces(dict):
-    """Pieces of texts with their encodings; an unknown piece is encoded when it is asked for."""
+#: Byte-level BPE writes the bytes up to 0x20, 0x7F-0xA0 and 0xAD as further characters, all others as themselves.
+_FURTHER = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+_BYTES = "".join(chr(_FURTHER.get(b, b)) for b in range(256))
 
-    def __init__(self, encode, older: dict):
+
+class _Kept(dict):
+    """Encodings by piece; an unknown piece is encoded when it is asked for. What the last generation knew stays as long
+    as it is used."""
+
+    def __init__(self, encode, parts: bool, older: dict):
         super().__init__()
-        self.encode, self.older, self.seen = encode, older, bytearray(1 << 21)
+        self.encode, self.parts, self.older, self.seen = encode, parts, older, bytearray(1 << 21)
 
     def __missing__(self, piece: str) -> bytes:
         known = self.older.get(piece)
         if known is None:
             known = self.encode(piece)
-            # Most distinct words occur once; only those that come again are kept. A false hit keeps one more.
-            at = hash(piece) & 0xFFFFFF
-            if not self.seen[at >> 3] & 1 << (at & 7):
-                self.seen[at >> 3] |= 1 << (at & 7)
+            if len(piece) > MEMO_CHARS:
                 return known
+            if not self.parts and not piece.isalpha():
+                # Words with signs are put together from kept parts, and most of them occur once; only those that come
+                # again are kept. A false hit keeps one more.
+                at = hash(piece) & 0xFFFFFF
+                if not self.seen[at >> 3] & 1 << (at & 7):
+                    self.seen[at >> 3] |= 1 << (at & 7)
+                    return known
         self[piece] = known
         return known
 
@@ -145,18 +157,18 @@ class Encoder:
     Byte-level BPE cuts a text before each space or newline that follows another character, and what it makes of a
     piece does not depend on its neighbours, so pieces are looked up. Pieces of Latin-1 characters without white space are
     cut here into what the library would hand to its model (contractions, letters, numbers, other signs) and go straight
-    there. Other pieces, and texts in which a cut would fall inside a run of white space or a special token, are encoded
-    whole by the library.
+    there, each part once. Other pieces, and texts in which a cut would fall inside a run of white space or a special
+    token, are encoded whole by the library.
     """
 
     _RUN = re.compile(r"\s[ \n]")
     _LATIN = re.compile("[!-~\xa1-\xff]+")
+    #: Most words: letters, and other signs after them.
+    _FORM = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
     #: The cuts of byte-level BPE, for Latin-1.
     _CUTS = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^ A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
     #: White space besides space and newline.
     _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-    #: Byte-level BPE writes the bytes 0x80-0xA0 and 0xAD as further characters, all other bytes above 0x80 as themselves.
-    _BYTES = {b: 0x100 + k for k, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
@@ -167,28 +179,36 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)
         self.model = self.tokenizer.model.tokenize
         self.single = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: self._whole(m) for m in ".,;:!?"}
-        self.memo = _Pieces(self._piece, {})
+        #: What follows a space or begins with a newline; and what stands inside a word or begins a text.
+        self.memo, self.inner = _Kept(self._piece, False, {}), _Kept(self._ids, True, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, mapped: str) -> bytes:
-        found = self.model(mapped)
+    def _ids(self, cut: str) -> bytes:
+        """The ids of one cut, with the space before it if there is one."""
+        found = self.model(codecs.charmap_decode(cut.encode(), "strict", _BYTES)[0])
         return self.single[found[0].id] if len(found) == 1 else b"".join([self.single[t.id] for t in found])
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece that follows a space, or that begins with a newline."""
-        line = piece[:1] == "\n"
-        body = piece[1:] if line else piece
-        if body.isalpha() and body.isascii():
-            return self.line + self._ids(body) if line else self._ids("Ġ" + body)
-        if body[-1:] in self.marks and body[:-1].isalpha() and body.isascii():
-            return self.memo[piece[:-1]] + self.marks[body[-1]]
-        if not self._LATIN.fullmatch(body):
-            return self._whole(piece if line else " " + piece)
-        cuts = self._CUTS.findall(body if line else " " + body)
-        return self.line * line + b"".join([self._ids(c.encode().decode("latin-1").translate(self._BYTES)) for c in cuts])
+        if form := self._FORM.fullmatch(piece):
+            letters, signs = form.groups()
+            return self.memo[letters] + self.inner[signs] if signs else self._ids(" " + piece)
+        if piece[:1] == "\n":
+            return self.line + self._start(piece[1:]) if self._LATIN.fullmatch(piece, 1) else self._whole(piece)
+        if not self._LATIN.fullmatch(piece):
+            return self._whole(" " + piece)
+        first, *rest = self._CUTS.findall(" " + piece)
+        # A word that begins with letters is known by them.
+        start = self.memo[first[1:]] if rest and first[1:].isalpha() else self._ids(first)
+        return start + b"".join(map(self.inner.__getitem__, rest))
+
+    def _start(self, piece: str) -> bytes:
+        """The ids of a piece that nothing stands before."""
+        if not self._LATIN.fullmatch(piece):
+            return self._whole(piece)
+        return b"".join(map(self.inner.__getitem__, self._CUTS.findall(piece)))
 
     def _joined(self, text: str) -> bool:
         """Whether a cut could fall inside white space or a special token."""
@@ -197,18 +217,24 @@ class Encoder:
         odd = any(c in text for c in self._ODD[0]) or (not text.isascii() and any(c in text for c in self._ODD[1]))
         return odd and self._RUN.search(text) is not None
 
+    def renew(self) -> None:
+        """Begin a new generation of what is kept, if this one is full."""
+        for name, most in (("memo", self.limit // 2), ("inner", self.limit // 8)):
+            kept = getattr(self, name)
+            if len(kept) > most:
+                kept.older = {}
+                setattr(self, name, _Kept(kept.encode, kept.parts, kept))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32 bytes."""
-        if len(self.memo) > self.limit // 2:
-            # A new generation; words of the one before stay known as long as they are used.
-            self.memo = _Pieces(self._piece, dict(self.memo))
+        self.renew()
         get, out = self.memo.__getitem__, []
         for text in texts:
             if self._joined(text):
                 out.append(self._whole(text))
                 continue
             parts = text.replace("\n", " \n").split(" ")
-            first = self._whole(parts.pop(0))
+            first = self._start(parts.pop(0))
             out.append(first + b"".join(map(get, parts)))
         return out
 

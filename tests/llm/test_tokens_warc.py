@@ -46,6 +46,27 @@ def test_encoder_equals_library(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path).encode(texts)] == want
 
 
+def test_encoder_asks_for_each_part_once():
+    enc = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY))
+    asked, model = [], enc.model
+    enc.model = lambda part: asked.append(part) or model(part)
+    words = [f"{a}{b}ér" for a in ("thon", "blea", "Oer") for b in ("nd", "tion", "sh", "ly")]
+    forms = [f"x {w} {w}, {w}.%%% {w}-{w}; {w}" for w in words]
+    first = enc.encode(forms)
+    assert enc.encode(forms) == first
+    assert len(asked) == len(set(asked))
+
+
+@given(st.lists(st.one_of(PLAIN, SIGNS, SAID.map(" ".join)), max_size=30))
+@settings(max_examples=50, deadline=None)
+def test_generations_of_kept_words(texts):
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    small = tokens.Encoder(path, memo=6)
+    want = tokens.encoder(path).encode(texts)
+    assert [small.encode([t])[0] for t in texts] == want
+    assert all(not getattr(kept.older, "older", None) for kept in (small.memo, small.inner))
+
+
 def brute_tokens(rows):
     whole = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
     at, out = 0, []
