@@ -7,7 +7,8 @@ together. Links are counted over the corpus by id pair, and documents are told h
 
 Both tokenizers work on pieces of a text that begin at a single space or newline between other characters: neither
 joins symbols across such a place, so a piece's tokens do not depend on its neighbours, and what is known of a piece is
-kept. White space of any other form stays inside a piece.
+kept. White space of any other form stays inside a piece. ASCII signs that end a word of letters are a piece of their own,
+if no piece of B's vocabulary holds a letter and a sign after it.
 
 Defined cases: a null or empty text, and one whose bytes A's or B's tokens do not give back, has no tokens: zeros and an
 empty digest; null and repeated ids are rows of their own; strings of special tokens inside a text are plain text; an
@@ -32,8 +33,8 @@ from .tokens import Encoder
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-#: Pieces that a worker keeps, in two generations, and the longest that it keeps.
-MEMO = 400_000
+#: Pieces that a worker keeps, in two generations (an estimated 350 bytes each), and the longest that it keeps.
+MEMO = 800_000
 MEMO_CHARS = 64
 #: Texts that are aligned together.
 BATCH_TEXTS = 256
@@ -45,6 +46,9 @@ DOCS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 LINKS = "links array<struct<pair:long,times:int>>"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE = "▁"
+#: A word of letters and signs after them, and where they meet.
+_FORM = Encoder._FORM
+_SIGN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ][!-/:-@[-`{-~]")
 
 
 def components(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
@@ -79,8 +83,8 @@ def expand(own: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.
     return i[linked], j[linked]
 
 
-#: What is kept of a piece: its numbers of A's and B's tokens and of groups, its groups as text, its links as pairs.
-Piece = tuple[int, int, int, str, list[int]]
+#: What is kept of a piece: its numbers of A's and B's tokens and of groups, its groups as text, its links as i64 pairs.
+Piece = tuple[int, int, int, str, bytes]
 
 
 class Aligner:
@@ -89,7 +93,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, memo: int = MEMO):
         import sentencepiece
 
-        self.a = Encoder(path_a)
+        self.a = Encoder(path_a, MEMO // 8)
         self.a.tokenizer.encode_special_tokens, self.a.special = True, []
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         # Byte-level BPE writes bytes that are not printable Latin-1 as characters from U+0100 on.
@@ -106,31 +110,49 @@ class Aligner:
         self.lead = self.b.piece_to_id(_SPACE)
         # Cuts are safe only if no piece of B goes on over a space, or holds a newline.
         self.cuts = not any(re.search(f"[^{_SPACE}]{_SPACE}|\n", t) for t in pieces)
+        # Signs after letters are pieces of their own if no piece of B holds a letter and a sign after it; A always cuts there.
+        plain = [t for k, t in enumerate(pieces) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k))]
+        self.after = self.b.encode("\n")
+        self.signs = self.cuts and self.after[:1] == [self.lead] and not any(_SIGN.search(t) for t in plain)
         self.limit, self.known, self.older = memo, {}, {}
 
-    def _a_ids(self, piece: str) -> np.ndarray:
+    def _a_ids(self, piece: str) -> bytes:
         body = piece[1:]
-        if piece[0] in " \n" and body.split() == [body]:
-            ids = self.a._piece(body if piece[0] == " " else piece)
-        else:
-            ids = self.a._whole(piece)
-        return np.frombuffer(ids, "<u4")
-
-    def _tokens(self, pieces: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[bool]]:
-        """A's and B's ids of each piece (with the space before it, or from a newline on), and whether both keep its bytes."""
-        if len(self.a.memo) > MEMO // 4:
-            self.a.memo.clear()
+        if piece[0] not in " \n":
+            return self.a.inner[piece]
+        if body.split() == [body]:
+            return self.a._piece(body if piece[0] == " " else piece)
+        return self.a._whole(piece)
+
+    def _tokens(self, pieces: list[str]) -> tuple[list[bytes], list[list[int]], list[bool]]:
+        """A's ids (as u32 bytes) and B's of each piece, and whether both keep its bytes.
+
+        A piece has the space before it, begins with a newline, or is made of signs after letters.
+        """
+        self.a.renew()
         a = [self._a_ids(p) for p in pieces]
-        # B puts a space before what it is given; a newline does not join it.
-        b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        good = [p[0] == " " or ids[:1] == [self.lead] for p, ids in zip(pieces, b, strict=True)]
-        b = [ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, b, strict=True)]
-        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        # B puts a space before what it is given; a newline does not join it, nor what follows a newline.
+        b = self.b.encode([p[1:] if p[0] == " " else p if p[0] == "\n" else "\n" + p for p in pieces], num_threads=1)
+        good = [True] * len(pieces)
         for k, p in enumerate(pieces):
-            raw = p.encode()
-            good[k] = good[k] and b"".join(map(of_b, b[k])) == raw and b"".join(map(of_a, a[k].tolist())) == raw
+            if p[0] != " ":
+                lead = [self.lead] if p[0] == "\n" else self.after
+                good[k], b[k] = b[k][: len(lead)] == lead, b[k][len(lead) :]
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        raw = [p.encode() for p in pieces]
+        all_a, all_b = np.frombuffer(b"".join(a), "<u4").tolist(), list(chain.from_iterable(b))
+        same_a = self._same(raw, [len(x) // 4 for x in a], all_a, self.a_bytes, self.a_size)
+        if not (all(good) and same_a and self._same(raw, list(map(len, b)), all_b, self.b_bytes, self.b_size)):
+            for k, r in enumerate(raw):
+                good[k] = good[k] and b"".join(map(of_b, b[k])) == r and b"".join(map(of_a, np.frombuffer(a[k], "<u4").tolist())) == r
         return a, b, good
 
+    @staticmethod
+    def _same(raw: list[bytes], n: list[int], ids: list[int], told: list[bytes], width: np.ndarray) -> bool:
+        """Whether the tokens of every piece give back its bytes: they do all together, and each has its piece's size."""
+        ends = np.concatenate([[0], np.cumsum(width[ids])])[np.concatenate([[0], np.cumsum(n)])] if ids else np.zeros(len(n) + 1, np.int64)
+        return np.array_equal(np.diff(ends), list(map(len, raw))) and b"".join(map(told.__getitem__, ids)) == b"".join(raw)
+
     def learn(self, pieces: list[str]) -> list[Piece | None]:
         """What is kept of each piece, None where either tokenizer loses bytes.
 
@@ -141,8 +163,9 @@ class Aligner:
         whole = [k for k, g in enumerate(good) if g]
         if not whole:
             return out
-        a_n, b_n = np.array([len(a[k]) for k in whole]), np.array([len(b[k]) for k in whole])
-        a_ids, b_ids = np.concatenate([a[k] for k in whole]).astype(np.int64), np.array([x for k in whole for x in b[k]], np.int64)
+        a_n, b_n = np.array([len(a[k]) // 4 for k in whole]), np.array([len(b[k]) for k in whole])
+        a_ids = np.frombuffer(b"".join([a[k] for k in whole]), "<u4").astype(np.int64)
+        b_ids = np.array(list(chain.from_iterable([b[k] for k in whole])), np.int64)
         a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         own = components(a_ends, b_ends)
         # Members of a component stand side by side, in the same order of components on both sides.
@@ -151,7 +174,7 @@ class Aligner:
         last_a, last_b = np.cumsum(a_n), np.cumsum(b_n)
         group_end = np.searchsorted(a_first, last_a).tolist()
         i, j = expand(own, a_ends, b_ends)
-        pairs = ((a_ids[i] << 32) | b_ids[j]).tolist()
+        pairs = ((a_ids[i] << 32) | b_ids[j]).tobytes()
         link_end = np.searchsorted(i, last_a).tolist()
         shown = self.shown.__getitem__
         a_text, b_text = list(map(shown, a_ids.tolist())), list(map(shown, b_ids.tolist()))
@@ -162,7 +185,7 @@ class Aligner:
         ]
         group, link = 0, 0
         for k, n_a, n_b, group_to, link_to in zip(whole, a_n.tolist(), b_n.tolist(), group_end, link_end, strict=True):
-            out[k] = (n_a, n_b, group_to - group, ";".join(told[group:group_to]), pairs[link:link_to])
+            out[k] = (n_a, n_b, group_to - group, ";".join(told[group:group_to]), pairs[8 * link : 8 * link_to])
             group, link = group_to, link_to
         return out
 
@@ -172,11 +195,18 @@ class Aligner:
             # A new generation; pieces of the one before stay known as long as they are used.
             self.known, self.older = {}, self.known
         parts = [self.pieces(" " + t) if t else [] for t in texts]
-        missing = set().union(*parts) - self.known.keys()
-        for p in missing & self.older.keys():
-            self.known[p] = self.older[p]
-        fresh = list(missing - self.older.keys())
+        # Asked piece by piece, as the difference from a view of what is known would walk all of it.
+        known, older = self.known, self.older
+        missing = {p for p in set().union(*parts) if p not in known}
+        # Words with signs after them are put together from their parts, and not kept.
+        made = {p: (p[0] + form[1], form[2]) for p in missing if (form := _FORM.fullmatch(p, 1)) and form[2]} if self.signs else {}
+        missing = {p for p in chain(missing, *made.values()) if p not in made and p not in known}
+        known.update({p: older[p] for p in missing if p in older})
+        fresh = [p for p in missing if p not in older]
         self.known.update(zip(fresh, self.learn(fresh), strict=True))
+        for p, (letters, signs) in made.items():
+            x, y = self.known[letters], self.known[signs]
+            self.known[p] = (x[0] + y[0], x[1] + y[1], x[2] + y[2], f"{x[3]};{y[3]}", x[4] + y[4]) if x and y else None
         out = []
         for text, own in zip(texts, parts, strict=True):
             found = list(map(self.known.__getitem__, own))
@@ -185,9 +215,8 @@ class Aligner:
                 (last,) = self.learn([" " + text])
                 found = [] if last is None else [last]
             out.append(found)
-        for p in fresh:
-            if len(p) > MEMO_CHARS:
-                del self.known[p]
+        for p in chain(made, [p for p in fresh if len(p) > MEMO_CHARS]):
+            del self.known[p]
         return out
 
     def pieces(self, whole: str) -> list[str]:
@@ -235,10 +264,10 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         for part in batches:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for doc_id, found in zip(ids, own.align(texts), strict=True):
-                told = ";".join([p[3] for p in found])
-                flat = np.fromiter(chain.from_iterable([p[4] for p in found]), np.int64)
+                n_a, n_b, n_groups, groups, links = zip(*found, strict=True) if found else ((),) * 5
+                told, flat = ";".join(groups), np.frombuffer(b"".join(links), np.int64)
                 each, count = np.unique(flat, return_counts=True)
-                row = (doc_id, sum([p[0] for p in found]), sum([p[1] for p in found]), sum([p[2] for p in found]), len(flat), hashlib.sha256(told.encode()).hexdigest() if found else "")
+                row = (doc_id, sum(n_a), sum(n_b), sum(n_groups), len(flat), hashlib.sha256(told.encode()).hexdigest() if found else "")
                 rows.append((*row, told) if with_groups else row)
                 pairs.append(each)
                 times.append(count.astype(np.int32))

@@ -43,7 +43,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
-#: Word encodings that a worker keeps, in two generations, about 160 bytes each, and the longest word that it keeps.
+#: Word encodings that a worker keeps, in two generations (an estimated 160 bytes each), and the longest word that it keeps.
 MEMO = 1_600_000
 MEMO_CHARS = 64
 

@@ -100,6 +100,17 @@ def test_pieces_equal_whole_texts(libraries, texts):
         assert "".join(own.pieces(" " + text)) == " " + text
 
 
+def test_words_with_signs_are_learned_by_parts(libraries):
+    own, learned = alignment.Aligner(*PATHS), []
+    learn = own.learn
+    own.learn = lambda pieces: learned.extend(pieces) or learn(pieces)
+    text = "thonér thonér, thonér.%%%\nthonér! thonér's C++ thonér,"
+    for _ in range(2):
+        (found,) = own.align([text])
+        assert ";".join(f[3] for f in found) == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in brute_groups(*brute_tokens(libraries, text)))
+    assert sorted(learned) == sorted([" thonér", "\nthonér", " thonér's", " C", ",", ".%%%", "!", "++"])
+
+
 ENDS = st.lists(st.integers(1, 40), unique=True, min_size=1).map(sorted)
 
 
