@@ -147,11 +147,6 @@ def held(owner: str) -> dict:
     return HELD.setdefault(owner, {})
 
 
-def _keep_only(owner: str | None) -> None:
-    for name in [k for k in HELD if k != owner]:
-        del HELD[name]
-
-
 def _release() -> None:
     """Give free memory back to the system: workers are kept for later stages of other operators."""
     pa.default_memory_pool().release_unused()
@@ -162,6 +157,15 @@ def _release() -> None:
         return
 
 
+def _keep_only(owner: str | None) -> None:
+    """Drop what other operators hold, and give its memory back before the work of ``owner`` takes more."""
+    others = [k for k in HELD if k != owner]
+    for name in others:
+        del HELD[name]
+    if others:
+        _release()
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES from now on in this session."""
     most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")

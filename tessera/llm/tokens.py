@@ -43,8 +43,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Blocks that are packed or unpacked together.
 BATCH_BLOCKS = 512
-#: Word encodings that a worker keeps, in two generations (an estimated 160 bytes each), and the longest word that it keeps.
-MEMO = 1_600_000
+#: Word encodings that a worker keeps, in two generations (an estimated 200 bytes each), and the longest word that it keeps.
+MEMO = 800_000
 MEMO_CHARS = 64
 
 MANIFEST = "part long, shard long, path string, documents long, ids long"
@@ -127,15 +127,15 @@ _BYTES = "".join(chr(_FURTHER.get(b, b)) for b in range(256))
 
 
 class _Kept(dict):
-    """Encodings by piece; an unknown piece is encoded when it is asked for. What the last generation knew stays as long
-    as it is used."""
+    """Encodings by piece; an unknown piece is encoded when it is asked for. What the last generation knew moves here when
+    it is used, so each piece is kept once."""
 
     def __init__(self, encode, parts: bool, older: dict):
         super().__init__()
         self.encode, self.parts, self.older, self.seen = encode, parts, older, bytearray(1 << 21)
 
     def __missing__(self, piece: str) -> bytes:
-        known = self.older.get(piece)
+        known = self.older.pop(piece, None)
         if known is None:
             known = self.encode(piece)
             if len(piece) > MEMO_CHARS:
@@ -227,15 +227,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32 bytes."""
-        self.renew()
-        get, out = self.memo.__getitem__, []
+        out = []
         for text in texts:
+            # Before each text, so that what is kept beyond the limit is at most the words of one.
+            self.renew()
             if self._joined(text):
                 out.append(self._whole(text))
                 continue
             parts = text.replace("\n", " \n").split(" ")
             first = self._start(parts.pop(0))
-            out.append(first + b"".join(map(get, parts)))
+            out.append(first + b"".join(map(self.memo.__getitem__, parts)))
         return out
 
 

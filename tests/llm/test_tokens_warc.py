@@ -67,6 +67,26 @@ def test_generations_of_kept_words(texts):
     assert all(not getattr(kept.older, "older", None) for kept in (small.memo, small.inner))
 
 
+def test_kept_words_stay_within_the_limit():
+    enc = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY), memo=40)
+    common = "the water of that river"
+    # All in one call, as a batch of long texts is.
+    enc.encode([f"{common} {' '.join(f'{a}{b}{n}' for b in 'klmnopqr')}" for n in ("ard", "esh", "olt", "ump") for a in "bcdfg"])
+    assert len(enc.memo) + len(enc.memo.older) <= 40 + 12
+    assert enc.memo.older and not set(enc.memo) & set(enc.memo.older)
+
+
+def test_workers_free_other_operators_tables_first(monkeypatch):
+    from tessera.llm import common
+
+    freed = []
+    monkeypatch.setattr(common, "HELD", {"lm": {}, "tokens": {}})
+    monkeypatch.setattr(common, "_release", lambda: freed.append(set(common.HELD)))
+    common._keep_only("tokens")
+    common._keep_only("tokens")
+    assert freed == [{"tokens"}]
+
+
 def brute_tokens(rows):
     whole = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
     at, out = 0, []
